@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelattice.llm import site_lines
+from pagelattice.llm import main_lines, page_facts, residue, site_lines, stuffing
+from pagelattice.session import durable
 from pagelattice.sources.tables import table
 
 
@@ -21,5 +22,37 @@ def p1_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return site_lines.without_lines(pages, site_lines.repeated_lines(pages))
 
 
-QUERIES = {"p1_found": p1_found, "p1_blocks": p1_blocks, "p1_cleaned": p1_cleaned}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return main_lines.main_line_hashes(table(spark, folder, "pages"), table(spark, folder, "links"))
+
+
+def p2_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_lines.main_texts(table(spark, folder, "pages"), table(spark, folder, "links"))
+
+
+def _facts(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return durable(page_facts.page_facts(pages, page_facts.site_support(pages)))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.find(_facts(spark, folder)).select("page_id")
+
+
+def p3_messages(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.messages(_facts(spark, folder)).select("text", "kind", "crawls", "pages")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.stuffed_pages(_facts(spark, folder), table(spark, folder, "links")).select("page_id")
+
+
+def p7_measures(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.measured(_facts(spark, folder))
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (p1_found, p1_blocks, p1_cleaned, p2_found, p2_main_text, p3_found, p3_messages, p7_found, p7_measures)
+}
 ORACLE_SQL: dict[str, str] = {}
