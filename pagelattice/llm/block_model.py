@@ -9,7 +9,9 @@ whole document. Weights come from `train_blocks.py`.
 
 from __future__ import annotations
 
+import re
 import zlib
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -44,8 +46,24 @@ def _path_ids(path: str) -> tuple[int, int, int, int]:
     )
 
 
-_paths: dict[str, tuple[int, int, int, int]] = {}
-_END = (".", "!", "?", "…", "»", "”", '"')
+_paths: dict[str, tuple[tuple[int, int, int, int], bool, bool]] = {}
+_words: dict[str, int] = {}
+_DIGIT = re.compile(r"\d")
+
+
+def _word_ids(found: list[str]) -> list[int]:
+    try:
+        return [_words[w] for w in found]
+    except KeyError:
+        if len(_words) > 400_000:
+            _words.clear()
+        for w in found:
+            if w not in _words:
+                _words[w] = zlib.crc32(w.encode("utf-8", "replace")) % N_WORD
+        return [_words[w] for w in found]
+
+
+_END = frozenset('.!?…»”"')
 HEADS = ("h2", "h3", "h4", "h5", "h6")
 
 
@@ -55,52 +73,61 @@ def container(path: str) -> str:
     return up.rpartition("/")[0] if up.endswith("/div") and up.count("/") > 3 else up
 
 
+def _path_of(path: str) -> tuple[tuple[int, int, int, int], bool, bool]:
+    """(ids, is a headline, is a subheading) of a path."""
+    if len(_paths) > 100_000:
+        _paths.clear()
+    tag = path.rpartition("/")[2].partition(".")[0]
+    got = _paths[path] = _path_ids(path), tag == "h1", tag in HEADS
+    return got
+
+
 def features(page: list[tuple[str, str, int]], support: dict[str, tuple[float, int]]) -> tuple[list, list, list]:
     """(measures, path ids, word ids) of each line; support maps a line to its share and number of the site's pages."""
     n = len(page)
     chars: dict[str, int] = {}
-    h1 = -1
-    for i, (text, path, _) in enumerate(page):
+    known = [_paths.get(p) or _path_of(p) for _, p, _ in page]
+    for text, path, _ in page:
         chars[path] = chars.get(path, 0) + len(text)
-        if h1 < 0 and path.rpartition("/")[2].partition(".")[0] == "h1":
-            h1 = i
+    h1 = next((i for i, k in enumerate(known) if k[1]), -1)
     total = sum(chars.values()) or 1
     base = container(page[h1][1]) if h1 >= 0 else None
+    # What depends on the path alone: ids, headline, subheading, inside the headline's container, share of characters.
+    of_path = {
+        p: (_paths.get(p) or _path_of(p)) + (base is not None and p.startswith(base), c / total) for p, c in chars.items()
+    }
     nums, paths, words = [], [], []
     before = None
+    has_h1 = h1 >= 0
+    none = (0.0, 0)
     for i, (text, path, linked) in enumerate(page):
         size = len(text)
-        ids = _paths.get(path)
-        if ids is None:
-            if len(_paths) > 100_000:
-                _paths.clear()
-            ids = _paths[path] = _path_ids(path)
-        tag = path.rpartition("/")[2].partition(".")[0]
-        share, count = support.get(text, (0.0, 0))
+        ids, is_h1, is_head, within, part = of_path[path]
+        share, count = support.get(text, none)
         split = text.lower().split()
         nums.append(
             (
                 size.bit_length() / 8,
-                text.endswith(_END),
-                min(1.0, linked / size),
+                text[-1] in _END,
+                min(1.0, linked / size) if linked else 0.0,
                 share,
-                min(count, 64) ** 0.5 / 8,
-                tag == "h1",
-                tag in HEADS,
+                min(count, 64) ** 0.5 / 8 if count else 0.0,
+                is_h1,
+                is_head,
                 i / n,
-                base is not None and path.startswith(base),
+                within,
                 i < h1,
-                sum(map(text.count, "0123456789")) / size if size < 80 else 0.0,
+                len(_DIGIT.findall(text)) / size if size < 80 else 0.0,
                 "»" in text or "|" in text,
                 path == before,
-                chars[path] / total,
+                part,
                 len(split).bit_length() / 6,
-                h1 >= 0,
+                has_h1,
             )
         )
         before = path
         paths.append(ids)
-        words.append([_id(w, N_WORD) for w in split])
+        words.append(_word_ids(split))
     return nums, paths, words
 
 
@@ -109,7 +136,7 @@ def inputs(w: dict, nums: list, paths: list, words: list) -> np.ndarray:
     x = np.empty((len(nums), N_IN), np.float32)
     x[:, :E_PATH] = w["path"][np.array(paths, np.int64)].mean(1)
     sizes = np.array([len(v) for v in words])
-    flat = np.fromiter((i for v in words for i in v), np.int64, int(sizes.sum()))
+    flat = np.fromiter(chain.from_iterable(words), np.int64, int(sizes.sum()))
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
     x[:, E_PATH : E_PATH + E_WORD] = np.add.reduceat(w["word"][flat], starts, axis=0) / sizes[:, None]
     x[:, E_PATH + E_WORD :] = np.array(nums, np.float32)

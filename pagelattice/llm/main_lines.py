@@ -3,67 +3,34 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pagelattice.functions.lines import blocks
-from pagelattice.llm import block_model, page_facts, residue, stuffing
-from pagelattice.llm.page_facts import Site, with_support
-from pagelattice.llm.site_lines import line_hash
+from pagelattice.llm import page_facts, residue, stuffing
+from pagelattice.llm.page_facts import Extra
 from pagelattice.session import durable, small_side
 
-#: Pages labelled together: bounds the worker's memory.
-CHUNK = 1024
-
-
-def content_pages(pages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages with html that are neither residue nor spam, the site support): what the labeller reads."""
-    support = page_facts.site_support(pages)
-    facts = durable(page_facts.page_facts(pages, support))
-    out = durable(
-        residue.find(facts).select("page_id").unionAll(stuffing.stuffed_pages(facts, links).select("page_id"))
-    )
-    kept = pages.where("html is not null").join(
-        small_side(out.withColumnRenamed("page_id", "id"), 16), "id", "left_anti"
-    )
-    return kept, support
-
-
-def map_main(
-    pages: DataFrame, support: DataFrame, make: Callable[[list[int], list[list[str]]], pa.RecordBatch], schema: str
-) -> DataFrame:
-    """Labels every page's lines and hands (page ids, main lines of each) to `make`, chunk by chunk."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = block_model.load()
-        site = Site()
-        for batch in batches:
-            ids, crawls, htmls = (batch.column(i).to_pylist() for i in (0, 1, 2))
-            for at in range(0, len(ids), CHUNK):
-                parsed, supports = [], []
-                for i in range(at, min(at + CHUNK, len(ids))):
-                    page = blocks(htmls[i])
-                    table = site.of(batch, i, crawls[i])
-                    parsed.append(page)
-                    supports.append({t: table[h] for t, _, _ in page if (h := line_hash(t)) in table})
-                labels = block_model.label(weights, parsed, supports)
-                yield make(
-                    ids[at : at + CHUNK],
-                    [[t for (t, _, _), m in zip(page, label) if m] for page, label in zip(parsed, labels)],
-                )
-
-    return with_support(pages, support).mapInArrow(run, schema)
-
-
-def _hashes(ids: list[int], mains: list[list[str]]) -> pa.RecordBatch:
-    rows, hashes = [], []
-    for i, main in zip(ids, mains):
-        for line in dict.fromkeys(main):
-            rows.append(i)
-            hashes.append(hashlib.sha256(line.encode("utf-8", "surrogatepass")).hexdigest()[:16])
-    return pa.record_batch([pa.array(rows, pa.int64()), pa.array(hashes, pa.string())], names=["page_id", "line_hash"])
+
+def content_pages(pages: DataFrame, links: DataFrame, extra: Extra) -> DataFrame:
+    """(page_id, extra's columns) of pages with html that are neither residue nor spam.
+
+    Labels and facts come from one pass; the few pages that turn out to be no
+    content are taken out afterwards.
+    """
+    facts = durable(page_facts.page_facts(pages, page_facts.site_support(pages), extra))
+    broken = durable(residue.find(facts).select("page_id"))
+    out = durable(broken.unionAll(stuffing.stuffed_pages(facts, links, broken).select("page_id")))
+    names = [x.split()[0] for x in extra.fields.split(", ")]
+    return facts.select("page_id", *names).join(small_side(out, 8), "page_id", "left_anti")
+
+
+def _hashes(mains: list[list[str]]) -> list[pa.Array]:
+    def of(line: str) -> bytes:
+        return hashlib.sha256(line.encode("utf-8", "surrogatepass")).digest()[:8]
+
+    return [pa.array([[of(line) for line in dict.fromkeys(m)] for m in mains], pa.list_(pa.binary()))]
 
 
 def main_line_hashes(pages: DataFrame, links: DataFrame) -> DataFrame:
@@ -72,18 +39,14 @@ def main_line_hashes(pages: DataFrame, links: DataFrame) -> DataFrame:
     A page without main lines, without text or without html has no rows; rows
     stored twice are two pages.
     """
-    return map_main(*content_pages(pages, links), _hashes, "page_id bigint, line_hash string")
+    got = content_pages(pages, links, Extra("hashes array<binary>", _hashes))
+    return got.select("page_id", F.explode("hashes").alias("h")).select("page_id", F.lower(F.hex("h")).alias("line_hash"))
 
 
-def _texts(ids: list[int], mains: list[list[str]]) -> pa.RecordBatch:
-    return pa.record_batch(
-        [pa.array(ids, pa.int64()), pa.array(["\n".join(m) for m in mains], pa.string())], names=["page_id", "text"]
-    )
+def _texts(mains: list[list[str]]) -> list[pa.Array]:
+    return [pa.array(["\n".join(m) for m in mains], pa.string())]
 
 
 def main_texts(pages: DataFrame, links: DataFrame) -> DataFrame:
     """(page_id, text): the main lines of every content page, in page order."""
-    return map_main(*content_pages(pages, links), _texts, "page_id bigint, text string")
-
-
-
+    return content_pages(pages, links, Extra("text string", _texts))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagelattice.llm import main_lines, page_facts, residue, site_lines, stuffing
+from pagelattice.llm import leaks, main_lines, mixing, near_pages, percentiles, quality, page_facts, residue, site_lines, stuffing
 from pagelattice.session import durable
 from pagelattice.sources.tables import table
 
@@ -43,16 +44,107 @@ def p3_messages(spark: SparkSession, folder: str) -> DataFrame:
     return residue.messages(_facts(spark, folder)).select("text", "kind", "crawls", "pages")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_pages.page_pairs(_classes(spark, folder))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_pages.groups(_classes(spark, folder))
+
+
+def _classes(spark: SparkSession, folder: str) -> near_pages.Classes:
+    return near_pages.similar_classes(table(spark, folder, "pages"), table(spark, folder, "links"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return stuffing.stuffed_pages(_facts(spark, folder), table(spark, folder, "links")).select("page_id")
+    facts = _facts(spark, folder)
+    broken = residue.find(facts)
+    return stuffing.stuffed_pages(facts, table(spark, folder, "links"), broken).select("page_id")
 
 
 def p7_measures(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.measured(_facts(spark, folder))
 
 
+METRICS = ["cwv_lcp", "load_time_ms", "ttfb_ms"]
+SHARES = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Crawls whose 95th percentile of a metric is over ten times their median, from at least 15 values."""
+    got = percentiles.percentiles(table(spark, folder, "pages"), "crawl_id", METRICS, [0.5, 0.95])
+    wide = got.where("n >= 15").groupBy("crawl_id", "metric").pivot("share", [0.5, 0.95]).agg(F.first("value"))
+    return wide.where("`0.95` > 10 * `0.5`").select("crawl_id", "metric")
+
+
+def p6_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    got = percentiles.percentiles(table(spark, folder, "pages"), "crawl_id", METRICS, SHARES)
+    return got.select("crawl_id", "metric", "n", "share", F.round("value", 3).alias("value"))
+
+
+def p6_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles with bounded error from histograms of separate days, added up."""
+    pages = table(spark, folder, "pages").withColumn("day", F.pmod(F.dayofyear("crawled_at"), F.lit(2)))
+    parts = [
+        percentiles.histogram(percentiles.long_form(pages.where(day), "crawl_id", METRICS), "crawl_id")
+        for day in ("day = 0", "day = 1", "day is null")
+    ]
+    return percentiles.from_histogram(percentiles.combine(parts, "crawl_id"), "crawl_id", SHARES)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_overlap(spark, folder).select("doc_id", "item_id")
+
+
+def p8_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def _mix(spark: SparkSession, folder: str) -> mixing.Mix:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder).report.where("short").select("source")
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder).report
+
+
+def p9_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder).sample
+
+
+def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.text_statistics(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_statistics(spark, folder).where("non_prose").select("doc_id")
+
+
 QUERIES = {
     q.__name__: q
-    for q in (p1_found, p1_blocks, p1_cleaned, p2_found, p2_main_text, p3_found, p3_messages, p7_found, p7_measures)
+    for q in (
+        *(p1_found, p1_blocks, p1_cleaned, p2_found, p2_main_text, p3_found, p3_messages, p5_found, p5_groups),
+        *(p6_found, p6_percentiles, p6_histogram, p7_found, p7_measures, p8_found, p8_overlap),
+        *(p9_found, p9_report, p9_sample, p10_found, p10_statistics),
+    )
+}
+
+_LONG = """long as (
+  select crawl_id, 'cwv_lcp' as metric, cwv_lcp as v from pages
+  union all select crawl_id, 'load_time_ms', cast(load_time_ms as double) from pages
+  union all select crawl_id, 'ttfb_ms', cast(ttfb_ms as double) from pages
+), used as (select * from long where v >= 0 and crawl_id is not null)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "p6_found": f"""with {_LONG}
+select crawl_id, metric from used group by crawl_id, metric
+having count(*) >= 15 and quantile_cont(v, 0.95) > 10 * quantile_cont(v, 0.5)""",
+    "p6_percentiles": f"""with {_LONG}, shares as (select unnest({SHARES}::double[]) as share)
+select crawl_id, metric, n, share, round(case share
+    {" ".join(f"when {x} then q[{i + 1}]" for i, x in enumerate(SHARES))} end, 3) as value
+from (select crawl_id, metric, count(*) as n, quantile_cont(v, {SHARES}) as q from used group by crawl_id, metric), shares""",
 }
-ORACLE_SQL: dict[str, str] = {}

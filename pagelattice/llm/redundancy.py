@@ -2,36 +2,30 @@
 
 from __future__ import annotations
 
-import re
 import zlib
+from collections import Counter
 
-from pagelattice.llm.words import FUNCTION_WORDS, WORD
+from pagelattice.llm.residue_rules import REAL_CHARS
+from pagelattice.llm.words import FUNCTION_WORDS
 
-_SENTENCE = re.compile(r"[^.!?…]+[.!?…]+")
-
-# The most telling function words by language.
+# Telling function words, each of one language only.
 _TELL = {
-    "en": frozenset("the of and a to is was that for it on with this which an each every some their our".split()),
-    "de": frozenset("der die das und den mit von ist für auf nicht ein eine nach bei aus im zum".split()),
-    "fr": frozenset("le les des et à un une qui dans pour pas sur par avec ce mais au est du".split()),
-    "es": frozenset("el los las y en un una que por con para se lo al del su pero".split()),
+    w: lang
+    for lang, listed in {
+        "en": "the of and to is was that for it on with this which each every some their our",
+        "de": "der die das und den mit von ist für auf nicht ein eine nach bei aus im zum",
+        "fr": "le et à une qui dans pour pas sur avec ce mais au est du",
+        "es": "el los las y una por con se lo al del su pero",
+    }.items()
+    for w in listed.split()
 }
 #: Shorter sentences, or sentences with fewer function words, are slogans.
 SENTENCE_WORDS, SENTENCE_SHARE = 7, 0.12
+_ENDS = frozenset('.!?…»”"')
 #: Blocks shorter than this say nothing on redundancy and join their neighbours.
 BLOCK_CHARS = 400
 
 
-def language(found: list[str]) -> str:
-    """The language whose function words are most frequent, "" where none occurs."""
-    best, top = "", 0
-    for lang, tell in _TELL.items():
-        n = sum(w in tell for w in found)
-        if n > top:
-            best, top = lang, n
-    return best
-
-
 def text_blocks(lines: list[tuple[str, str]]) -> list[str]:
     """Consecutive (line, path) pairs joined by their container, short blocks merged with the ones before."""
     out: list[str] = []
@@ -55,17 +49,29 @@ def deflated(block: str) -> tuple[int, int]:
     return len(data), len(zlib.compress(data, 6))
 
 
-def proper_words(lines: list[str]) -> tuple[int, int, int]:
-    """(words, words in proper sentences, distinct words)."""
+def measure(lines: list[str]) -> tuple[str, int, int, int, list[bool]]:
+    """(language, words, words in proper sentences, distinct words, which lines are real) of a page's own lines.
+
+    A line is proper if it ends as a sentence does, its sentences are long
+    enough on average and it has its share of function words; it is real if
+    long enough as a whole. The language is the one with most telling words,
+    "" without any.
+    """
     words = proper = 0
     seen: set[str] = set()
+    real = []
+    is_function = FUNCTION_WORDS.__contains__
     for line in lines:
-        found = WORD.findall(line.lower())
-        words += len(found)
+        found = line.lower().split()
+        n = len(found)
+        words += n
         seen.update(found)
-        if line[-1] in ".!?…»”\"" or "." in line:
-            for sentence in _SENTENCE.findall(line):
-                s = WORD.findall(sentence.lower())
-                if len(s) >= SENTENCE_WORDS and sum(w in FUNCTION_WORDS for w in s) >= SENTENCE_SHARE * len(s):
-                    proper += len(s)
-    return words, proper, len(seen)
+        if line[-1] in _ENDS:
+            fair = sum(map(is_function, found)) >= SENTENCE_SHARE * n
+            real.append(fair and len(line) >= REAL_CHARS)
+            if fair and n >= SENTENCE_WORDS * (1 + line.count(". ") + line.count("! ") + line.count("? ")):
+                proper += n
+        else:
+            real.append(False)
+    votes = Counter(_TELL[w] for w in seen & _TELL.keys())
+    return votes.most_common(1)[0][0] if votes else "", words, proper, len(seen), real

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pagelattice.llm.words import FUNCTION_WORDS, WORD, function_share
+from pagelattice.llm.words import FUNCTION_WORDS, WORD
 
 _MASKS = (
     (re.compile(r"https?://\S+|\b[\w.+-]+@[\w-]+\.\w+|\bwww\.\S+"), "@"),
@@ -46,7 +46,7 @@ _ERROR = re.compile(
     r"|page (?:is )?(?:missing|gone)|nothing lives at this|no longer (?:available|exists?|this address|here)|there is no longer"
     r"|does not exist|has (?:been )?moved|maintenance (?:work|mode|break)|(?:for|under|scheduled) maintenance"
     r"|we (?:will|.ll) be (?:right )?back|be right back|try again later|something went wrong|an error (?:has )?occurred"
-    r"|(?:^|\b)(?:error|erreur|fehler|http) ?(?:code )?0\b|\b0 (?:bad gateway|service|internal|not found|forbidden|gone\b|unauthorized)"
+    r"|(?:^|\b)(?:error|erreur|fehler|http) ?(?:code )?0\b|\b0 (?:bad gateway|service unavailable|internal server|not found|forbidden|gone\b|unauthorized)"
     r"|page introuvable|introuvable$|n.existe (?:plus|pas)|a été (?:retiré|supprimé|déplacé)|accès refusé|en maintenance"
     r"|contenu demandé|service indisponible|page demandée"
     r"|ya no existe|no hay nada en|no (?:se )?(?:ha )?encontrad[oa]|página no (?:encontrada|existe|disponible)|acceso denegado|en mantenimiento|no disponible"
@@ -78,8 +78,8 @@ _LATIN = frozenset(
 
 #: Longer lines are paragraphs: they may quote a message, they are not one.
 MESSAGE_CHARS = 170
-#: A line of so many characters and this share of function words reads as sentences.
-REAL_CHARS, REAL_SHARE = 40, 0.12
+#: A line of so many characters may read as sentences.
+REAL_CHARS = 40
 
 
 def classify(message: str) -> tuple[str, bool] | None:
@@ -106,7 +106,3 @@ def classify(message: str) -> tuple[str, bool] | None:
         return "weak", False
     return None
 
-
-def is_real(line: str) -> bool:
-    """Reads as sentences of a human language: long enough, with end punctuation and function words."""
-    return len(line) >= REAL_CHARS and line[-1] in ".!?…»”\"" and function_share(line) >= REAL_SHARE

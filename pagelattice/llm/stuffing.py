@@ -62,10 +62,11 @@ def measured(facts: DataFrame) -> DataFrame:
     )
 
 
-def stuffed_pages(facts: DataFrame, links: DataFrame) -> DataFrame:
+def stuffed_pages(facts: DataFrame, links: DataFrame, residue: DataFrame) -> DataFrame:
     """(page_id, words, proper_share, distinct_share, redundancy, anchor_share): pages of keywords, link lists or tags.
 
-    facts should be durable. Pages without html or words of their own are no
+    facts should be durable. residue holds the page_id of residue pages: mock
+    Latin is as redundant as spam and has its own operator. Pages without html or words of their own are no
     cases. Null or blank anchors count as links without words; links of unknown
     pages are ignored; repeated rows count.
     """
@@ -93,7 +94,8 @@ def stuffed_pages(facts: DataFrame, links: DataFrame) -> DataFrame:
         & (F.col("distinct_share") < MILD_DISTINCT)
     )
     return (
-        few.join(anchors, "page_id", "left")
+        few.join(residue.select("page_id"), "page_id", "left_anti")
+        .join(anchors, "page_id", "left")
         .where(extreme | mild | link_list)
         .select("page_id", "words", "proper_share", "distinct_share", "redundancy", share.alias("anchor_share"))
     )

@@ -20,8 +20,3 @@ FUNCTION_WORDS = frozenset(
     ).split()
 )
 
-
-def function_share(text: str) -> float:
-    """Share of function words among the words; 0 without words."""
-    found = WORD.findall(text.lower())
-    return sum(w in FUNCTION_WORDS for w in found) / len(found) if found else 0.0
