@@ -5,8 +5,9 @@ class enters the forest, so a text copied over a third of all rows is one row.
 Each tree of the forest orders the signatures by its own hash functions; two
 pages meet in a tree if they share a prefix there. The prefix starts at the
 full depth and is shortened until a pair at the threshold meets in some tree
-with the target recall; see `prefix_for`. Candidates are then verified on
-the exact sets.
+with the target recall; see `prefix_for`. Candidates whose whole signatures
+agree too rarely for the threshold are dropped (by SURE standard deviations),
+the others verified on the exact sets.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pagelattice.session import durable
 #: Runs of so many words, the least similarity, and the least words of a page that takes part.
 RUN, SIMILAR, LEAST_WORDS = 3, 0.7, 50
 TREES, DEPTH, RECALL = 26, 8, 0.999
+#: Standard deviations of the signatures' agreement below the threshold within which a candidate is still verified.
+SURE = 4.0
 
 
 def prefix_for(similar: float, trees: int, depth: int, recall: float) -> int:
@@ -54,28 +57,50 @@ def _signed(trees: int, prefix: int) -> Extra:
     tree_no = np.arange(1, trees + 1, dtype=np.uint64)
 
     def make(mains: list[list[str]]) -> list[pa.Array]:
-        keys: list[bytes | None] = []
-        prefixes: list[np.ndarray | None] = []
-        texts: list[str | None] = []
-        for main in mains:
+        at, keys, signatures = [], [], []
+        texts: list[str | None] = [None] * len(mains)
+        for i, main in enumerate(mains):
             text = "\n".join(main)
             found = words(text)
-            if len(found) < LEAST_WORDS:
-                keys.append(None)
-                prefixes.append(None)
-                texts.append(None)
-                continue
-            shingles = np.unique(runs(word_hashes(found), RUN))
-            sig = signature(shingles, a, b).reshape(trees, prefix)
-            x = finish(tree_no)
+            if len(found) >= LEAST_WORDS:
+                shingles = np.unique(runs(word_hashes(found), RUN))
+                at.append(i)
+                keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                signatures.append(signature(shingles, a, b))
+                texts[i] = text
+        key: list[bytes | None] = [None] * len(mains)
+        prefixes: list[np.ndarray | None] = [None] * len(mains)
+        sketch: list[bytes | None] = [None] * len(mains)
+        if at:
+            sig = np.stack(signatures)
+            x = np.broadcast_to(tree_no, (len(at), trees))
             for d in range(prefix):
-                x = finish(x + sig[:, d])
-            keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-            prefixes.append(x.view(np.int64))
-            texts.append(text)
-        return [pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(texts, pa.string())]
-
-    return Extra("set_key binary, prefixes array<bigint>, text string", make)
+                x = finish(x + sig[:, d::prefix])
+            low = (sig >> np.uint32(8)).astype(np.uint8)
+            for k, i in enumerate(at):
+                key[i], prefixes[i], sketch[i] = keys[k], x[k].view(np.int64), low[k].tobytes()
+        return [
+            pa.array(key, pa.binary()),
+            pa.array(prefixes, pa.list_(pa.int64())),
+            pa.array(sketch, pa.binary()),
+            pa.array(texts, pa.string()),
+        ]
+
+    return Extra("set_key binary, prefixes array<bigint>, sketch binary, text string", make)
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops candidates whose signatures agree far less often than SURE deviations below the threshold allow."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (
+            np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3)
+        )
+        n = x.shape[1]
+        least = SIMILAR - SURE * (SIMILAR * (1 - SIMILAR) / n) ** 0.5
+        keep = pa.array((x == y).mean(axis=1) >= least)
+        yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +146,16 @@ def similar_classes(pages: DataFrame, links: DataFrame) -> Classes:
         .select(F.col("x.page_id").alias("a"), F.col("y.page_id").alias("b"))
         .distinct()
     )
+    sketches = signed.select("page_id", "sketch")
+    likely = durable(
+        met.join(sketches.select(F.col("page_id").alias("a"), F.col("sketch").alias("sa")), "a")
+        .join(sketches.select(F.col("page_id").alias("b"), F.col("sketch").alias("sb")), "b")
+        .select("a", "b", "sa", "sb")
+        .mapInArrow(_likely, "a bigint, b bigint")
+    )
     texts = signed.select("page_id", "text")
     pairs = (
-        met.join(texts.select(F.col("page_id").alias("a"), F.col("text").alias("ta")), "a")
+        likely.join(texts.select(F.col("page_id").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("page_id").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", "ta", "tb")
         .mapInArrow(_verify, "a bigint, b bigint, similarity double")

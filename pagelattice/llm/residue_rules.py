@@ -6,17 +6,18 @@ import re
 
 from pagelattice.llm.words import FUNCTION_WORDS, WORD
 
-_MASKS = (
-    (re.compile(r"https?://\S+|\b[\w.+-]+@[\w-]+\.\w+|\bwww\.\S+"), "@"),
-    (re.compile(r"\b(?=[0-9a-f-]*\d)[0-9a-f]{8,}(?:-[0-9a-f]{4,})*\b", re.I), "0"),
-    (re.compile(r"\d+(?:[.,:/-]\d+)*"), "0"),
-)
+_ADDRESS = re.compile(r"https?://\S+|[\w.+-]+@[\w-]+\.\w+|\bwww\.\S+")
+_HEX = re.compile(r"\b(?=[0-9a-f-]*\d)[0-9a-f]{8,}(?:-[0-9a-f]{4,})*\b", re.I)
+_NUMBER = re.compile(r"\d+(?:[.,:/-]\d+)*")
+_DIGIT = re.compile(r"\d")
 
 
 def normalise(line: str) -> str:
     """Lower case, with addresses, dates and numbers masked: what messages of different sites have in common."""
-    for pattern, by in _MASKS:
-        line = pattern.sub(by, line)
+    if "@" in line or "://" in line or "www." in line:
+        line = _ADDRESS.sub("@", line)
+    if _DIGIT.search(line):
+        line = _NUMBER.sub("0", _HEX.sub("0", line))
     return line.lower()
 
 
@@ -76,6 +77,21 @@ _LATIN = frozenset(
     " vestor eiusmod incididunt labore dolore".split()
 )
 
+# At least one of these words stands in every message that the wording rules know.
+_TRIGGERS = frozenset(
+    "access denied request blocked forbidden authorized authorised database connection internal unexpected bad gateway service"
+    " unavailable backend upstream invalid requests slow fatal uncaught trace exception found missing gone lives longer exist"
+    " moved maintenance back later wrong occurred error erreur fehler http introuvable existe retiré supprimé déplacé accès"
+    " demandé demandée indisponible nada encontrado encontrada acceso mantenimiento disponible gibt gefunden nichts verfügbar"
+    " erreichbar vorhanden zugriff wartungsarbeiten fehlt existiert unauthorized lorem todo tbd fixme xxx tba text placeholder"
+    " title content headline write describe replace untitled soon texto texte ejemplo sustituir contenido próximamente compléter"
+    " venir inhalt folgt eingeben einfügen platzhalter beispieltext mustertext blindtext insert javascript script scripts"
+    " scripting nécessaire necesario erforderlich nötig browser wait loading patienter warten espere sorry oops vaya hoppla oups"
+    " dead new available nothing sin neue nouvelle nueva ref 0 undefined null none nan translation value"
+    " translation_key_not_found".split()
+)
+_SPECIAL = frozenset("{}[]%_#$<")
+
 #: Longer lines are paragraphs: they may quote a message, they are not one.
 MESSAGE_CHARS = 170
 #: A line of so many characters may read as sentences.
@@ -84,13 +100,16 @@ REAL_CHARS = 40
 
 def classify(message: str) -> tuple[str, bool] | None:
     """(kind, strong) of a normalised message, or None. A weak one counts only if it recurs across sources."""
-    if _PLACEHOLDER.search(message):
+    found = WORD.findall(message)
+    special = not _SPECIAL.isdisjoint(message)
+    if special and _PLACEHOLDER.search(message):
         rest = WORD.findall(_PLACEHOLDER.sub(" ", message))
         if len(rest) <= 10:
             return "placeholder", True
+    if not special and _TRIGGERS.isdisjoint(found) and _LATIN.isdisjoint(found) and not message.startswith(("xxx", "n/a")):
+        return None
     if _NO_VALUE.search(message):
         return "placeholder", True
-    found = WORD.findall(message)
     if found and len(found) >= 4 and sum(w in _LATIN for w in found) >= 0.3 * len(found):
         if not any(w in FUNCTION_WORDS for w in found) or len(message) <= MESSAGE_CHARS:
             return "filler", True

@@ -14,20 +14,21 @@ _hashes: dict[str, int] = {}
 
 def words(text: str) -> list[str]:
     """Maximal runs of letters and digits, lower-cased."""
-    return [w.lower() for w in WORD.findall(text)]
+    if "İ" in text:  # the one letter whose lower case holds a mark that is no letter
+        return [w.lower() for w in WORD.findall(text)]
+    return WORD.findall(text.lower())
 
 
 def word_hashes(found: list[str]) -> np.ndarray:
-    if len(_hashes) > 400_000:
-        _hashes.clear()
-    get = _hashes.get
-    out = []
-    for w in found:
-        h = get(w)
-        if h is None:
-            h = _hashes[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+    try:
+        return np.array([_hashes[w] for w in found], np.uint64)
+    except KeyError:
+        if len(_hashes) > 400_000:
+            _hashes.clear()
+        for w in found:
+            if w not in _hashes:
+                _hashes[w] = xxhash.xxh3_64_intdigest(w)
+        return np.array([_hashes[w] for w in found], np.uint64)
 
 
 def finish(x: np.ndarray) -> np.ndarray:
@@ -41,10 +42,12 @@ def runs(h: np.ndarray, size: int) -> np.ndarray:
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    x = np.zeros(n, np.uint64)
-    for i in range(size):
-        x = finish(x + h[i : i + n] * _MIX[i % len(_MIX)])
-    return x
+    # A polynomial in an odd base, so that order counts at any length.
+    x = h[:n].copy()
+    for i in range(1, size):
+        x *= _MIX[1]
+        x += h[i : i + n]
+    return finish(x)
 
 
 def shingle_set(text: str, size: int) -> np.ndarray:
@@ -55,17 +58,18 @@ def shingle_set(text: str, size: int) -> np.ndarray:
 def multipliers(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     return (
-        rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1),
-        rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64),
+        rng.integers(0, 1 << 31, n, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1),
+        rng.integers(0, 1 << 32, n, dtype=np.int64).astype(np.uint32),
     )
 
 
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The minimum of each hash function over the set; the set must not be empty."""
-    out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1024):  # bounds memory for very long texts
-        x = shingles[at : at + 1024, None] * a + b
-        x ^= x >> np.uint64(31)
+    """The minimum of each 32-bit hash function over the set; the set must not be empty."""
+    out = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    low = (shingles >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(low), 2048):  # bounds memory for very long texts
+        x = low[at : at + 2048, None] * a
+        x += b
         np.minimum(out, x.min(axis=0), out=out)
     return out
 
