@@ -1,7 +1,8 @@
 """Evaluation items inside documents: a BM25 index of the items, searched by every passage with block-max WAND.
 
 Every document is cut into overlapping passages, so that any run of RUN words
-lies whole in one of them. Each passage is a query against the items. An
+lies whole in one of them. Each passage is a query against the items. The terms
+of the index are runs of GRAM words, which few passages share by chance. An
 item's weights are divided by the least score that any of its own runs of RUN
 words gives, so a passage that holds such a run scores 1 or more: the search
 loses no leak. It visits only postings of essential terms (those without which
@@ -24,10 +25,11 @@ from pyspark.sql import functions as F
 
 from pagelattice.llm.shingles import runs, word_hashes, words
 
-#: Words of a run that counts as a leak; words of a passage; BM25's usual parameters.
-RUN, PASSAGE, K1, B = 13, 39, 1.2, 0.75
+#: Words of a run that counts as a leak, of a term, of a passage; BM25's usual parameters.
+RUN, GRAM, PASSAGE, K1, B = 13, 3, 39, 1.2, 0.75
+STRIDE = PASSAGE - RUN + 1
 #: Items side by side in a block of the index; characters of item text in one broadcast index.
-BLOCK, INDEX_CHARS = 16, 4 << 20
+BLOCK, INDEX_CHARS = 16, 1 << 20
 #: Documents searched together: bounds the worker's memory.
 CHUNK = 400
 EPS = 1e-4
@@ -35,53 +37,65 @@ EPS = 1e-4
 
 class Index(NamedTuple):
     ids: np.ndarray  # item ids
-    terms: dict[str, int]
-    weight: np.ndarray  # [terms, items] float32, scaled so that a leak scores 1
-    block_max: np.ndarray  # [terms, blocks]
+    grams: list[int]  # sizes of the terms: GRAM, and less for items with fewer words
+    keys: np.ndarray  # [terms] hash of the term, rising
     top: np.ndarray  # [terms] largest weight
-    starts: np.ndarray  # postings of term t: items[starts[t]:starts[t + 1]]
+    starts: np.ndarray  # postings of term t: items[starts[t]:starts[t + 1]], by item
     items: np.ndarray
+    weight: np.ndarray  # of each posting, scaled so that a leak scores 1
+    block_starts: np.ndarray  # block postings of term t, as above
+    blocks: np.ndarray
+    block_max: np.ndarray
     run_size: np.ndarray  # [items] RUN, or the item's words if fewer
     item_runs: list[np.ndarray]  # [items] sorted run hashes
 
 
+def _terms(h: np.ndarray, gram: int) -> np.ndarray:
+    return runs(h, gram) + np.uint64(gram)
+
+
 def build(ids: list[int], texts: list[str]) -> Index:
     """The index of some items; items without words never leak."""
-    parsed = [(i, w) for i, t in zip(ids, texts) if (w := words(t or ""))]
-    terms: dict[str, int] = {}
-    for _, w in parsed:
-        for x in w:
-            terms.setdefault(x, len(terms))
+    parsed = [(i, word_hashes(w)) for i, t in zip(ids, texts) if (w := words(t or ""))]
     n = len(parsed)
-    tf = np.zeros((len(terms), n), np.float32)
-    coded = []
-    for j, (_, w) in enumerate(parsed):
-        c = np.array([terms[x] for x in w])
-        coded.append(c)
-        np.add.at(tf[:, j], c, 1)
-    df = (tf > 0).sum(1)
-    sizes = np.array([len(c) for c in coded] or [1], np.float32)
+    gram = [min(GRAM, len(h)) for _, h in parsed]
+    coded = [_terms(h, g) for (_, h), g in zip(parsed, gram)]
+    keys, flat = np.unique(np.concatenate(coded) if coded else np.zeros(0, np.uint64), return_inverse=True)
+    owner = np.repeat(np.arange(n), [len(c) for c in coded])
+    pair, tf = np.unique(flat.astype(np.int64) * max(n, 1) + owner, return_counts=True)
+    term, item = pair // max(n, 1), pair % max(n, 1)
+    df = np.bincount(term, minlength=len(keys))
+    sizes = np.array([len(c) for c in coded] or [1], np.float64)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    weight = (idf[:, None] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes / sizes.mean()))).astype(np.float32)
-    size = np.minimum(RUN, sizes).astype(np.int64)
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / sizes.mean()))
+    size = np.array([min(RUN, len(h)) for _, h in parsed], np.int64)
+    own = {int(p): w for p, w in zip(pair, weight)}
+    at = 0
+    least = np.ones(n)
     for j, c in enumerate(coded):
-        k = int(size[j])
-        least = min(weight[np.unique(c[s : s + k]), j].sum() for s in range(len(c) - k + 1))
-        weight[:, j] /= least
-    blocks = -(-n // BLOCK)
-    padded = np.zeros((len(terms), blocks * BLOCK), np.float32)
-    padded[:, :n] = weight
-    t, items = np.nonzero(weight)
+        t = flat[at : at + len(c)]
+        at += len(c)
+        span = int(size[j]) - gram[j] + 1  # terms within a run
+        least[j] = min(sum(own[int(x) * n + j] for x in set(t[s : s + span].tolist())) for s in range(len(c) - span + 1))
+    weight = weight / least[item]
+    blocks, first = np.unique(term * (n // BLOCK + 1) + item // BLOCK, return_index=True)
+    block_term = blocks // (n // BLOCK + 1)
+    steps = np.arange(len(keys) + 1)
+    top = np.zeros(len(keys))
+    np.maximum.at(top, term, weight)
     return Index(
         np.array([i for i, _ in parsed], np.int64),
-        terms,
+        sorted(set(gram)),
+        keys,
+        top,
+        np.searchsorted(term, steps),
+        item,
         weight,
-        padded.reshape(len(terms), blocks, BLOCK).max(2),
-        weight.max(1, initial=0),
-        np.searchsorted(t, np.arange(len(terms) + 1)),
-        items,
+        np.searchsorted(block_term, steps),
+        blocks % (n // BLOCK + 1),
+        np.maximum.reduceat(weight, first) if len(weight) else weight,
         size,
-        [np.unique(runs(word_hashes(w), int(k))) for (_, w), k in zip(parsed, size)],
+        [np.unique(runs(h, int(k))) for (_, h), k in zip(parsed, size)],
     )
 
 
@@ -91,58 +105,80 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes - starts, sizes)
 
 
-def search(index: Index, texts: list[list[str]]) -> list[tuple[int, int, float]]:
-    """(text number, item number, best passage score) of all passages that score 1 or more."""
-    get = index.terms.get
-    n_terms = len(index.terms)
-    doc_of, owner, coded = [], [], []
-    passages = 0
-    for d, found in enumerate(texts):
-        ids = np.array([get(w, -1) for w in found], np.int64)
-        at = 0
-        while True:
-            part = ids[at : at + PASSAGE]
-            part = part[part >= 0]
-            if len(part):
-                coded.append(part)
-                owner.append(np.full(len(part), passages))
-                doc_of.append(d)
-                passages += 1
-            if at + PASSAGE >= len(ids):
-                break
-            at += PASSAGE - RUN + 1
-    if not passages:
+def _queries(index: Index, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, term) of every passage and each distinct index term in it, passages rising.
+
+    A passage is text number * 2**32 + its number within the text.
+    """
+    sizes = np.array([len(h) for h in texts], np.int64)
+    whole = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    pos = np.arange(len(whole)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    found = []
+    for g in index.grams:
+        if len(whole) < g:
+            continue
+        key = _terms(whole, g)
+        at = np.minimum(np.searchsorted(index.keys, key), len(index.keys) - 1)
+        hit = np.flatnonzero((index.keys[at] == key) & (doc[: len(key)] == doc[g - 1 :]))
+        d, p, t = doc[hit], pos[hit], at[hit]
+        last = p // STRIDE
+        first = np.maximum(0, -(-(p + g - PASSAGE) // STRIDE))
+        two = first < last
+        for k, m in ((last, slice(None)), (first, two)):
+            found.append(np.stack([(d[m] << 32) + k[m], t[m]]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    passage, term = np.concatenate(found, axis=1)
+    order = np.lexsort((term, passage))
+    passage, term = passage[order], term[order]
+    new = np.r_[True, (passage[1:] != passage[:-1]) | (term[1:] != term[:-1])][: len(passage)]
+    return passage[new], term[new]
+
+
+def search(index: Index, texts: list[np.ndarray]) -> list[tuple[int, int, float]]:
+    """(text number, item number, best passage score) of all passages that score 1 or more; texts as word hashes."""
+    passage, term = _queries(index, texts)
+    if not len(passage):
         return []
-    pairs = np.unique(np.concatenate(owner) * n_terms + np.concatenate(coded))
-    passage, term = pairs // n_terms, pairs % n_terms
     # Within a passage by rising impact: terms that together cannot reach 1 are not essential.
     order = np.lexsort((index.top[term], passage))
     passage, term = passage[order], term[order]
     begin = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
     length = np.diff(np.r_[begin, len(passage)])
-    total = np.cumsum(index.top[term].astype(np.float64))
+    number = np.repeat(np.arange(len(begin)), length)
+    total = np.cumsum(index.top[term])
     before = np.repeat(np.r_[0, total[begin[1:] - 1]], length)
-    essential = np.flatnonzero(total - before >= 1 - EPS)
+    full = np.add.reduceat(index.top[term], begin) >= 1 - EPS
+    live = full[number]
+    essential = np.flatnonzero(live & (total - before >= 1 - EPS))
     if not len(essential):
         return []
-    # Block maxima of each passage, then the postings of its essential terms in blocks that can reach 1.
-    bound = np.add.reduceat(index.block_max[term], begin, axis=0)
-    count = index.starts[term[essential] + 1] - index.starts[term[essential]]
-    item = index.items[_ranges(index.starts[term[essential]], count)]
-    from_ = np.repeat(passage[essential], count)
-    can = bound[from_, item // BLOCK] >= 1 - EPS
-    n_items = len(index.ids)
-    candidate = np.unique(from_[can] * n_items + item[can])
+    n_items, n_blocks = len(index.ids), len(index.ids) // BLOCK + 1
+
+    def gather(which: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = starts[term[which] + 1] - starts[term[which]]
+        return np.repeat(number[which], count), _ranges(starts[term[which]], count)
+
+    # Sums of block maxima per (passage, block): blocks below 1 are skipped whole.
+    alive = np.flatnonzero(live)
+    of, at = gather(alive, index.block_starts)
+    spot, back = np.unique(of * n_blocks + index.blocks[at], return_inverse=True)
+    open_ = spot[np.bincount(back, weights=index.block_max[at]) >= 1 - EPS]
+    of, at = gather(essential, index.starts)
+    item = index.items[at]
+    candidate = np.unique(of * n_items + item)
+    candidate = candidate[np.isin(candidate // n_items * n_blocks + candidate % n_items // BLOCK, open_)]
+    # Full scores of the candidates, from all postings of their passages.
+    of, at = gather(alive, index.starts)
+    key = of * n_items + index.items[at]
+    place = np.minimum(np.searchsorted(candidate, key), max(len(candidate) - 1, 0))
+    mine = candidate[place] == key if len(candidate) else np.zeros(len(key), bool)
+    score = np.bincount(place[mine], weights=index.weight[at][mine], minlength=len(candidate))
     out: dict[tuple[int, int], float] = {}
-    for at in range(0, len(candidate), 20_000):
-        c = candidate[at : at + 20_000]
-        p, i = c // n_items, c % n_items
-        size = length[p]
-        flat = term[_ranges(begin[p], size)]
-        score = np.add.reduceat(index.weight[flat, np.repeat(i, size)], np.r_[0, np.cumsum(size)[:-1]])
-        for k in np.flatnonzero(score >= 1 - EPS):
-            key = doc_of[p[k]], int(i[k])
-            out[key] = max(out.get(key, 0.0), float(score[k]))
+    for c in np.flatnonzero(score >= 1 - EPS):
+        d = int(passage[begin[candidate[c] // n_items]] >> 32), int(candidate[c] % n_items)
+        out[d] = max(out.get(d, 0.0), float(score[c]))
     return [(d, i, s) for (d, i), s in out.items()]
 
 
@@ -171,12 +207,12 @@ def _against(documents: DataFrame, index: Index) -> DataFrame:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
             for at in range(0, len(ids), CHUNK):
-                found = [words(t) for t in texts[at : at + CHUNK]]
+                found = [word_hashes(words(t)) for t in texts[at : at + CHUNK]]
                 cache: dict[tuple[int, int], np.ndarray] = {}
                 for d, i, score in search(index, found):
                     k = int(index.run_size[i])
                     if (d, k) not in cache:
-                        cache[d, k] = np.unique(runs(word_hashes(found[d]), k))
+                        cache[d, k] = np.unique(runs(found[d], k))
                     hit = np.intersect1d(cache[d, k], index.item_runs[i], assume_unique=True)
                     if len(hit):
                         rows.append((ids[at + d], int(index.ids[i]), score, len(hit) / len(index.item_runs[i])))
