@@ -32,6 +32,8 @@ def load(field: str | None) -> Any:
     if not field:
         return None
     try:
+        if "\\ud" in field or "\\uD" in field:  # lone surrogates cannot be stored as text
+            field = json.dumps(json.loads(field), ensure_ascii=False).encode("utf-8", "replace").decode()
         doc = json.loads(field)
         if isinstance(doc, str):
             doc = json.loads(doc)
