@@ -145,10 +145,10 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, voca
         F.coalesce("tokens", F.lit(0)).alias("source_tokens"),
         F.coalesce("documents", F.lit(0)).alias("documents"),
     )
-    whole = F.lit(total) if total is not None else F.col("all_tokens")
+    if total is None:
+        total = sums.agg(F.sum("tokens")).first()[0] or 0
     plan = durable(
-        plan.crossJoin(F.broadcast(plan.agg(F.sum("source_tokens").alias("all_tokens"))))  # one row beside each source
-        .withColumn("wanted_tokens", F.col("target_share") * whole)
+        plan.withColumn("wanted_tokens", F.col("target_share") * F.lit(total))
         .withColumn("short", F.col("source_tokens") * F.col("max_repeats") < F.col("wanted_tokens"))
         .withColumn(
             "rate",
@@ -193,14 +193,15 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, voca
     sample = decided[0]
     for part in decided[1:]:
         sample = sample.unionAll(part)
-    used = sample.groupBy("source").agg(
-        F.sum(F.col("tokens") * F.col("repeats")).alias("used_tokens"),
-        F.sum("repeats").alias("used_documents"),
-        F.max("repeats").alias("most_repeats"),
+    used = durable(
+        sample.groupBy("source").agg(
+            F.sum(F.col("tokens") * F.col("repeats")).alias("used_tokens"),
+            F.sum("repeats").alias("used_documents"),
+            F.max("repeats").alias("most_repeats"),
+        )
     )
-    report = plan.join(used, "source", "left")
-    mixed = report.agg(F.sum("used_tokens").alias("mixed_tokens"))
-    report = report.crossJoin(F.broadcast(mixed)).select(  # one row beside each source
+    mixed = used.agg(F.sum("used_tokens")).first()[0] or 0
+    report = plan.join(used, "source", "left").select(
         "source",
         "target_share",
         "max_repeats",
@@ -209,7 +210,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, voca
         F.coalesce("used_documents", F.lit(0)).alias("used_documents"),
         F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"),
         F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
-        F.coalesce(F.try_divide("used_tokens", "mixed_tokens"), F.lit(0.0)).alias("actual_share"),
+        F.coalesce(F.try_divide(F.col("used_tokens"), F.lit(mixed)), F.lit(0.0)).alias("actual_share"),
         "short",
     )
     return Mix(report, sample)

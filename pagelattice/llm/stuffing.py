@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.session import durable
-
 #: Compressed size against the expected one, below which the redundancy is extreme; and the most sentences beside it.
 EXTREME, EXTREME_PROPER = 0.72, 0.6
 #: Milder redundancy, where hardly any words stand in sentences and words repeat.
@@ -36,9 +34,16 @@ def expected(facts: DataFrame) -> DataFrame:
 
 def measured(facts: DataFrame) -> DataFrame:
     """(page_id, words, proper_share, distinct_share, redundancy): redundancy is compressed size over the expected one."""
-    curve = durable(expected(facts))
+    curve = expected(facts).where("slope is not null and start is not null").collect()  # a row per known language
     # Pages without any known function word, as pure keyword pages, are held against all languages together.
-    overall = curve.agg(F.avg("slope").alias("slope0"), F.avg("start").alias("start0"))
+    mean = [sum(c[k] for c in curve) / len(curve) if curve else v for k, v in (("slope", -0.25), ("start", 0.7))]
+
+    def of(name: str, other: float):
+        out = F.lit(other)
+        for c in curve:
+            out = F.when(F.col("lang") == c.lang, F.lit(c[name])).otherwise(out)
+        return out
+
     ratio = F.aggregate(
         F.transform(
             F.filter("sizes", lambda n: n > 0), lambda n: F.exp(F.col("start") + (F.col("slope") + 1) * F.log(n))
@@ -48,10 +53,8 @@ def measured(facts: DataFrame) -> DataFrame:
     )
     return (
         facts.where("words > 0")
-        .join(F.broadcast(curve), "lang", "left")  # a row per language
-        .join(F.broadcast(overall), F.lit(True), "left")  # one row
-        .withColumn("slope", F.coalesce("slope", "slope0", F.lit(-0.25)))
-        .withColumn("start", F.coalesce("start", "start0", F.lit(0.7)))
+        .withColumn("slope", of("slope", mean[0]))
+        .withColumn("start", of("start", mean[1]))
         .select(
             "page_id",
             "words",
