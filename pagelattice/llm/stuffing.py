@@ -24,7 +24,7 @@ def expected(facts: DataFrame) -> DataFrame:
         "lang", F.explode(F.arrays_zip("sizes", "packed")).alias("b")
     )
     points = usual.where("b.sizes > 0").select(
-        "lang", F.log("b.sizes").alias("x"), F.log(F.col("b.packed") / F.col("b.sizes")).alias("y")
+        "lang", F.log("b.sizes").alias("x"), F.log(F.try_divide("b.packed", "b.sizes")).alias("y")
     )
     return points.groupBy("lang").agg(
         F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("slope"),
@@ -58,9 +58,9 @@ def measured(facts: DataFrame) -> DataFrame:
         .select(
             "page_id",
             "words",
-            (F.col("proper") / F.col("words")).alias("proper_share"),
-            (F.col("distinct_words") / F.col("words")).alias("distinct_share"),
-            (F.aggregate("packed", F.lit(0.0), lambda a, b: a + b) / ratio).alias("redundancy"),
+            F.try_divide("proper", "words").alias("proper_share"),
+            F.try_divide("distinct_words", "words").alias("distinct_share"),
+            F.try_divide(F.aggregate("packed", F.lit(0.0), lambda a, b: a + b), ratio).alias("redundancy"),
         )
     )
 
@@ -82,7 +82,7 @@ def stuffed_pages(facts: DataFrame, links: DataFrame, residue: DataFrame) -> Dat
             "anchor_words"
         ),
     )
-    share = F.coalesce(F.col("anchor_words") / F.col("words"), F.lit(0.0))
+    share = F.coalesce(F.try_divide("anchor_words", "words"), F.lit(0.0))
     extreme = F.col("redundancy") < EXTREME
     mild = (
         (F.col("redundancy") < MILD)
