@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ _BULLET = re.compile(r"^\s*(?:[-*•·–—+>]|\[[ xX]?\]|\(?\d{1,3}[.)]|[a-z][
 PROSE_FUNCTION, ENTRY_WORDS, ALIGNED = 0.14, 6.5, 0.6
 #: Least lines in which structure can be told; least words in which function words can.
 LINES, WORDS = 4, 6
+#: Share of lines with the same ending from which they are entries.
+ALIKE = 0.5
 #: Symbols beyond this share of the characters are markup, code or garbage.
 SYMBOLS = 0.3
 
@@ -72,11 +75,15 @@ def measure(text: str, common: frozenset) -> tuple | None:
     indent = _autocorrelation(indents) if indents.any() else 0.0
     lengths = _autocorrelation(np.array([len(x) for x in stripped], float))
     distinct = len(set(words)) / n if n else 0.0
+    # Entries made after one pattern end alike, line after line.
+    tails = Counter(" ".join(x.lower().split()[-2:]) for x in stripped)
+    alike = tails.most_common(1)[0][1] / len(lines)
     bullets = sum(bool(_BULLET.match(x)) for x in lines) / len(lines)
     non_prose = (
         n == 0
         or symbols > SYMBOLS
         or (n >= WORDS and function < PROSE_FUNCTION)
+        or (len(lines) >= LINES and alike >= ALIKE and per_line < 2 * ENTRY_WORDS)
         or (
             len(lines) >= LINES
             and per_line < ENTRY_WORDS
