@@ -27,6 +27,8 @@ _ENDS = (".", "!", "?", "…", '"', "»", "”", "“", "'", ")", "’")
 _BULLET = re.compile(r"^\s*(?:[-*•·–—+>]|\[[ xX]?\]|\(?\d{1,3}[.)]|[a-z][.)])\s+")
 #: Least share of function words in prose; entries have fewer words a line; tables align in this share of lines.
 PROSE_FUNCTION, ENTRY_WORDS, ALIGNED = 0.14, 6.5, 0.6
+#: Autocorrelation of indents or line lengths from which lines follow a pattern.
+PERIOD = 0.5
 #: Least lines in which structure can be told; least words in which function words can.
 LINES, WORDS = 4, 6
 #: Share of lines with the same ending from which they are entries.
@@ -87,7 +89,13 @@ def measure(text: str, common: frozenset) -> tuple | None:
         or (
             len(lines) >= LINES
             and per_line < ENTRY_WORDS
-            and (ends >= 0.8 or bullets >= 0.5 or aligned >= ALIGNED or function < 2 * PROSE_FUNCTION)
+            and (
+                ends >= 0.8
+                or bullets >= 0.5
+                or aligned >= ALIGNED
+                or max(indent, lengths) >= PERIOD
+                or function < 2 * PROSE_FUNCTION
+            )
             and not (function >= 0.3 and ends < 0.5 and aligned < ALIGNED)
         )
     )
