@@ -39,24 +39,29 @@ def _row(rule_id: str, status) -> list:
     return ["audit_id", "page_id", F.lit(rule_id).alias("rule_id"), status.alias("status"), score.cast("int").alias("score")]
 
 
-def _w(*by: str):
-    return Window.partitionBy(*by).orderBy("ord", "page_id")
+def _first(df: DataFrame, *by: str) -> DataFrame:
+    """Adds `first`: whether a row is its group's first in crawl order (ord, page_id).
+
+    The group's first row is an aggregate joined back, not a window: a value
+    that a third of all pages share is combined before it moves, and the skewed
+    side of the join is split.
+    """
+    firsts = df.groupBy(*by).agg(F.min(F.struct("ord", "page_id"))["page_id"].alias("first_page"))
+    return df.join(firsts, list(by)).withColumn("first", F.col("page_id") == F.col("first_page")).drop("first_page")
 
 
 def first_seen(parsed: DataFrame) -> list[DataFrame]:
     """Titles, descriptions and texts: the first page of an audit that has one passes, later ones do not.
 
-    Pages are taken in crawl order (ord, page_id). The windows hold only keys
-    and page ids of pages with the value, not documents.
+    Pages are taken in crawl order (ord, page_id).
     """
     f = F.col("facts")
     base = parsed.select("audit_id", "page_id", "ord", *(f[x].alias(x) for x in ("title_key", "description_key", "text_key", "text_chars", "description_chars")))
 
     def rule(rule_id: str, key: str, empty, short, again: str) -> DataFrame:
-        n = F.row_number().over(_w("audit_id", key))
-        counted = base.where(F.col(key).isNotNull() & ~short).withColumn("n", n)
-        plain = base.where(F.col(key).isNull() | short)
-        status = F.when(F.col("n") == 1, "P").otherwise(again)
+        counted = _first(base.where(F.col(key).isNotNull() & F.col("audit_id").isNotNull() & ~short), "audit_id", key)
+        plain = base.where(F.col(key).isNull() | F.col("audit_id").isNull() | short)
+        status = F.when(F.col("first"), "P").otherwise(again)
         return counted.select(*_row(rule_id, status)).unionAll(plain.select(*_row(rule_id, empty)))
 
     never = F.lit(False)
@@ -83,8 +88,8 @@ def near_duplicates(parsed: DataFrame, low: float = 0.6, high: float = 0.8) -> D
     """
     p = parsed.select("audit_id", "page_id", "ord", F.col("facts.trigrams").alias("grams"), F.col("facts.text_chars").alias("chars"))
     has = p.where(F.size("grams") > 0).withColumn("set_key", F.sha2(F.concat_ws(",", "grams"), 256))
-    ranked = has.withColumn("k", F.row_number().over(_w("audit_id", "set_key")))
-    heads = ranked.where("k = 1")
+    ranked = _first(has, "audit_id", "set_key")
+    heads = ranked.where("first")
     grams = heads.select("audit_id", "page_id", "ord", F.size("grams").alias("n"), F.explode("grams").alias("g"))
     frequency = grams.groupBy("audit_id", "g").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("audit_id", "page_id").orderBy("df", "g")
@@ -113,8 +118,8 @@ def near_duplicates(parsed: DataFrame, low: float = 0.6, high: float = 0.8) -> D
         .groupBy("audit_id", "page_id")
         .agg(F.max("j").alias("j"))
     )
-    head = ranked.select("audit_id", "page_id", "k", "chars", F.size("grams").alias("n"))
-    similarity = F.when(F.col("k") > 1, 1.0).otherwise(F.coalesce("j", F.lit(0.0)))
+    head = ranked.select("audit_id", "page_id", "first", "chars", F.size("grams").alias("n"))
+    similarity = F.when(~F.col("first"), 1.0).otherwise(F.coalesce("j", F.lit(0.0)))
     judged = head.join(best, ["audit_id", "page_id"], "left").withColumn("s", similarity)
     exempt = (F.coalesce("chars", F.lit(0)) < 100) | (F.col("n") < 5)
     status = F.when(exempt, "P").when(F.col("s") > high, "F").when(F.col("s") > low, "W").otherwise("P")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlsplit, urlunsplit
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,11 +78,19 @@ def crawl(links: DataFrame, start: list[str], max_pages: int = 100, rule: UrlFil
     """
     rule = rule or UrlFilter()
     spark = links.sparkSession
-    norm = F.udf(rule.normalise, "string")
-    good = F.udf(lambda u: rule.should_crawl(u) and not NO_PAGE.search(urlsplit(u).path), "boolean")
-    edges = durable(
-        links.select(norm("url").alias("src"), norm("href").alias("dst"), "pos").where(good("dst"))
-    )
+
+    def good(url: str) -> bool:
+        return rule.should_crawl(url) and not NO_PAGE.search(urlsplit(url).path)
+
+    def edges_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            part = part.dropna(subset=["url", "href"])
+            known = {u: rule.normalise(u) for u in {*part.url, *part.href}}  # each distinct url once
+            out = pd.DataFrame({"src": part.url.map(known), "dst": part.href.map(known), "pos": part.pos})
+            fit = {u: good(u) for u in set(out.dst)}
+            yield out[out.dst.map(fit).astype(bool)]
+
+    edges = durable(links.select("url", "href", F.col("pos").cast("bigint")).mapInPandas(edges_of, "src string, dst string, pos bigint"))
     first = list(dict.fromkeys(map(rule.normalise, start)))[:max_pages]
     seen = spark.createDataFrame([(u, 0, i) for i, u in enumerate(first)], "url string, depth int, ord bigint")
     frontier, n, depth = seen, len(first), 0
