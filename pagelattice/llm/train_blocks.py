@@ -1,7 +1,7 @@
 """Trains the block model: python -m pagelattice.llm.train_blocks TABLES_FOLDER [PAGES].
 
 The tables carry no labels, so rules label a bounded sample of pages (PAGES,
-3,000 by default) of sites with enough pages to tell what repeats. The rules
+4,000 by default) of sites with enough pages to tell what repeats. The rules
 use what is only known offline: the whole site's repetition, phrase patterns
 shared by many sites, and the place of the headline. The network sees neither
 the patterns nor the class names it must generalise over; it has to learn from
@@ -20,8 +20,10 @@ import numpy as np
 from pagelattice.functions.lines import blocks
 from pagelattice.llm import block_model as M
 
-#: Upper bound of labelled pages.
-SAMPLE = 3000
+#: Upper bound of labelled pages, in all and of one crawl.
+SAMPLE, PER_CRAWL = 4000, 30
+#: Shares of lines whose word or path vector is hidden in training, so that neither alone decides.
+HIDE_WORDS, HIDE_PATH = 0.65, 0.4
 _DIGITS = re.compile(r"\d+")
 # How dates, counters, breadcrumbs and teasers begin in the four languages.
 _META = re.compile(
@@ -70,8 +72,8 @@ def masked(text: str, brand: str) -> str:
     return re.sub(re.escape(brand), "BRAND", text, flags=re.I) if brand else text
 
 
-def sample(folder: str, limit: int) -> tuple[list, list, list]:
-    """(pages, supports, labels) for training."""
+def sample(folder: str, limit: int) -> tuple[list, list, list, list]:
+    """(pages, supports, labels, crawls) for training."""
     import pandas as pd
 
     df = pd.read_parquet(f"{folder}/pages.parquet", columns=["crawl_id", "url", "html"])
@@ -92,10 +94,13 @@ def sample(folder: str, limit: int) -> tuple[list, list, list]:
     common = {t for t, cs in spread.items() if len(cs) >= 5 and not t.startswith(("Update ", "Tags:"))}
     todo = [i for i, c in enumerate(df.crawl_id) if size[c] >= 30]
     random.Random(5).shuffle(todo)
-    out: tuple[list, list, list] = ([], [], [])
+    out: tuple[list, list, list, list] = ([], [], [], [])
     crawl = list(df.crawl_id)
+    taken: Counter = Counter()
     for i in todo:
         c = crawl[i]
+        if taken[c] >= PER_CRAWL:
+            continue
         if sum(len(t) > 40 and t[-1:] in ".!?…" and count[c][t] < 4 for t, _, _ in pages[i]) < 3:
             continue  # residue, spam and stubs teach nothing about main content
         need = max(5, 0.1 * size[c])
@@ -105,6 +110,8 @@ def sample(folder: str, limit: int) -> tuple[list, list, list]:
             out[0].append(pages[i])
             out[1].append(support_of(count[c], size[c]))
             out[2].append(got)
+            taken[c] += 1
+            out[3].append(c)
         if len(out[0]) >= limit:
             break
     return out
@@ -142,7 +149,7 @@ def _back(keep: list, wh: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.
     return pre, dwh
 
 
-def train(pages: list, supports: list, labels: list, epochs: int = 14, lanes: int = 48, rate: float = 0.01) -> dict:
+def train(pages: list, supports: list, labels: list, epochs: int = 18, lanes: int = 48, rate: float = 0.01) -> dict:
     rng = np.random.default_rng(3)
     k = M.HIDDEN
 
@@ -170,15 +177,18 @@ def train(pages: list, supports: list, labels: list, epochs: int = 14, lanes: in
         for batch in batches:
             step += 1
             nums, paths, words, ys, sizes = [], [], [], [], []
-            drop = rng.random(len(batch)) < 0.15  # some pages without site statistics, as on tiny sites
-            for j, i in enumerate(batch):
+            for i in batch:
                 a, b, c = feats[i]
-                nums += [(*r[:3], 0.0, 0.0, *r[5:]) for r in a] if drop[j] else a
+                nums += a
                 paths += b
                 words += c
                 ys += labels[i]
                 sizes.append(len(a))
             flat_x = M.inputs(w, nums, paths, words)
+            seen_words = (rng.random(len(nums)) >= HIDE_WORDS)[:, None]
+            seen_path = (rng.random(len(nums)) >= HIDE_PATH)[:, None]
+            flat_x[:, : M.E_PATH] *= seen_path
+            flat_x[:, M.E_PATH : M.E_PATH + M.E_WORD] *= seen_words
             x, mask = M.pad(flat_x, sizes)
             y, _ = M.pad(np.array(ys, np.float32)[:, None], sizes)
             kf, kb = [], []
@@ -203,12 +213,12 @@ def train(pages: list, supports: list, labels: list, epochs: int = 14, lanes: in
             }
             ids = np.array(paths)
             for col in range(ids.shape[1]):
-                np.add.at(g["path"], ids[:, col], flat[:, : M.E_PATH] / ids.shape[1])
+                np.add.at(g["path"], ids[:, col], flat[:, : M.E_PATH] * seen_path / ids.shape[1])
             n_words = np.array([len(v) for v in words])
             np.add.at(
                 g["word"],
                 np.concatenate([np.array(v, np.int64) for v in words]),
-                np.repeat(flat[:, M.E_PATH : M.E_PATH + M.E_WORD] / n_words[:, None], n_words, axis=0),
+                np.repeat(flat[:, M.E_PATH : M.E_PATH + M.E_WORD] * seen_words / n_words[:, None], n_words, axis=0),
             )
             for a in w:
                 m1[a] = 0.9 * m1[a] + 0.1 * g[a]
@@ -222,13 +232,15 @@ def train(pages: list, supports: list, labels: list, epochs: int = 14, lanes: in
 
 
 def main(folder: str, limit: int = SAMPLE) -> None:
-    pages, supports, labels = sample(folder, limit)
-    held = len(pages) // 5
-    print(f"{len(pages)} pages, {held} held out, share of main lines {np.mean([y for l in labels for y in l]):.3f}")
-    w = train(pages[held:], supports[held:], labels[held:])
-    got = M.label(w, pages[:held], supports[:held])
-    wrong = sum(int((g != np.array(l, bool)).sum()) for g, l in zip(got, labels[:held]))
-    print(f"held out: {wrong} of {sum(map(len, labels[:held]))} lines differ")
+    pages, supports, labels, crawls = sample(folder, limit)
+    # Whole crawls are held out: what repeats on a site must not be known from training.
+    out = [i for i, c in enumerate(crawls) if c % 6 == 0]
+    kept = [i for i, c in enumerate(crawls) if c % 6]
+    print(f"{len(pages)} pages, {len(out)} held out, share of main lines {np.mean([y for l in labels for y in l]):.3f}")
+    w = train(*([x[i] for i in kept] for x in (pages, supports, labels)))
+    got = M.label(w, [pages[i] for i in out], [supports[i] for i in out])
+    wrong = sum(int((g != np.array(labels[i], bool)).sum()) for g, i in zip(got, out))
+    print(f"held out: {wrong} of {sum(len(labels[i]) for i in out)} lines differ")
     np.savez_compressed(M.WEIGHTS, **{k: v.astype(np.float16) for k, v in w.items()})
 
 
