@@ -82,9 +82,17 @@ def _path_of(path: str) -> tuple[tuple[int, int, int, int], bool, bool]:
     return got
 
 
-def features(page: list[tuple[str, str, int]], support: dict[str, tuple[float, int]]) -> tuple[list, list, list]:
+def tokens(page: list[tuple[str, str, int]]) -> list[list[str]]:
+    """The lower-case tokens of each line."""
+    return [text.lower().split() for text, _, _ in page]
+
+
+def features(
+    page: list[tuple[str, str, int]], support: dict[str, tuple[float, int]], split_lines: list[list[str]] | None = None
+) -> tuple[list, list, list]:
     """(measures, path ids, word ids) of each line; support maps a line to its share and number of the site's pages."""
     n = len(page)
+    split_lines = split_lines or tokens(page)
     chars: dict[str, int] = {}
     known = [_paths.get(p) or _path_of(p) for _, p, _ in page]
     for text, path, _ in page:
@@ -100,11 +108,10 @@ def features(page: list[tuple[str, str, int]], support: dict[str, tuple[float, i
     before = None
     has_h1 = h1 >= 0
     none = (0.0, 0)
-    for i, (text, path, linked) in enumerate(page):
+    for i, ((text, path, linked), split) in enumerate(zip(page, split_lines)):
         size = len(text)
         ids, is_h1, is_head, within, part = of_path[path]
         share, count = support.get(text, none)
-        split = text.lower().split()
         nums.append(
             (
                 size.bit_length() / 8,
@@ -196,7 +203,9 @@ def load(path: Path = WEIGHTS) -> dict:
         return {k: f[k].astype(np.float32) for k in f.files}
 
 
-def label(w: dict, pages: list[list[tuple[str, str, int]]], supports: list[dict]) -> list[np.ndarray]:
+def label(
+    w: dict, pages: list[list[tuple[str, str, int]]], supports: list[dict], split_pages: list | None = None
+) -> list[np.ndarray]:
     """Per page, a boolean per line: belongs to the main content."""
     order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
@@ -204,7 +213,7 @@ def label(w: dict, pages: list[list[tuple[str, str, int]]], supports: list[dict]
         lanes = order[at : at + LANES]
         nums, paths, words, sizes = [], [], [], []
         for i in lanes:
-            a, b, c = features(pages[i], supports[i])
+            a, b, c = features(pages[i], supports[i], split_pages[i] if split_pages else None)
             nums += a
             paths += b
             words += c

@@ -49,10 +49,10 @@ def deflated(block: str) -> tuple[int, int]:
     return len(data), len(zlib.compress(data, 6))
 
 
-def measure(lines: list[str]) -> tuple[str, int, int, int, list[bool]]:
+def measure(lines: list[str], split_lines: list[list[str]]) -> tuple[str, int, int, int, list[bool]]:
     """(language, words, words in proper sentences, distinct words, which lines are real) of a page's own lines.
 
-    A line is proper if it ends as a sentence does, its sentences are long
+    split_lines are their lower-case tokens. A line is proper if it ends as a sentence does, its sentences are long
     enough on average and it has its share of function words; it is real if
     long enough as a whole. The language is the one with most telling words,
     "" without any.
@@ -61,8 +61,7 @@ def measure(lines: list[str]) -> tuple[str, int, int, int, list[bool]]:
     seen: set[str] = set()
     real = []
     is_function = FUNCTION_WORDS.__contains__
-    for line in lines:
-        found = line.lower().split()
+    for line, found in zip(lines, split_lines):
         n = len(found)
         words += n
         seen.update(found)
