@@ -147,4 +147,16 @@ having count(*) >= 15 and quantile_cont(v, 0.95) > 10 * quantile_cont(v, 0.5)"""
 select crawl_id, metric, n, share, round(case share
     {" ".join(f"when {x} then q[{i + 1}]" for i, x in enumerate(SHARES))} end, 3) as value
 from (select crawl_id, metric, count(*) as n, quantile_cont(v, {SHARES}) as q from used group by crawl_id, metric), shares""",
+    # Any usual token count gives the same sources; here words.
+    "p9_found": r"""with t as (select source, sum(len(regexp_extract_all(text, '\w+'))) as n from documents group by source)
+select source from mix_targets left join t using (source)
+where coalesce(n, 0) * max_repeats < target_share * (select sum(n) from t where source in (select source from mix_targets))""",
+    "p8_found": r"""with i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_items),
+  ik as (select *, least(13, len(w)) as k from i where len(w) > 0),
+  ig as (select distinct item_id, k, array_to_string(list_slice(w, s, s + k - 1), ' ') as g
+    from (select *, unnest(generate_series(1, len(w) - k + 1)) as s from ik)),
+  d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+  dg as (select doc_id, k, array_to_string(list_slice(w, s, s + k - 1), ' ') as g
+    from (select doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) as s from d, (select distinct k from ik) where len(w) >= k))
+select distinct doc_id, item_id from dg join ig using (k, g)""",
 }
