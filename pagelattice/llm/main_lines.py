@@ -19,7 +19,7 @@ def content_pages(pages: DataFrame, links: DataFrame, extra: Extra) -> DataFrame
     Labels and facts come from one pass; the few pages that turn out to be no
     content are taken out afterwards.
     """
-    facts = durable(page_facts.page_facts(pages, page_facts.site_support(pages), extra))
+    facts = page_facts.page_facts(pages, page_facts.site_support(pages), extra)
     broken = durable(residue.find(facts).select("page_id"))
     out = durable(broken.unionAll(stuffing.stuffed_pages(facts, links, broken).select("page_id")))
     names = [x.split()[0] for x in extra.fields.split(", ")]

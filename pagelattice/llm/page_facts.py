@@ -2,16 +2,19 @@
 
 The pass needs to know which lines a site repeats, so the line graph of the
 crawl comes first; its counts travel to the pages as one array per crawl.
+Copied pages share their content too. Pages with few words of their own are
+therefore set aside and judged by the lines that the other pages share.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Container, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagelattice.functions.lines import blocks
 from pagelattice.llm import block_model, redundancy
@@ -21,6 +24,10 @@ from pagelattice.session import durable, small_side
 
 #: A line is the site's, not the page's, from so many pages and this share of the crawl.
 SITE_PAGES, SITE_SHARE = 3, 0.04
+#: With less of its words on lines of its own, a page may be a copy: only lines that so many other pages hold are the site's.
+OWN_PART = 0.5
+#: With fewer words of its own even then, a page's redundancy is measured on all its lines.
+OWN_WORDS = 10
 #: Pages with more sentences of their own are not candidates for residue, unless most of their lines are no sentences.
 REAL_LINES, REAL_PART = 6, 0.2
 #: Pages handled together: bounds the worker's memory.
@@ -80,17 +87,26 @@ class Site:
         return self._table
 
 
-def _facts(page: list[tuple[str, str, int]], site: dict, split_lines: list[list[str]]) -> tuple:
+def _few_own(page: list[tuple[str, str, int]], site: dict, split_lines: list[list[str]]) -> bool:
+    own = sum(len(s) for (text, _, _), s in zip(page, split_lines) if text not in site)
+    return bool(site) and own < OWN_PART * sum(map(len, split_lines))
+
+
+def _facts(page: list[tuple[str, str, int]], site: Container[str], split_lines: list[list[str]]) -> tuple:
     mine = [text not in site for text, _, _ in page]
     own = [(text, path) for (text, path, _), m in zip(page, mine) if m]
-    packed = [redundancy.deflated(b) for b in redundancy.text_blocks(own)]
-    lang, words, proper, distinct, real = redundancy.measure([t for t, _ in own], [s for s, m in zip(split_lines, mine) if m])
+    measures = redundancy.measure([t for t, _ in own], [s for s, m in zip(split_lines, mine) if m])
+    real = measures[-1]
     messages = []
     if sum(real) <= max(REAL_LINES, REAL_PART * len(own)):
         # A site's own lines may be residue too: a template that fails, fails on many pages.
         reals = dict(zip((t for t, _ in own), real))
         messages = [{"text": normalise(t), "real": reals.get(t, False)} for t in dict.fromkeys(t for t, _, _ in page)]
-    return lang, words, proper, distinct, [n for n, _ in packed], [z for _, z in packed], messages
+    if measures[1] < OWN_WORDS and len(own) < len(page):
+        own = [(text, path) for text, path, _ in page]
+        measures = redundancy.measure([t for t, _ in own], split_lines)
+    packed = [redundancy.deflated(b) for b in redundancy.text_blocks(own)]
+    return *measures[:-1], [n for n, _ in packed], [z for _, z in packed], messages
 
 
 class Extra(NamedTuple):
@@ -100,37 +116,89 @@ class Extra(NamedTuple):
     make: Callable[[list[list[str]]], list[pa.Array]]
 
 
+def _names(fields: str) -> list[str]:
+    return [f.name for f in StructType.fromDDL(fields).fields]
+
+
+_TYPES = (pa.string(), *[pa.int32()] * 3, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(_MESSAGE))
+
+
+def shared_by_others(aside: DataFrame, support: DataFrame) -> DataFrame:
+    """(crawl_id, keys): per crawl, the lines of the pages set aside that are the site's by its other pages alone."""
+    pages = durable(aside.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("aside")))
+    held = aside.select("crawl_id", F.explode("shared").alias("a")).groupBy("crawl_id", "a").agg(F.count(F.lit(1)).alias("held"))
+    others = F.col("n") - F.col("held")
+    return (
+        support.join(small_side(pages, 16), "crawl_id")
+        .select("crawl_id", "size", "aside", F.explode(F.arrays_zip("keys", "counts")).alias("x"))
+        .select("crawl_id", "size", "aside", F.col("x.keys").alias("a"), F.col("x.counts").alias("n"))
+        .join(held, ["crawl_id", "a"])
+        .where((others >= SITE_PAGES) & (others >= SITE_SHARE * (F.col("size") - F.col("aside"))))
+        .groupBy("crawl_id")
+        .agg(F.collect_list("a").alias("keys"))
+    )
+
+
 def page_facts(pages: DataFrame, support: DataFrame, extra: Extra | None = None) -> DataFrame:
-    """Per page with html: word and sentence counts, block sizes raw and compressed, and candidate messages.
+    """Per page with html: word and sentence counts, block sizes raw and compressed, and candidate messages; durable.
 
     With extra, the block labeller reads every page too, and the columns made
-    from the main lines follow. Html crosses to Python and is parsed once.
+    from the main lines follow. Html crosses to Python and is parsed once, and
+    once more for pages with few words of their own: copies of a page share all
+    their lines, so what these share with each other is not yet the site's.
     """
-    names = [x.split()[0] for x in _FACTS.split(", ")[:6]] + ["sizes", "packed", "messages"]
-    if extra:
-        names += [x.split()[0] for x in extra.fields.split(", ")]
+    names = _names(_FACTS)
+    more = _names(extra.fields) if extra else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         site = Site()
         weights = block_model.load() if extra else None
-        types = (pa.string(), *[pa.int32()] * 3, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(_MESSAGE))
         for whole in batches:
             for at in range(0, whole.num_rows, CHUNK):
                 batch = whole.slice(at, CHUNK)
-                parsed, tables, rows, split = [], [], [], []
+                parsed, tables, rows, split, aside, kept = [], [], [], [], [], []
                 crawls, htmls = batch.column(1).to_pylist(), batch.column(2).to_pylist()
                 for i, (crawl, html) in enumerate(zip(crawls, htmls)):
                     page = blocks(html)
                     shared = site.of(batch, i, crawl)
-                    known = {t: shared[h] for t, _, _ in page if (h := line_hash(t)) in shared}
+                    keys = {t: h for t, _, _ in page if (h := line_hash(t)) in shared}
+                    known = {t: shared[h] for t, h in keys.items()}
                     split.append(block_model.tokens(page))
-                    rows.append(_facts(page, known, split[-1]))
+                    few = _few_own(page, known, split[-1])
+                    aside.append(list(keys.values()) if few else None)
+                    kept.append(html if few else None)
+                    rows.append((None,) * len(_TYPES) if few else _facts(page, known, split[-1]))
                     parsed.append(page)
                     tables.append(known)
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)]
                 if extra:
                     labels = block_model.label(weights, parsed, tables, split)
                     cols += extra.make([[t for (t, _, _), m in zip(p, l) if m] for p, l in zip(parsed, labels)])
-                yield pa.record_batch([batch.column(0), batch.column(1), *cols], names=names)
+                cols += [pa.array(aside, pa.list_(pa.int64())), pa.array(kept, pa.string())]
+                yield pa.record_batch([batch.column(0), batch.column(1), *cols], names=[*names, *more, "shared", "html"])
 
-    return with_support(pages, support).mapInArrow(run, f"{_FACTS}, {extra.fields}" if extra else _FACTS)
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        site = object(), frozenset()
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(at, CHUNK)
+                rows = []
+                for i, (crawl, html) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                    if crawl != site[0]:
+                        site = crawl, frozenset(batch.column(3)[i].as_py() or ())
+                    page = blocks(html)
+                    known = {t for t, _, _ in page if line_hash(t) in site[1]}
+                    rows.append(_facts(page, known, block_model.tokens(page)))
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)]
+                yield pa.record_batch([*batch.columns[:2], *cols, *batch.columns[4:]], names=[*names, *more])
+
+    fields = f"{_FACTS}, {extra.fields}" if extra else _FACTS
+    first = durable(with_support(pages, support).mapInArrow(run, f"{fields}, shared array<bigint>, html string"))
+    aside = first.where("shared is not null")
+    sites = durable(shared_by_others(aside, support))
+    judged = (
+        aside.join(small_side(sites, 1024), "crawl_id", "left")
+        .select("page_id", "crawl_id", "html", "keys", *more)
+        .mapInArrow(again, fields)
+    )
+    return first.where("shared is null").select(*names, *more).unionAll(durable(judged))

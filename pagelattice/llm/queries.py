@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelattice.llm import leaks, main_lines, mixing, near_pages, percentiles, quality, page_facts, residue, site_lines, stuffing
-from pagelattice.session import durable
 from pagelattice.sources.tables import table
 
 
@@ -33,7 +32,7 @@ def p2_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def _facts(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
-    return durable(page_facts.page_facts(pages, page_facts.site_support(pages)))
+    return page_facts.page_facts(pages, page_facts.site_support(pages))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

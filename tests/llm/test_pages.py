@@ -119,6 +119,25 @@ def test_page_kinds_and_main_lines(spark):
     assert residue.messages(page_facts.page_facts(empty, page_facts.site_support(empty))).count() == 0
 
 
+def test_copies_in_a_crawl_keep_their_lines(spark):
+    """Copies that fill a third of a crawl are measured on what they hold, also where small parts of them differ."""
+    keys = ["cheap kiln", "best kiln", "kiln sale", "buy glaze", "kiln online", "glaze price"]
+    items = "".join(f"<li>{keys[k % 6]} {keys[(k * 5) % 6]}</li>" for k in range(60))
+    prose = "".join(f"<p>{sentence(5, k)}</p>" for k in range(8))
+    spam = [page(0, f"<ul>{items}</ul>")] * 8 + [page(i, f"<ul>{items}</ul>") for i in range(8)]
+    quoting = [page(70 + i % 3, f"{prose}<pre>{{{{ name }}}}</pre>") for i in range(12)]
+    missing = [page(80, "<p>Page not found</p><p>The address you asked for does not exist.</p>")] * 4
+    df = frame(spark, [*spam, *quoting, *missing, *(page(i) for i in range(100, 124))])
+    facts = page_facts.page_facts(df, page_facts.site_support(df))
+    bad = durable(residue.find(facts))
+    assert {r.page_id for r in bad.collect()} == {*range(28, 32)}
+    links = spark.createDataFrame([], LINKS)
+    assert {r.page_id for r in stuffing.stuffed_pages(facts, links, bad).collect()} == {*range(16)}
+    few = frame(spark, [page(0, f"<ul>{items}</ul>")] * 3)  # no other page tells what is the site's
+    facts = page_facts.page_facts(few, page_facts.site_support(few))
+    assert stuffing.stuffed_pages(facts, links, durable(residue.find(facts))).count() == 3
+
+
 def test_labeller_reads_both_directions():
     w = block_model.load()
     p = blocks(page(1))
