@@ -22,8 +22,6 @@ from pagelattice.sources.dom import Page, split_url, tidy
 
 #: Pages handled together in a task: bounds the worker's memory.
 CHUNK = 256
-#: Words of a page that the near-duplicate rule compares, as the rule defines it.
-NEAR_WORDS = 500
 
 FACTS = (
     "facts struct<origin string, title_key string, description_key string, description_chars int, text_key string,"
@@ -47,8 +45,8 @@ _FACTS_TYPE = pa.struct(
 
 
 def trigrams(text: str) -> list[int]:
-    """Sorted hashes of the distinct word trigrams of the first NEAR_WORDS words, ASCII letters and digits only."""
-    words = re.sub(r"[^a-z0-9\s]", "", text.lower()).split()[:NEAR_WORDS]
+    """Sorted hashes of the distinct word trigrams of the whole text, ASCII letters and digits only."""
+    words = re.sub(r"[^a-z0-9\s]", "", text.lower()).split()
     found = {" ".join(words[i : i + 3]) for i in range(len(words) - 2)}
     return sorted(int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little", signed=True) for g in found)
 

@@ -165,6 +165,16 @@ def test_audit_and_reports(spark, tmp_path):
     assert reports.grade(55) == "D" and reports.grade(55, "xml") == "F"
 
 
+def test_near_copies_compare_whole_texts(spark):
+    start, other = (" ".join(f"{c}{i}" for i in range(520)) for c in "ab")
+    pages = [f"<p>{start} {' '.join(f'{c}{i}' for i in range(n))}" for c, n in (("x", 900), ("y", 900), ("z", 60), ("v", 60))]
+    tail = " ".join(f"t{i}" for i in range(4000))
+    df = rows(spark, *({"html": h} for h in [*pages, f"<p>{start} {tail}", f"<p>{other} {tail}"]))
+    got = {r.page_id: r.status for r in audit.Auditor(spark, enable=("content-duplicate-near",)).audit(df).results.collect()}
+    # Shared starts alone are no copies; different starts before the same long rest are.
+    assert [got[i] for i in range(6)] == ["P", "P", "P", "F", "P", "W"]
+
+
 def test_site_and_probe_rules(spark):
     html = "<title>t</title><a href=/ok>fine</a><a href=/gone>gone</a><a href=https://x.org/>out</a><img src=/i.png><meta name=robots content=noindex>"
     df = rows(spark, {"html": html, "url": "https://e.com/p"}, {"html": "<p>", "url": "https://e.com/private/x"})
