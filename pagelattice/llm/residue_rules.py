@@ -92,8 +92,12 @@ _TRIGGERS = frozenset(
 )
 _SPECIAL = frozenset("{}[]%_#$<")
 
-#: Longer lines are paragraphs: they may quote a message, they are not one.
-MESSAGE_CHARS = 170
+#: Longer lines are paragraphs: they are a message if this share of their sentences is.
+MESSAGE_CHARS, MESSAGE_PART = 170, 0.5
+#: Words of mock Latin, by their share of a line's words; a long line with function words of real languages needs less,
+#: as mock Latin has some of them ("et", "in", "est"), but so many different ones.
+LATIN_PART, LATIN_LONG, LATIN_KINDS = 0.3, 0.2, 6
+_SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|\n+")
 #: A line of so many characters may read as sentences.
 REAL_CHARS = 40
 
@@ -110,11 +114,25 @@ def classify(message: str) -> tuple[str, bool] | None:
         return None
     if _NO_VALUE.search(message):
         return "placeholder", True
-    if found and len(found) >= 4 and sum(w in _LATIN for w in found) >= 0.3 * len(found):
+    latin = [w for w in found if w in _LATIN]
+    if len(found) >= 4 and len(latin) >= LATIN_PART * len(found):
         if not any(w in FUNCTION_WORDS for w in found) or len(message) <= MESSAGE_CHARS:
             return "filler", True
     if len(message) > MESSAGE_CHARS:
-        return None
+        if len(latin) >= LATIN_LONG * len(found) and len(set(latin)) >= LATIN_KINDS:
+            return "filler", True
+        return _of_sentences(message)
+    return _worded(message)
+
+
+def _of_sentences(message: str) -> tuple[str, bool] | None:
+    """The first kind of a paragraph's sentences, if enough of them are residue by strong wording."""
+    parts = [x for x in _SENTENCE_END.split(message) if WORD.search(x)]
+    got = [g for x in parts if (g := _worded(x)) and g[1]]
+    return got[0] if got and len(got) >= MESSAGE_PART * len(parts) else None
+
+
+def _worded(message: str) -> tuple[str, bool] | None:
     if _FILLER.search(message):
         return "filler", True
     if _ERROR.search(message):

@@ -90,6 +90,30 @@ def test_classify(text, kind):
     assert (got and got[0]) == kind
 
 
+LATIN = (
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad"
+    " minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit"
+    " in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui"
+    " officia deserunt mollit anim id est laborum."
+)
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        (LATIN, "filler"),
+        ("We are down for scheduled maintenance. The site will be back soon and all of your orders are safe with us. Something went wrong while we moved the shop, please try again later. We will be back.", "error"),
+        ("Fatal error: Uncaught PDOException: SQLSTATE[HY000] [2002] Connection refused in /srv/www/shop/lib/Db.php:48 Stack trace: #0 /srv/www/shop/lib/Db.php(48): PDO->__construct() #1 /srv/www/shop/index.php(12): Db::open() #2 {main}", "error"),
+        ("This application is drawn by a script in your browser, and your browser is set to block it. Please enable JavaScript in the settings of your browser, then reload this page to see all of its content and menus.", "scripts"),
+        ("The old server answered 'page not found' for a week. Nobody in the shop had noticed it, because the front page still worked. We moved the files over on a Monday, and orders came in again on the same day.", None),
+        ("The most common filler starts with lorem ipsum dolor sit amet, and every designer in the shop has seen it before. It stands where the text is not yet written. We show in this guide how one finds it before a launch.", None),
+    ],
+)
+def test_classify_long_lines(text, kind):
+    got = classify(normalise(text))
+    assert len(text) > 170 and (got and got[0]) == kind
+
+
 def test_page_kinds_and_main_lines(spark):
     broken = [
         page(0, "<p>{{ body }}</p><p>[object Object]</p>"),
