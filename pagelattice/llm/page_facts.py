@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from pagelattice.functions.lines import blocks
 from pagelattice.llm import block_model, redundancy
-from pagelattice.llm.residue_rules import normalise
+from pagelattice.llm.residue_rules import classify, normalise
 from pagelattice.llm.site_lines import line_graph, line_hash
 from pagelattice.session import durable, small_side
 
@@ -28,7 +28,7 @@ SITE_PAGES, SITE_SHARE = 3, 0.04
 OWN_PART = 0.5
 #: With fewer words of its own even then, a page's redundancy is measured on all its lines.
 OWN_WORDS = 10
-#: Pages with more sentences of their own are not candidates for residue, unless most of their lines are no sentences.
+#: Pages with more sentences of their own that are no residue are not candidates for residue, unless most of their lines are no sentences.
 REAL_LINES, REAL_PART = 6, 0.2
 #: Pages handled together: bounds the worker's memory.
 CHUNK = 1024
@@ -92,13 +92,27 @@ def _few_own(page: list[tuple[str, str, int]], site: dict, split_lines: list[lis
     return bool(site) and own < OWN_PART * sum(map(len, split_lines))
 
 
+def _most_real(lines: list[str], real: list[bool], limit: float) -> bool:
+    """Whether more than limit of the real lines are no residue; reads only as many as that takes."""
+    left = sum(real)
+    kept = 0
+    for line, r in zip(lines, real):
+        if kept > limit or kept + left <= limit:
+            break
+        if r:
+            left -= 1
+            got = classify(normalise(line))
+            kept += not (got and got[1])
+    return kept > limit
+
+
 def _facts(page: list[tuple[str, str, int]], site: Container[str], split_lines: list[list[str]]) -> tuple:
     mine = [text not in site for text, _, _ in page]
     own = [(text, path) for (text, path, _), m in zip(page, mine) if m]
     measures = redundancy.measure([t for t, _ in own], [s for s, m in zip(split_lines, mine) if m])
     real = measures[-1]
     messages = []
-    if sum(real) <= max(REAL_LINES, REAL_PART * len(own)):
+    if not _most_real([t for t, _ in own], real, max(REAL_LINES, REAL_PART * len(own))):
         # A site's own lines may be residue too: a template that fails, fails on many pages.
         reals = dict(zip((t for t, _ in own), real))
         messages = [{"text": normalise(t), "real": reals.get(t, False)} for t in dict.fromkeys(t for t, _, _ in page)]

@@ -162,6 +162,13 @@ def test_copies_in_a_crawl_keep_their_lines(spark):
     assert stuffing.stuffed_pages(facts, links, durable(residue.find(facts))).count() == 3
 
 
+def test_filler_sentences_make_a_candidate():
+    lines_ = [f"Sample text for this section of part {x}, replace before launch." for x in "abcdefghi"]
+    for body, sent in ((lines_, True), ([sentence(1, k) for k in range(9)], False)):
+        p = blocks(page(1, "".join(f"<p>{x}</p>" for x in body)))
+        assert bool(page_facts._facts(p, {}, block_model.tokens(p))[-1]) == sent
+
+
 def test_labeller_reads_both_directions():
     w = block_model.load()
     p = blocks(page(1))
