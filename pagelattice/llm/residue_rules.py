@@ -87,7 +87,7 @@ _TRIGGERS = frozenset(
     " title content headline write describe replace untitled soon texto texte ejemplo sustituir contenido próximamente compléter"
     " venir inhalt folgt eingeben einfügen platzhalter beispieltext mustertext blindtext insert javascript script scripts"
     " scripting nécessaire necesario erforderlich nötig browser wait loading patienter warten espere sorry oops vaya hoppla oups"
-    " dead new available nothing sin neue nouvelle nueva ref 0 undefined null none nan translation value"
+    " find error0 erreur0 fehler0 http0 platzhaltertext dead new available nothing sin neue nouvelle nueva ref 0 undefined null none nan translation value"
     " translation_key_not_found".split()
 )
 _SPECIAL = frozenset("{}[]%_#$<")
@@ -110,7 +110,7 @@ def classify(message: str) -> tuple[str, bool] | None:
         rest = WORD.findall(_PLACEHOLDER.sub(" ", message))
         if len(rest) <= 10:
             return "placeholder", True
-    if not special and _TRIGGERS.isdisjoint(found) and _LATIN.isdisjoint(found) and not message.startswith(("xxx", "n/a")):
+    if not special and _TRIGGERS.isdisjoint(found) and _LATIN.isdisjoint(found) and not message.startswith(("xxx", "n/a")) and "exception in " not in message:
         return None
     if _NO_VALUE.search(message):
         return "placeholder", True

@@ -1,13 +1,14 @@
 """Operators over pages: repeated lines, residue, spam, main content, near copies."""
 
 import itertools
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from pagelattice.functions.lines import blocks, lines
-from pagelattice.llm import block_model, main_lines, near_pages, page_facts, residue, shingles, site_lines, stuffing
+from pagelattice.llm import block_model, main_lines, near_pages, page_facts, residue, residue_rules, shingles, site_lines, stuffing
 from pagelattice.llm.residue_rules import classify, normalise
 from pagelattice.session import durable
 
@@ -114,6 +115,37 @@ def test_classify_long_lines(text, kind):
     assert len(text) > 170 and (got and got[0]) == kind
 
 
+def examples(tree) -> list[str]:
+    """Strings that a parsed expression matches: every branch, options left out and taken, one of each set."""
+    out = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            got = [chr(arg)]
+        elif op == "BRANCH":
+            got = [x for b in arg[1] for x in examples(b)]
+        elif op == "SUBPATTERN":
+            got = examples(arg[3])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            got = [x * n for n in {arg[0], max(arg[0], min(arg[1], 1))} for x in examples(arg[2])]
+        elif op == "ANY":
+            got = ["'"]
+        elif op == "IN":
+            kind, value = arg[0]
+            got = [chr(value)] if str(kind) == "LITERAL" else [chr(value[0])] if str(kind) == "RANGE" else [{"CATEGORY_WORD": "x", "CATEGORY_SPACE": " "}.get(str(value), "!")]
+        else:
+            assert op == "AT", op
+            got = [""]
+        out = list(dict.fromkeys(a + b for a in out for b in got))
+    return out
+
+
+@pytest.mark.parametrize("rule", ["_NO_VALUE", "_FILLER", "_ERROR", "_SCRIPTS", "_WEAK"])
+def test_the_shortcut_drops_no_message_of_the_rules(rule):
+    made = [x for x in examples(re._parser.parse(getattr(residue_rules, rule).pattern)) if getattr(residue_rules, rule).search(x)]
+    assert len(made) > 10 and [x for x in made if classify(x) is None] == []
+
+
 def test_page_kinds_and_main_lines(spark):
     broken = [
         page(0, "<p>{{ body }}</p><p>[object Object]</p>"),
