@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 #: Largest serialised size, in bytes, of a join side that is broadcast. Larger sides are shuffled.
 BROADCAST_LIMIT = 48 << 20
@@ -47,9 +48,34 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Marks a join side for broadcast if rows x row_bytes is within the limit, else leaves the join to shuffle.
+def row_bytes(schema: StructType) -> Column:
+    """The bytes of a row in memory: eight per plain field, and what strings and arrays hold besides."""
 
-    `df` should be durable: its rows are counted here.
+    def of(column: Column, kind: DataType) -> Column:
+        if isinstance(kind, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+        if isinstance(kind, ArrayType):
+            each = 8 * (len(kind.elementType) if isinstance(kind.elementType, StructType) else 1)
+            if isinstance(kind.elementType, (StringType, BinaryType)) or any(
+                isinstance(f.dataType, (StringType, BinaryType)) for f in getattr(kind.elementType, "fields", ())
+            ):
+                return F.coalesce(F.octet_length(F.to_json(column)), F.lit(0)) + 16
+            return F.coalesce(F.size(column), F.lit(0)) * each + 24
+        if isinstance(kind, (StructType, MapType)):
+            return F.coalesce(F.octet_length(F.to_json(column)), F.lit(0)) + 16
+        return F.lit(8)
+
+    total = F.lit(8)
+    for field in schema.fields:
+        total = total + of(F.col(f"`{field.name}`"), field.dataType)
+    return total.cast("bigint")
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Marks a join side for broadcast if its rows, measured here, fit the limit; else leaves the join to shuffle.
+
+    `df` should be durable, since it is read for the measure. A hash table takes
+    about twice its rows' bytes.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    size = df.agg(F.coalesce(F.sum(row_bytes(df.schema)), F.lit(0))).first()[0]
+    return F.broadcast(df) if 2 * size <= limit else df
