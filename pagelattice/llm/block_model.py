@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 
+from pagelattice.llm.chunk import Chunk, ranges
+
 N_PATH, N_WORD, E_PATH, E_WORD, N_NUM, HIDDEN = 512, 4096, 8, 8, 16, 12
 N_IN = E_PATH + E_WORD + N_NUM
 WEIGHTS = Path(__file__).with_name("block_weights.npz")
@@ -47,22 +49,9 @@ def _path_ids(path: str) -> tuple[int, int, int, int]:
 
 
 _paths: dict[str, tuple[tuple[int, int, int, int], bool, bool]] = {}
-_words: dict[str, int] = {}
 _DIGIT = re.compile(r"\d")
 
 
-def _word_ids(found: list[str]) -> list[int]:
-    try:
-        return [_words[w] for w in found]
-    except KeyError:
-        if len(_words) > 400_000:
-            _words.clear()
-        for w in found:
-            if w not in _words:
-                _words[w] = zlib.crc32(w.encode("utf-8", "replace")) % N_WORD
-        return [_words[w] for w in found]
-
-
 _END = frozenset('.!?…»”"')
 HEADS = ("h2", "h3", "h4", "h5", "h6")
 
@@ -82,71 +71,77 @@ def _path_of(path: str) -> tuple[tuple[int, int, int, int], bool, bool]:
     return got
 
 
-def tokens(page: list[tuple[str, str, int]]) -> list[list[str]]:
-    """The lower-case tokens of each line."""
-    return [text.lower().split() for text, _, _ in page]
-
-
-def features(
-    page: list[tuple[str, str, int]], support: dict[str, tuple[float, int]], split_lines: list[list[str]] | None = None
-) -> tuple[list, list, list]:
-    """(measures, path ids, word ids) of each line; support maps a line to its share and number of the site's pages."""
-    n = len(page)
-    split_lines = split_lines or tokens(page)
-    chars: dict[str, int] = {}
-    known = [_paths.get(p) or _path_of(p) for _, p, _ in page]
-    for text, path, _ in page:
-        chars[path] = chars.get(path, 0) + len(text)
-    h1 = next((i for i, k in enumerate(known) if k[1]), -1)
-    total = sum(chars.values()) or 1
-    base = container(page[h1][1]) if h1 >= 0 else None
-    # What depends on the path alone: ids, headline, subheading, inside the headline's container, share of characters.
-    of_path = {
-        p: (_paths.get(p) or _path_of(p)) + (base is not None and p.startswith(base), c / total) for p, c in chars.items()
-    }
-    nums, paths, words = [], [], []
-    before = None
-    has_h1 = h1 >= 0
-    none = (0.0, 0)
-    for i, ((text, path, linked), split) in enumerate(zip(page, split_lines)):
-        size = len(text)
-        ids, is_h1, is_head, within, part = of_path[path]
-        share, count = support.get(text, none)
-        nums.append(
-            (
-                size.bit_length() / 8,
-                text[-1] in _END,
-                min(1.0, linked / size) if linked else 0.0,
-                share,
-                min(count, 64) ** 0.5 / 8 if count else 0.0,
-                is_h1,
-                is_head,
-                i / n,
-                within,
-                i < h1,
-                len(_DIGIT.findall(text)) / size if size < 80 else 0.0,
-                "»" in text or "|" in text,
-                path == before,
-                part,
-                len(split).bit_length() / 6,
-                has_h1,
-            )
+class Features(NamedTuple):
+    """Of all lines of some pages, one after the other."""
+
+    nums: np.ndarray  # [lines, N_NUM] measures
+    paths: np.ndarray  # [lines, 4] ids of path steps
+    words: np.ndarray  # ids of all words
+    word_counts: np.ndarray  # [lines] words of each line
+
+
+def features(chunk: Chunk, shares: list[tuple[float, int] | None]) -> Features:
+    """Measures, path ids and word ids of each line; shares holds a line's share and number of the site's pages."""
+    pages, counts, texts, size, page = chunk.pages, chunk.counts, chunk.texts, chunk.sizes, chunk.page
+    total = len(texts)
+    table: dict[str, int] = {}
+    at = np.array([table.setdefault(q, len(table)) for p in pages for _, q, _ in p], np.int64)
+    linked = np.array([n for p in pages for _, _, n in p], np.float64)
+    share, held = np.array([s or (0.0, 0) for s in shares], np.float64).reshape(total, 2).T
+    known = [_paths.get(q) or _path_of(q) for q in table]
+    names = list(table)
+    ids = np.array([k[0] for k in known], np.int64).reshape(-1, 4)
+    is_h1, is_head = (np.array([k[i] for k in known], bool)[at] for i in (1, 2))
+    begin = np.cumsum(counts) - counts
+    index = np.arange(total) - begin[page]
+    # The first headline of each page; -1 where there is none.
+    h1 = np.full(len(pages), -1, np.int64)
+    where = np.flatnonzero(is_h1)[::-1]
+    h1[page[where]] = index[where]
+    bases: dict[str | None, int] = {None: 0}
+    base = np.zeros(len(pages), np.int64)
+    for p in np.flatnonzero(h1 >= 0).tolist():
+        base[p] = bases.setdefault(container(pages[p][h1[p]][1]), len(bases))
+    held_bases = list(bases)
+    pair, back = np.unique(base[page] * len(names) + at, return_inverse=True)
+    inside = [b is not None and names[i % len(names)].startswith(b) for i in pair.tolist() for b in (held_bases[i // len(names)],)]
+    _, cell = np.unique(page * max(len(names), 1) + at, return_inverse=True)
+    chars = np.bincount(cell, weights=size)[cell] if total else np.zeros(0)
+    of_page = np.bincount(page, weights=size, minlength=len(pages))[page]
+    nums = np.empty((total, N_NUM), np.float32)
+    for k, column in enumerate(
+        (
+            np.frexp(size)[1] / 8,
+            np.array([t[-1] in _END for t in texts], bool),
+            np.minimum(1.0, linked / np.maximum(size, 1)),
+            share,
+            np.sqrt(np.minimum(held, 64)) / 8,
+            is_h1,
+            is_head,
+            index / counts[page],
+            np.array(inside, bool)[back] if total else np.zeros(0, bool),
+            index < h1[page],
+            [len(_DIGIT.findall(t)) / n if n < 80 else 0.0 for t, n in zip(texts, size.tolist())],
+            np.array(["»" in t or "|" in t for t in texts], bool),
+            np.r_[False, (at[1:] == at[:-1]) & (page[1:] == page[:-1])][:total],
+            chars / np.maximum(of_page, 1),
+            np.frexp(chunk.n_tokens)[1] / 6,
+            h1[page] >= 0,
         )
-        before = path
-        paths.append(ids)
-        words.append(_word_ids(split))
-    return nums, paths, words
-
-
-def inputs(w: dict, nums: list, paths: list, words: list) -> np.ndarray:
-    """One input row per line of some pages."""
-    x = np.empty((len(nums), N_IN), np.float32)
-    x[:, :E_PATH] = w["path"][np.array(paths, np.int64)].mean(1)
-    sizes = np.array([len(v) for v in words])
-    flat = np.fromiter(chain.from_iterable(words), np.int64, int(sizes.sum()))
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    x[:, E_PATH : E_PATH + E_WORD] = np.add.reduceat(w["word"][flat], starts, axis=0) / sizes[:, None]
-    x[:, E_PATH + E_WORD :] = np.array(nums, np.float32)
+    ):
+        nums[:, k] = column
+    words = chunk.table.column("crc")[chunk.tokens] % N_WORD if total else np.zeros(0, np.int64)
+    return Features(nums, ids[at] if total else np.zeros((0, 4), np.int64), words, chunk.n_tokens)
+
+
+def inputs(w: dict, f: Features) -> np.ndarray:
+    """One input row per line."""
+    x = np.empty((len(f.nums), N_IN), np.float32)
+    x[:, :E_PATH] = w["path"][f.paths].mean(1)
+    starts = np.cumsum(f.word_counts) - f.word_counts
+    if len(x):
+        x[:, E_PATH : E_PATH + E_WORD] = np.add.reduceat(w["word"][f.words], starts, axis=0) / f.word_counts[:, None]
+    x[:, E_PATH + E_WORD :] = f.nums
     return x
 
 
@@ -178,24 +173,47 @@ def recur(pre: np.ndarray, wh: np.ndarray, mask: np.ndarray, keep: list | None =
     return out
 
 
-def pad(x: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def pad(x: np.ndarray, sizes: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """[steps, lanes, inputs] and the mask of real steps, from the rows of consecutive pages."""
-    steps = max(sizes)
-    out = np.zeros((steps, len(sizes), x.shape[1]), np.float32)
-    mask = np.zeros((steps, len(sizes)), bool)
-    at = 0
-    for j, n in enumerate(sizes):
-        out[:n, j] = x[at : at + n]
-        mask[:n, j] = True
-        at += n
-    return out, mask
+    sizes = np.asarray(sizes)
+    mask = np.arange(sizes.max())[None, :] < sizes[:, None]  # [lanes, steps]
+    out = np.zeros((*mask.shape, x.shape[1]), np.float32)
+    out[mask] = x
+    return np.ascontiguousarray(out.transpose(1, 0, 2)), np.ascontiguousarray(mask.T)
 
 
 def scores(w: dict, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Logit of "main" per step and lane."""
-    fwd = recur(x @ w["xf"] + w["bf"], w["hf"], mask)
-    bwd = recur((x @ w["xb"] + w["bb"])[::-1], w["hb"], mask[::-1])[::-1]
-    return fwd @ w["of"] + bwd @ w["ob"] + x @ w["ox"] + w["o0"]
+    """Logit of "main" per step and lane; both directions take each step together."""
+    steps, lanes, _ = x.shape
+    k = w["hf"].shape[0]
+    # A logistic gate is a tanh of half the input, so that one tanh serves all gates.
+    half = np.r_[np.full(3 * k, 0.5), np.ones(k)].astype(np.float32)
+    pre = np.empty((steps, 2, lanes, 4 * k), np.float32)
+    pre[:, 0] = (x @ w["xf"] + w["bf"]) * half
+    pre[:, 1] = ((x @ w["xb"] + w["bb"]) * half)[::-1]
+    wh = np.stack([w["hf"], w["hb"]]) * half
+    open_ = np.stack([mask, mask[::-1]], 1)[..., None]
+    h = np.zeros((2, lanes, k), np.float32)
+    c = np.zeros((2, lanes, k), np.float32)
+    out = np.empty((steps, 2, lanes, k), np.float32)
+    for t in range(steps):
+        g = np.matmul(h, wh)
+        g += pre[t]
+        np.tanh(g, out=g)
+        s = g[..., : 3 * k]
+        s *= 0.5
+        s += 0.5
+        c_new = s[..., k : 2 * k] * c
+        c_new += s[..., :k] * g[..., 3 * k :]
+        h_new = np.tanh(c_new)
+        h_new *= s[..., 2 * k :]
+        if open_[t].all():
+            c, h = c_new, h_new
+        else:
+            c = np.where(open_[t], c_new, c)
+            h = np.where(open_[t], h_new, h)
+        out[t] = h
+    return out[:, 0] @ w["of"] + out[::-1, 1] @ w["ob"] + x @ w["ox"] + w["o0"]
 
 
 def load(path: Path = WEIGHTS) -> dict:
@@ -203,23 +221,19 @@ def load(path: Path = WEIGHTS) -> dict:
         return {k: f[k].astype(np.float32) for k in f.files}
 
 
-def label(
-    w: dict, pages: list[list[tuple[str, str, int]]], supports: list[dict], split_pages: list | None = None
-) -> list[np.ndarray]:
-    """Per page, a boolean per line: belongs to the main content."""
-    order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
-    out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
+def label(w: dict, chunk: Chunk, shares: list[tuple[float, int] | None]) -> np.ndarray:
+    """A boolean per line of the chunk: belongs to the main content."""
+    out = np.zeros(len(chunk.texts), bool)
+    if not len(out):
+        return out
+    x = inputs(w, features(chunk, shares))
+    begin = np.cumsum(chunk.counts) - chunk.counts
+    order = np.argsort(chunk.counts, kind="stable")
+    order = order[chunk.counts[order] > 0]
     for at in range(0, len(order), LANES):
         lanes = order[at : at + LANES]
-        nums, paths, words, sizes = [], [], [], []
-        for i in lanes:
-            a, b, c = features(pages[i], supports[i], split_pages[i] if split_pages else None)
-            nums += a
-            paths += b
-            words += c
-            sizes.append(len(a))
-        x, mask = pad(inputs(w, nums, paths, words), sizes)
-        got = scores(w, x, mask) > 0
-        for j, i in enumerate(lanes):
-            out[i] = got[: sizes[j], j]
+        sizes = chunk.counts[lanes]
+        rows = ranges(begin[lanes], sizes)
+        padded, mask = pad(x[rows], sizes)
+        out[rows] = scores(w, padded, mask).T[mask.T] > 0
     return out

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.llm import page_facts, residue, stuffing
+from pagelattice.llm.chunk import Chunk
 from pagelattice.llm.page_facts import Extra
+from pagelattice.llm.parsed import parse
 from pagelattice.session import durable, small_side
 
 
@@ -19,18 +22,27 @@ def content_pages(pages: DataFrame, links: DataFrame, extra: Extra) -> DataFrame
     Labels and facts come from one pass; the few pages that turn out to be no
     content are taken out afterwards.
     """
-    facts = page_facts.page_facts(pages, page_facts.site_support(pages), extra)
+    parsed = parse(pages)
+    facts = page_facts.page_facts(parsed, page_facts.site_support(parsed), extra)
     broken = durable(residue.find(facts).select("page_id"))
     out = durable(broken.unionAll(stuffing.stuffed_pages(facts, links, broken).select("page_id")))
     names = [x.split()[0] for x in extra.fields.split(", ")]
-    return facts.select("page_id", *names).join(small_side(out, 8), "page_id", "left_anti")
+    return facts.select("page_id", *names).join(small_side(out), "page_id", "left_anti")
 
 
-def _hashes(mains: list[list[str]]) -> list[pa.Array]:
+def main_of(chunk: Chunk, main: np.ndarray) -> list[list[str]]:
+    """The main lines of each page of a chunk."""
+    out: list[list[str]] = [[] for _ in chunk.pages]
+    for i in np.flatnonzero(main).tolist():
+        out[chunk.page[i]].append(chunk.texts[i])
+    return out
+
+
+def _hashes(chunk: Chunk, main: np.ndarray) -> list[pa.Array]:
     def of(line: str) -> bytes:
         return hashlib.sha256(line.encode("utf-8", "surrogatepass")).digest()[:8]
 
-    return [pa.array([[of(line) for line in dict.fromkeys(m)] for m in mains], pa.list_(pa.binary()))]
+    return [pa.array([[of(line) for line in dict.fromkeys(m)] for m in main_of(chunk, main)], pa.list_(pa.binary()))]
 
 
 def main_line_hashes(pages: DataFrame, links: DataFrame) -> DataFrame:
@@ -43,8 +55,8 @@ def main_line_hashes(pages: DataFrame, links: DataFrame) -> DataFrame:
     return got.select("page_id", F.explode("hashes").alias("h")).select("page_id", F.lower(F.hex("h")).alias("line_hash"))
 
 
-def _texts(mains: list[list[str]]) -> list[pa.Array]:
-    return [pa.array(["\n".join(m) for m in mains], pa.string())]
+def _texts(chunk: Chunk, main: np.ndarray) -> list[pa.Array]:
+    return [pa.array(["\n".join(m) for m in main_of(chunk, main)], pa.string())]
 
 
 def main_texts(pages: DataFrame, links: DataFrame) -> DataFrame:

@@ -1,25 +1,25 @@
-"""One pass over the pages that serves the residue and the spam operators.
+"""One pass over the parsed pages that serves the residue, spam and main-content operators.
 
-The pass needs to know which lines a site repeats, so the line graph of the
-crawl comes first; its counts travel to the pages as one array per crawl.
-Copied pages share their content too. Pages with few words of their own are
-therefore set aside and judged by the lines that the other pages share.
+The pass needs to know which lines a site repeats, so these are counted first;
+the counts travel to the pages as one array per crawl. Copied pages share their
+content too. Pages with few words of their own are therefore set aside and
+judged by the lines that the other pages share.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Container, Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pagelattice.functions.lines import blocks
-from pagelattice.llm import block_model, redundancy
-from pagelattice.llm.residue_rules import classify, normalise
-from pagelattice.llm.site_lines import line_graph, line_hash
+from pagelattice.llm import block_model, redundancy, residue_rules
+from pagelattice.llm.chunk import Chunk
+from pagelattice.llm.parsed import CHUNK, line_counts, unpack
 from pagelattice.session import durable, small_side
 
 #: A line is the site's, not the page's, from so many pages and this share of the crawl.
@@ -28,28 +28,29 @@ SITE_PAGES, SITE_SHARE = 3, 0.04
 OWN_PART = 0.5
 #: With fewer words of its own even then, a page's redundancy is measured on all its lines.
 OWN_WORDS = 10
-#: Pages with more sentences of their own that are no residue are not candidates for residue, unless most of their lines are no sentences.
-REAL_LINES, REAL_PART = 6, 0.2
-#: Pages handled together: bounds the worker's memory.
-CHUNK = 1024
+#: Crawls whose counts a task keeps at hand.
+SITES = 64
 
 _FACTS = (
     "page_id bigint, crawl_id bigint, lang string, words int, proper int, distinct_words int,"
-    " sizes array<int>, packed array<int>, messages array<struct<text string, real boolean>>"
+    " sizes array<int>, packed array<int>, reals int,"
+    " messages array<struct<text string, kind string, strong boolean, real boolean>>"
 )
-_MESSAGE = pa.struct([("text", pa.string()), ("real", pa.bool_())])
+_MESSAGE = pa.struct([("text", pa.string()), ("kind", pa.string()), ("strong", pa.bool_()), ("real", pa.bool_())])
+_TYPES = (pa.string(), *[pa.int32()] * 3, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.list_(_MESSAGE))
+_PARSED = ("hashes", "text", "paths", "place", "linked")
 
 
-def site_support(pages: DataFrame, min_pages: int = SITE_PAGES, min_share: float = SITE_SHARE) -> DataFrame:
+def site_support(parsed: DataFrame, min_pages: int = SITE_PAGES, min_share: float = SITE_SHARE) -> DataFrame:
     """(crawl_id, keys, counts, size): per crawl, the hashes of lines its pages share, and on how many pages each stands.
 
     At most (mean lines of a page) / min_share entries per crawl.
     """
-    graph = durable(line_graph(pages, min_pages, 2.0).drop("edges", "line"))
-    sizes = graph.where("a = 0").select("crawl_id", F.col("support").alias("size"))
+    counts = durable(line_counts(parsed).where((F.col("a") == 0) | (F.col("support") >= min_pages)))
+    sizes = counts.where("a = 0").select("crawl_id", F.col("support").alias("size"))
     return durable(
-        graph.where("a <> 0")
-        .join(small_side(sizes, 16), "crawl_id")
+        counts.where("a <> 0")
+        .join(small_side(sizes), "crawl_id")
         .where(F.col("support") >= min_share * F.col("size"))
         .groupBy("crawl_id")
         .agg(
@@ -60,90 +61,105 @@ def site_support(pages: DataFrame, min_pages: int = SITE_PAGES, min_share: float
     )
 
 
-def with_support(pages: DataFrame, support: DataFrame) -> DataFrame:
-    """(page_id, crawl_id, html, keys, counts, size) of pages with html; broadcast only while the counts are small."""
-    return (
-        pages.where("html is not null")
-        .select(F.col("id").cast("bigint").alias("page_id"), F.col("crawl_id").cast("bigint").alias("crawl_id"), "html")
-        .join(small_side(support, 1024), "crawl_id", "left")
-        .select("page_id", "crawl_id", "html", "keys", "counts", "size")
-    )
-
-
-class Site:
-    """Looks up a line's share of the crawl, keeping the last crawl's table between pages and batches."""
+class Sites:
+    """The share of the crawl of each shared line, by crawl; a bounded number of crawls is kept between batches."""
 
     def __init__(self) -> None:
-        self._crawl: object = object()
-        self._table: dict[int, tuple[float, int]] = {}
-
-    def of(self, batch: pa.RecordBatch, row: int, crawl: int | None) -> dict[int, tuple[float, int]]:
-        if crawl is None:
-            return {}
-        if crawl != self._crawl:
-            keys, counts, size = (batch.column(i)[row].as_py() for i in (3, 4, 5))
-            self._table = {k: (n / size, n) for k, n in zip(keys or (), counts or ())}
-            self._crawl = crawl
-        return self._table
-
-
-def _few_own(page: list[tuple[str, str, int]], site: dict, split_lines: list[list[str]]) -> bool:
-    own = sum(len(s) for (text, _, _), s in zip(page, split_lines) if text not in site)
-    return bool(site) and own < OWN_PART * sum(map(len, split_lines))
-
-
-def _most_real(lines: list[str], real: list[bool], limit: float) -> bool:
-    """Whether more than limit of the real lines are no residue; reads only as many as that takes."""
-    left = sum(real)
-    kept = 0
-    for line, r in zip(lines, real):
-        if kept > limit or kept + left <= limit:
-            break
-        if r:
-            left -= 1
-            got = classify(normalise(line))
-            kept += not (got and got[1])
-    return kept > limit
-
-
-def _facts(page: list[tuple[str, str, int]], site: Container[str], split_lines: list[list[str]]) -> tuple:
-    mine = [text not in site for text, _, _ in page]
-    own = [(text, path) for (text, path, _), m in zip(page, mine) if m]
-    measures = redundancy.measure([t for t, _ in own], [s for s, m in zip(split_lines, mine) if m])
-    real = measures[-1]
-    messages = []
-    if not _most_real([t for t, _ in own], real, max(REAL_LINES, REAL_PART * len(own))):
-        # A site's own lines may be residue too: a template that fails, fails on many pages.
-        reals = dict(zip((t for t, _ in own), real))
-        messages = [{"text": normalise(t), "real": reals.get(t, False)} for t in dict.fromkeys(t for t, _, _ in page)]
-    if measures[1] < OWN_WORDS and len(own) < len(page):
-        own = [(text, path) for text, path, _ in page]
-        measures = redundancy.measure([t for t, _ in own], split_lines)
-    packed = [redundancy.deflated(b) for b in redundancy.text_blocks(own)]
-    return *measures[:-1], [n for n, _ in packed], [z for _, z in packed], messages
+        self._tables: dict[int | None, dict[int, tuple[float, int]]] = {None: {}}
+
+    def of(self, batch: pa.RecordBatch, row: int, crawl: int | None, first: int) -> dict[int, tuple[float, int]]:
+        """The table of a row's crawl; keys, counts and size stand in the columns from number `first` on."""
+        got = self._tables.get(crawl)
+        if got is None:
+            if len(self._tables) > SITES:
+                self._tables = {None: {}}
+            keys, counts, size = (batch.column(first + i)[row].as_py() for i in range(3))
+            got = self._tables[crawl] = {k: (n / size, n) for k, n in zip(keys or (), counts or ())}
+        return got
+
+
+def _real(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """(lines that read as sentences and are long enough, lines that consist of proper sentences)."""
+    ends = np.array([t[-1] in redundancy.ENDS for t in chunk.texts], bool)
+    fair = ends & (chunk.of_lines("function") >= redundancy.SENTENCE_SHARE * chunk.n_tokens)
+    proper = np.zeros(len(fair), bool)
+    for i in np.flatnonzero(fair & (chunk.n_tokens >= redundancy.SENTENCE_WORDS)).tolist():
+        t = chunk.texts[i]
+        proper[i] = chunk.n_tokens[i] >= redundancy.SENTENCE_WORDS * (1 + t.count(". ") + t.count("! ") + t.count("? "))
+    return fair & (chunk.sizes >= residue_rules.REAL_CHARS), proper
+
+
+_classified: dict[str, tuple[str, str, bool] | None] = {}
+
+
+def _residue(text: str) -> tuple[str, str, bool] | None:
+    """(normalised message, kind, strong) of a line that is residue."""
+    if text not in _classified:
+        if len(_classified) > 100_000:
+            _classified.clear()
+        message = residue_rules.normalise(text)
+        got = residue_rules.classify(message)
+        _classified[text] = (message, *got) if got else None
+    return _classified[text]
+
+
+def facts_of(chunk: Chunk, known: np.ndarray) -> list[list]:
+    """The facts' columns from `lang` on, of the pages of a chunk; known marks the site's lines."""
+    n = len(chunk.pages)
+    own = ~known
+    real, proper = _real(chunk)
+    # Residue may stand on the site's lines too: a template that fails, fails on many pages.
+    may = (chunk.of_lines("hint") > 0) | (chunk.n_tokens < 2)
+    grams = chunk.of_lines("grams")
+    may |= (grams > 0) & (chunk.of_lines("foreign") == 0) & residue_rules.is_latin(grams, chunk.of_lines("latin"))
+    messages: list[dict[str, dict]] = [{} for _ in range(n)]
+    for i in np.flatnonzero(may).tolist():
+        text = chunk.texts[i]
+        if (got := _residue(text)) is not None:
+            held = messages[chunk.page[i]].setdefault(text, {"text": got[0], "kind": got[1], "strong": got[2], "real": False})
+            held["real"] |= bool(real[i] and own[i])
+    at = np.flatnonzero(real & own)
+    reals = np.bincount(np.array([p for p, _ in {(int(chunk.page[i]), chunk.texts[i]) for i in at}], np.int64), minlength=n)
+    words = chunk.per_page(chunk.n_tokens, own)
+    counted = own | (words < OWN_WORDS)[chunk.page]
+    words = chunk.per_page(chunk.n_tokens, counted)
+    in_proper = chunk.per_page(chunk.n_tokens, counted & proper)
+    page, token = chunk.distinct(counted)
+    kinds = np.bincount(page, minlength=n)
+    tells = chunk.table.column("tells")[token]
+    votes = np.zeros((n, len(redundancy.LANGUAGES)), np.int64)
+    np.add.at(votes, (page, tells), 1)
+    votes[:, 0] = 0
+    lang = [redundancy.LANGUAGES[i] if v[i] else "" for i, v in zip(votes.argmax(1).tolist(), votes)]
+    sizes, packed = [], []
+    begin = 0
+    for lines in chunk.pages:
+        mine = [(t, p) for (t, p, _), c in zip(lines, counted[begin : begin + len(lines)].tolist()) if c]
+        begin += len(lines)
+        got = [redundancy.deflated(b) for b in redundancy.text_blocks(mine)]
+        sizes.append([a for a, _ in got])
+        packed.append([b for _, b in got])
+    return [lang, words.tolist(), in_proper.tolist(), kinds.tolist(), sizes, packed, reals.tolist(), [list(m.values()) for m in messages]]
 
 
 class Extra(NamedTuple):
-    """Columns made from the pages' main lines in the same pass: their DDL, and a function of the main lines of some pages."""
+    """Columns made in the same pass from the main lines: their DDL, and a function of a chunk and a mask of its main lines."""
 
     fields: str
-    make: Callable[[list[list[str]]], list[pa.Array]]
+    make: Callable[[Chunk, np.ndarray], list[pa.Array]]
 
 
 def _names(fields: str) -> list[str]:
     return [f.name for f in StructType.fromDDL(fields).fields]
 
 
-_TYPES = (pa.string(), *[pa.int32()] * 3, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(_MESSAGE))
-
-
 def shared_by_others(aside: DataFrame, support: DataFrame) -> DataFrame:
     """(crawl_id, keys): per crawl, the lines of the pages set aside that are the site's by its other pages alone."""
     pages = durable(aside.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("aside")))
     held = aside.select("crawl_id", F.explode("shared").alias("a")).groupBy("crawl_id", "a").agg(F.count(F.lit(1)).alias("held"))
     others = F.col("n") - F.col("held")
     return (
-        support.join(small_side(pages, 16), "crawl_id")
+        support.join(small_side(pages), "crawl_id")
         .select("crawl_id", "size", "aside", F.explode(F.arrays_zip("keys", "counts")).alias("x"))
         .select("crawl_id", "size", "aside", F.col("x.keys").alias("a"), F.col("x.counts").alias("n"))
         .join(held, ["crawl_id", "a"])
@@ -153,66 +169,71 @@ def shared_by_others(aside: DataFrame, support: DataFrame) -> DataFrame:
     )
 
 
-def page_facts(pages: DataFrame, support: DataFrame, extra: Extra | None = None) -> DataFrame:
-    """Per page with html: word and sentence counts, block sizes raw and compressed, and candidate messages; durable.
+def page_facts(parsed: DataFrame, support: DataFrame, extra: Extra | None = None) -> DataFrame:
+    """Per page with html: word and sentence counts, block sizes raw and compressed, and its residue messages; durable.
 
     With extra, the block labeller reads every page too, and the columns made
-    from the main lines follow. Html crosses to Python and is parsed once, and
-    once more for pages with few words of their own: copies of a page share all
-    their lines, so what these share with each other is not yet the site's.
+    from the main lines follow. Pages with few words of their own are judged in
+    a second pass over these pages alone: copies of a page share all their
+    lines, so what these share with each other is not yet the site's.
     """
     names = _names(_FACTS)
     more = _names(extra.fields) if extra else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        site = Site()
+        sites = Sites()
         weights = block_model.load() if extra else None
         for whole in batches:
-            for at in range(0, whole.num_rows, CHUNK):
-                batch = whole.slice(at, CHUNK)
-                parsed, tables, rows, split, aside, kept = [], [], [], [], [], []
-                crawls, htmls = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                for i, (crawl, html) in enumerate(zip(crawls, htmls)):
-                    page = blocks(html)
-                    shared = site.of(batch, i, crawl)
-                    keys = {t: h for t, _, _ in page if (h := line_hash(t)) in shared}
-                    known = {t: shared[h] for t, h in keys.items()}
-                    split.append(block_model.tokens(page))
-                    few = _few_own(page, known, split[-1])
-                    aside.append(list(keys.values()) if few else None)
-                    kept.append(html if few else None)
-                    rows.append((None,) * len(_TYPES) if few else _facts(page, known, split[-1]))
-                    parsed.append(page)
-                    tables.append(known)
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)]
+            for start in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(start, CHUNK)
+                crawls = batch.column(1).to_pylist()
+                hashes, pages = unpack(batch, 2)
+                tables = [sites.of(batch, i, c, 7) for i, c in enumerate(crawls)]
+                chunk = Chunk(pages)
+                shares = [t.get(h) for t, found in zip(tables, hashes) for h in found]
+                known = np.array([s is not None for s in shares], bool)
+                few = chunk.per_page(chunk.n_tokens, ~known) < OWN_PART * chunk.per_page(chunk.n_tokens)
+                few &= chunk.per_page(known.astype(np.int64)) > 0
+                aside = [list({h for h in found if h in t}) if f else None for f, t, found in zip(few, tables, hashes)]
+                cols = [pa.array([None if f else v for f, v in zip(few, c)], t) for c, t in zip(facts_of(chunk, known), _TYPES)]
                 if extra:
-                    labels = block_model.label(weights, parsed, tables, split)
-                    cols += extra.make([[t for (t, _, _), m in zip(p, l) if m] for p, l in zip(parsed, labels)])
-                cols += [pa.array(aside, pa.list_(pa.int64())), pa.array(kept, pa.string())]
-                yield pa.record_batch([batch.column(0), batch.column(1), *cols], names=[*names, *more, "shared", "html"])
+                    cols += extra.make(chunk, block_model.label(weights, chunk, shares))
+                yield pa.record_batch([*batch.columns[:2], *cols, pa.array(aside, pa.list_(pa.int64()))], names=[*names, *more, "shared"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        site = object(), frozenset()
+        tables: dict[int | None, frozenset] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, CHUNK):
-                batch = whole.slice(at, CHUNK)
-                rows = []
-                for i, (crawl, html) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                    if crawl != site[0]:
-                        site = crawl, frozenset(batch.column(3)[i].as_py() or ())
-                    page = blocks(html)
-                    known = {t for t, _, _ in page if line_hash(t) in site[1]}
-                    rows.append(_facts(page, known, block_model.tokens(page)))
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)]
-                yield pa.record_batch([*batch.columns[:2], *cols, *batch.columns[4:]], names=[*names, *more])
+            for start in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(start, CHUNK)
+                known = []
+                hashes, pages = unpack(batch, 2)
+                for i, (crawl, found) in enumerate(zip(batch.column(1).to_pylist(), hashes)):
+                    if crawl not in tables:
+                        if len(tables) > SITES:
+                            tables.clear()
+                        tables[crawl] = frozenset(batch.column(7)[i].as_py() or ())
+                    known += [h in tables[crawl] for h in found]
+                made = facts_of(Chunk(pages), np.array(known, bool))
+                cols = [pa.array(c, t) for c, t in zip(made, _TYPES)]
+                yield pa.record_batch([*batch.columns[:2], *cols, *batch.columns[8:]], names=[*names, *more])
 
     fields = f"{_FACTS}, {extra.fields}" if extra else _FACTS
-    first = durable(with_support(pages, support).mapInArrow(run, f"{fields}, shared array<bigint>, html string"))
+    side = small_side(support)
+    first = durable(
+        parsed.join(side, "crawl_id", "left")
+        .select("page_id", "crawl_id", *_PARSED, "keys", "counts", "size")
+        .mapInArrow(run, f"{fields}, shared array<bigint>")
+    )
     aside = first.where("shared is not null")
-    sites = durable(shared_by_others(aside, support))
+    others = durable(shared_by_others(aside, support))
+    # Rows stored twice have ids of their own; the few pages set aside meet their parsed lines by id.
+    few = durable(aside.select("page_id", *more))
+    held = [F.col(c).alias(f"parsed_{c}") for c in _PARSED]  # the extra columns may have the same names
     judged = (
-        aside.join(small_side(sites, 1024), "crawl_id", "left")
-        .select("page_id", "crawl_id", "html", "keys", *more)
+        parsed.select("page_id", "crawl_id", *held)
+        .join(small_side(few), "page_id")
+        .join(small_side(others), "crawl_id", "left")
+        .select("page_id", "crawl_id", *(f"parsed_{c}" for c in _PARSED), "keys", *more)
         .mapInArrow(again, fields)
     )
     return first.where("shared is null").select(*names, *more).unionAll(durable(judged))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelattice.llm import leaks, main_lines, mixing, near_pages, percentiles, quality, page_facts, residue, site_lines, stuffing
+from pagelattice.llm.parsed import parse
 from pagelattice.sources.tables import table
 
 
@@ -31,8 +32,8 @@ def p2_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages")
-    return page_facts.page_facts(pages, page_facts.site_support(pages))
+    parsed = parse(table(spark, folder, "pages"))
+    return page_facts.page_facts(parsed, page_facts.site_support(parsed))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

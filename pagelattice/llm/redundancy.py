@@ -1,27 +1,14 @@
-"""Measures of one page's text for the spam operator: compressed size by block, and the share of proper sentences."""
+"""Blocks of a page's text and their compressed size, for the spam operator; and what a proper sentence is."""
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
-from pagelattice.llm.residue_rules import REAL_CHARS
-from pagelattice.llm.words import FUNCTION_WORDS
+from pagelattice.llm.words import LANGUAGES as LANGUAGES
 
-# Telling function words, each of one language only.
-_TELL = {
-    w: lang
-    for lang, listed in {
-        "en": "the of and to is was that for it on with this which each every some their our",
-        "de": "der die das und den mit von ist für auf nicht ein eine nach bei aus im zum",
-        "fr": "le et à une qui dans pour pas sur avec ce mais au est du",
-        "es": "el los las y una por con se lo al del su pero",
-    }.items()
-    for w in listed.split()
-}
 #: Shorter sentences, or sentences with fewer function words, are slogans.
 SENTENCE_WORDS, SENTENCE_SHARE = 7, 0.12
-_ENDS = frozenset('.!?…»”"')
+ENDS = frozenset('.!?…»”"')
 #: Blocks shorter than this say nothing on redundancy and join their neighbours.
 BLOCK_CHARS = 400
 
@@ -47,30 +34,3 @@ def deflated(block: str) -> tuple[int, int]:
     """(bytes, compressed bytes) of a block, letter case aside."""
     data = block.lower().encode("utf-8", "replace")
     return len(data), len(zlib.compress(data, 6))
-
-
-def measure(lines: list[str], split_lines: list[list[str]]) -> tuple[str, int, int, int, list[bool]]:
-    """(language, words, words in proper sentences, distinct words, which lines are real) of a page's own lines.
-
-    split_lines are their lower-case tokens. A line is proper if it ends as a sentence does, its sentences are long
-    enough on average and it has its share of function words; it is real if
-    long enough as a whole. The language is the one with most telling words,
-    "" without any.
-    """
-    words = proper = 0
-    seen: set[str] = set()
-    real = []
-    is_function = FUNCTION_WORDS.__contains__
-    for line, found in zip(lines, split_lines):
-        n = len(found)
-        words += n
-        seen.update(found)
-        if line[-1] in _ENDS:
-            fair = sum(map(is_function, found)) >= SENTENCE_SHARE * n
-            real.append(fair and len(line) >= REAL_CHARS)
-            if fair and n >= SENTENCE_WORDS * (1 + line.count(". ") + line.count("! ") + line.count("? ")):
-                proper += n
-        else:
-            real.append(False)
-    votes = Counter(_TELL[w] for w in seen & _TELL.keys())
-    return votes.most_common(1)[0][0] if votes else "", words, proper, len(seen), real

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.residue_rules import classify
-from pagelattice.session import durable
+from pagelattice.session import durable, small_side
 
 #: Crawls that must share a message before its weak wording counts.
 RECUR = 3
@@ -17,30 +13,25 @@ RECUR = 3
 REAL_MOST = 2
 
 
-def _classes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        got = [classify(t) for t in part.text]
-        keep = [g is not None and (g[1] or n >= RECUR) for g, n in zip(got, part.crawls)]
-        out = part[["key", "text", "crawls", "pages"]].assign(kind=[g[0] if g else None for g in got])
-        yield out[pd.Series(keep, index=out.index, dtype=bool)]
-
-
 def messages(facts: DataFrame) -> DataFrame:
-    """(key, text, crawls, pages, kind): normalised messages that are residue, with how widely they recur.
+    """(key, text, crawls, pages, kind, strong): normalised messages that are residue, with how widely they recur.
 
     Messages are grouped by the hash of their normalised text, first within a
     crawl and then across crawls, so a message of a third of all pages is one
-    row per crawl before it moves. Only distinct messages are classified.
+    row per crawl before it moves. Placeholders and clear wording count from one
+    source on: most of them are written anew on each site. Weak wording counts
+    only if RECUR crawls share the message.
     """
     lines = facts.select("crawl_id", F.explode("messages").alias("m")).select(
-        "crawl_id", F.xxhash64("m.text").alias("key"), "m.text"
+        "crawl_id", F.xxhash64("m.text").alias("key"), "m.text", "m.kind", "m.strong"
     )
     return (
         lines.groupBy("crawl_id", "key")
-        .agg(F.max("text").alias("text"), F.count(F.lit(1)).alias("n"))
+        .agg(F.max(F.struct("text", "kind", "strong")).alias("x"), F.count(F.lit(1)).alias("n"))
         .groupBy("key")
-        .agg(F.max("text").alias("text"), F.count(F.lit(1)).alias("crawls"), F.sum("n").alias("pages"))
-        .mapInPandas(_classes, "key bigint, text string, crawls bigint, pages bigint, kind string")
+        .agg(F.max("x").alias("x"), F.count(F.lit(1)).alias("crawls"), F.sum("n").alias("pages"))
+        .select("key", "x.text", "crawls", "pages", "x.kind", "x.strong")
+        .where(F.col("strong") | (F.col("crawls") >= RECUR))
     )
 
 
@@ -48,23 +39,17 @@ def residue_pages(facts: DataFrame, found: DataFrame) -> DataFrame:
     """(page_id, residue, real, kind): pages with residue messages and next to no sentences of their own.
 
     facts and found (the messages) should be durable: both are read twice.
-    Pages without html or without text are no cases. A message counts once per
+    Pages without html or without text are no cases. A line counts once per
     page. A page with as many real sentences as messages is content that quotes
     them. Rows stored twice are two pages.
     """
-    lines = facts.select("page_id", F.explode("messages").alias("m")).select(
-        "page_id", F.xxhash64("m.text").alias("key"), F.col("m.real").alias("real")
-    )
-    # Neutral lines never enter the join: only a page's residue lines and its real sentences are kept.
-    hits = lines.join(found.select("key", "kind"), "key")
-    per_page = hits.groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("residue"), F.sum(F.col("real").cast("int")).alias("both"), F.min("kind").alias("kind")
-    )
-    reals = facts.select(
-        "page_id", F.size(F.filter("messages", lambda m: m["real"])).alias("reals")
+    lines = facts.select("page_id", "reals", F.explode("messages").alias("m")).select(
+        "page_id", "reals", F.xxhash64("m.text").alias("key"), F.col("m.real").alias("real")
     )
     return (
-        per_page.join(reals, "page_id")
+        lines.join(small_side(found.select("key", "kind")), "key")
+        .groupBy("page_id", "reals")
+        .agg(F.count(F.lit(1)).alias("residue"), F.count_if("real").alias("both"), F.min("kind").alias("kind"))
         .select("page_id", "residue", (F.col("reals") - F.col("both")).alias("real"), "kind")
         .where((F.col("real") <= REAL_MOST) & (F.col("residue") >= F.col("real")))
     )

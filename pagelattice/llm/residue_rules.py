@@ -69,13 +69,45 @@ _WEAK = re.compile(
     r"^(?:sorry|oops|vaya|hoppla|oups|dead end|new page|not available|not found|nothing here|page missing|loading"
     r"|this page has moved on|sin contenido|neue seite|nouvelle page|página nueva|please wait|ref 0|0)\W*$"
 )
-# Common words of mock Latin.
-_LATIN = frozenset(
-    "lorem ipsum dolor amet consectetur adipiscing elit tempor magna aliqua nullam semper velit velum fauces iaculis rutrum"
-    " ornare cursus lectus lectum pretium pretus gravida gravid tristique tristi vestibulum mollis mollum pulvinar pulvor"
-    " fermentum fermen dictum sodales sodale ultrices ultrix nostra bibendum bibend convallis conval laoreet laorem quam"
-    " vestor eiusmod incididunt labore dolore".split()
+# The vocabulary of the usual mock Latin ("Lorem ipsum") of text generators.
+LOREM = frozenset(
+    "a ac accumsan ad adipiscing aenean aliqua aliquam aliquet amet anim ante aptent arcu at auctor augue bibendum blandit"
+    " cillum class commodo condimentum congue consectetur consequat conubia convallis cras culpa cum cupidatat curabitur"
+    " cursus dapibus deserunt diam dictum dignissim dolor dolore donec duis egestas eget eiusmod eleifend elementum elit enim"
+    " erat eros esse est et etiam eu euismod ex excepteur exercitation facilisis fames faucibus felis fermentum feugiat"
+    " fringilla fugiat fusce gravida habitant hendrerit iaculis id imperdiet in incididunt integer interdum ipsum irure justo"
+    " labore lacinia lacus laoreet lectus leo libero ligula lobortis lorem luctus maecenas magna malesuada massa mattis mauris"
+    " metus minim molestie mollis mollit morbi nam nec neque netus nibh nisi nisl non nostra nostrud nulla nullam nunc"
+    " occaecat odio officia orci ornare pariatur pellentesque pharetra phasellus placerat porta porttitor posuere praesent"
+    " pretium proident proin pulvinar purus quam qui quis quisque reprehenderit rhoncus risus rutrum sagittis sapien"
+    " scelerisque sed sem semper senectus sint sit sodales sollicitudin sunt suscipit suspendisse tellus tempor tempus"
+    " tincidunt tortor tristique turpis ullamco ullamcorper ultrices ultricies urna ut varius vehicula vel velit venenatis"
+    " veniam vestibulum vitae vivamus viverra volutpat voluptate vulputate".split()
 )
+#: Function words of real languages that mock Latin does not have.
+FOREIGN = FUNCTION_WORDS - LOREM
+
+
+def _grams(word: str) -> list[str]:
+    edged = f"^{word}$"
+    return [edged[i : i + 3] for i in range(len(edged) - 2)]
+
+
+_LATIN = frozenset(g for w in LOREM for g in _grams(w))
+#: Mock Latin: least share of three-letter runs that the vocabulary has too, short lines being drawn to what other
+#: languages share with it by so many runs of weight; and the least words.
+LATIN_SHARE, LATIN_USUAL, LATIN_WEIGHT, LATIN_WORDS = 0.7, 0.4, 20, 4
+
+
+def latin_grams(found: list[str]) -> tuple[int, int]:
+    """(three-letter runs of the words made of letters only, how many of these mock Latin has)."""
+    grams = [g for w in found if w.isalpha() for g in _grams(w)]
+    return len(grams), sum(g in _LATIN for g in grams)
+
+
+def is_latin(grams: float, latin: float) -> bool:
+    return latin + LATIN_USUAL * LATIN_WEIGHT >= LATIN_SHARE * (grams + LATIN_WEIGHT)
+
 
 # At least one of these words stands in every message that the wording rules know.
 _TRIGGERS = frozenset(
@@ -87,49 +119,55 @@ _TRIGGERS = frozenset(
     " title content headline write describe replace untitled soon texto texte ejemplo sustituir contenido próximamente compléter"
     " venir inhalt folgt eingeben einfügen platzhalter beispieltext mustertext blindtext insert javascript script scripts"
     " scripting nécessaire necesario erforderlich nötig browser wait loading patienter warten espere sorry oops vaya hoppla oups"
-    " find error0 erreur0 fehler0 http0 platzhaltertext dead new available nothing sin neue nouvelle nueva ref 0 undefined null none nan translation value"
+    " find error0 erreur0 fehler0 http0 errorcode erreurcode fehlercode httpcode exception platzhaltertext dead new available nothing sin neue nouvelle nueva ref undefined null none nan translation value"
     " translation_key_not_found".split()
 )
 _SPECIAL = frozenset("{}[]%_#$<")
 
-#: Longer lines are paragraphs: they are a message if this share of their sentences is.
-MESSAGE_CHARS, MESSAGE_PART = 170, 0.5
-#: Words of mock Latin, by their share of a line's words; a long line with function words of real languages needs less,
-#: as mock Latin has some of them ("et", "in", "est"), but so many different ones.
-LATIN_PART, LATIN_LONG, LATIN_KINDS = 0.3, 0.2, 6
+#: A line is a message if this share of its sentences is.
+MESSAGE_PART = 0.5
+#: A placeholder among more other words is an example within a text.
+BESIDE = 10
 _SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|\n+")
 #: A line of so many characters may read as sentences.
 REAL_CHARS = 40
 
 
+def hint(token: str) -> bool:
+    """Whether a line with this token may be a message by wording or by placeholder; lines of one token always may."""
+    if not _SPECIAL.isdisjoint(token):
+        return True
+    low = normalise(token)
+    return low.startswith(("xxx", "n/a")) or not _TRIGGERS.isdisjoint(WORD.findall(low))
+
+
+def could_be(line: str) -> bool:
+    """A cheap test that every message of the rules passes; mock Latin is told by `is_latin`."""
+    tokens = line.split()
+    return len(tokens) < 2 or any(map(hint, tokens))
+
+
 def classify(message: str) -> tuple[str, bool] | None:
     """(kind, strong) of a normalised message, or None. A weak one counts only if it recurs across sources."""
-    found = WORD.findall(message)
-    special = not _SPECIAL.isdisjoint(message)
-    if special and _PLACEHOLDER.search(message):
-        rest = WORD.findall(_PLACEHOLDER.sub(" ", message))
-        if len(rest) <= 10:
+    if not _SPECIAL.isdisjoint(message) and _PLACEHOLDER.search(message):
+        if len(WORD.findall(_PLACEHOLDER.sub(" ", message))) <= BESIDE:
             return "placeholder", True
-    if not special and _TRIGGERS.isdisjoint(found) and _LATIN.isdisjoint(found) and not message.startswith(("xxx", "n/a")) and "exception in " not in message:
-        return None
     if _NO_VALUE.search(message):
         return "placeholder", True
-    latin = [w for w in found if w in _LATIN]
-    if len(found) >= 4 and len(latin) >= LATIN_PART * len(found):
-        if not any(w in FUNCTION_WORDS for w in found) or len(message) <= MESSAGE_CHARS:
-            return "filler", True
-    if len(message) > MESSAGE_CHARS:
-        if len(latin) >= LATIN_LONG * len(found) and len(set(latin)) >= LATIN_KINDS:
-            return "filler", True
-        return _of_sentences(message)
-    return _worded(message)
+    found = WORD.findall(message)
+    if len(found) >= LATIN_WORDS and FOREIGN.isdisjoint(found) and is_latin(*latin_grams(found)):
+        return "filler", True
+    return _of_sentences(message)
 
 
 def _of_sentences(message: str) -> tuple[str, bool] | None:
-    """The first kind of a paragraph's sentences, if enough of them are residue by strong wording."""
+    """The first kind of the sentences, if enough of them are residue by strong wording; weak wording must be alone."""
     parts = [x for x in _SENTENCE_END.split(message) if WORD.search(x)]
-    got = [g for x in parts if (g := _worded(x)) and g[1]]
-    return got[0] if got and len(got) >= MESSAGE_PART * len(parts) else None
+    got = [g for x in parts if (g := _worded(x))]
+    strong = [g for g in got if g[1]]
+    if strong and len(strong) >= MESSAGE_PART * len(parts):
+        return strong[0]
+    return got[0] if len(parts) == 1 and got else None
 
 
 def _worded(message: str) -> tuple[str, bool] | None:

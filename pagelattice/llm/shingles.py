@@ -1,24 +1,17 @@
-"""Runs of consecutive words as sorted 64-bit hashes, and MinHash signatures over them."""
+"""Runs of consecutive words as sorted 64-bit hashes."""
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
 
-from pagelattice.llm.words import WORD
+from pagelattice.llm.words import words
 
 # Odd multipliers for mixing.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _hashes: dict[str, int] = {}
 
 
-def words(text: str) -> list[str]:
-    """Maximal runs of letters and digits, lower-cased."""
-    if "İ" in text:  # the one letter whose lower case holds a mark that is no letter
-        return [w.lower() for w in WORD.findall(text)]
-    return WORD.findall(text.lower())
-
-
 def word_hashes(found: list[str]) -> np.ndarray:
     try:
         return np.array([_hashes[w] for w in found], np.uint64)
@@ -55,25 +48,6 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(runs(word_hashes(words(text)), size))
 
 
-def multipliers(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return (
-        rng.integers(0, 1 << 31, n, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1),
-        rng.integers(0, 1 << 32, n, dtype=np.int64).astype(np.uint32),
-    )
-
-
-def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The minimum of each 32-bit hash function over the set; the set must not be empty."""
-    out = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
-    low = (shingles >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(low), 2048):  # bounds memory for very long texts
-        x = low[at : at + 2048, None] * a
-        x += b
-        np.minimum(out, x.min(axis=0), out=out)
-    return out
-
-
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     """Similarity of two sorted sets; 1 for two empty ones."""
     both = len(np.intersect1d(x, y, assume_unique=True))

@@ -163,7 +163,7 @@ def repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     need = F.greatest(F.lit(float(min_pages)), min_share * F.col("size"))
     kept = (
         graph.where("a <> 0")
-        .join(small_side(sizes, 16), "crawl_id")
+        .join(small_side(sizes), "crawl_id")
         .where(F.col("support") >= need)
         .select(
             "crawl_id",
@@ -186,7 +186,7 @@ def without_lines(pages: DataFrame, repeated: DataFrame) -> DataFrame:
     found = durable(repeated.groupBy("crawl_id").agg(F.collect_list("line_key").alias("keys")))
     joined = (
         pages.select(F.col("id").alias("page_id"), F.col("crawl_id").cast("bigint").alias("crawl_id"), "html")
-        .join(small_side(found, 2048), "crawl_id", "left")
+        .join(small_side(found), "crawl_id", "left")
         .select("page_id", "crawl_id", "html", "keys")
     )
 

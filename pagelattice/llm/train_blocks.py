@@ -19,6 +19,7 @@ import numpy as np
 
 from pagelattice.functions.lines import blocks
 from pagelattice.llm import block_model as M
+from pagelattice.llm.chunk import Chunk
 
 #: Upper bound of labelled pages, in all and of one crawl.
 SAMPLE, PER_CRAWL = 4000, 30
@@ -165,7 +166,7 @@ def train(pages: list, supports: list, labels: list, epochs: int = 18, lanes: in
     }
     m1 = {a: np.zeros_like(v) for a, v in w.items()}
     m2 = {a: np.zeros_like(v) for a, v in w.items()}
-    feats = [M.features(p, s) for p, s in zip(pages, supports)]
+    feats = [M.features(Chunk([p]), [s.get(t) for t, _, _ in p]) for p, s in zip(pages, supports)]
     step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(pages))
@@ -176,17 +177,12 @@ def train(pages: list, supports: list, labels: list, epochs: int = 18, lanes: in
         lr = rate * (1 - epoch / epochs)
         for batch in batches:
             step += 1
-            nums, paths, words, ys, sizes = [], [], [], [], []
-            for i in batch:
-                a, b, c = feats[i]
-                nums += a
-                paths += b
-                words += c
-                ys += labels[i]
-                sizes.append(len(a))
-            flat_x = M.inputs(w, nums, paths, words)
-            seen_words = (rng.random(len(nums)) >= HIDE_WORDS)[:, None]
-            seen_path = (rng.random(len(nums)) >= HIDE_PATH)[:, None]
+            got = M.Features(*(np.concatenate(x) for x in zip(*(feats[i] for i in batch))))
+            ys = [y for i in batch for y in labels[i]]
+            sizes = [len(labels[i]) for i in batch]
+            flat_x = M.inputs(w, got)
+            seen_words = (rng.random(len(flat_x)) >= HIDE_WORDS)[:, None]
+            seen_path = (rng.random(len(flat_x)) >= HIDE_PATH)[:, None]
             flat_x[:, : M.E_PATH] *= seen_path
             flat_x[:, M.E_PATH : M.E_PATH + M.E_WORD] *= seen_words
             x, mask = M.pad(flat_x, sizes)
@@ -211,13 +207,12 @@ def train(pages: list, supports: list, labels: list, epochs: int = 18, lanes: in
                 "ob": np.einsum("tb,tbk->k", d, bwd), "ox": np.einsum("tb,tbi->i", d, x), "o0": d.sum(),
                 "path": np.zeros_like(w["path"]), "word": np.zeros_like(w["word"]),
             }
-            ids = np.array(paths)
-            for col in range(ids.shape[1]):
-                np.add.at(g["path"], ids[:, col], flat[:, : M.E_PATH] * seen_path / ids.shape[1])
-            n_words = np.array([len(v) for v in words])
+            for col in range(got.paths.shape[1]):
+                np.add.at(g["path"], got.paths[:, col], flat[:, : M.E_PATH] * seen_path / got.paths.shape[1])
+            n_words = got.word_counts
             np.add.at(
                 g["word"],
-                np.concatenate([np.array(v, np.int64) for v in words]),
+                got.words,
                 np.repeat(flat[:, M.E_PATH : M.E_PATH + M.E_WORD] * seen_words / n_words[:, None], n_words, axis=0),
             )
             for a in w:
@@ -238,8 +233,8 @@ def main(folder: str, limit: int = SAMPLE) -> None:
     kept = [i for i, c in enumerate(crawls) if c % 6]
     print(f"{len(pages)} pages, {len(out)} held out, share of main lines {np.mean([y for l in labels for y in l]):.3f}")
     w = train(*([x[i] for i in kept] for x in (pages, supports, labels)))
-    got = M.label(w, [pages[i] for i in out], [supports[i] for i in out])
-    wrong = sum(int((g != np.array(labels[i], bool)).sum()) for g, i in zip(got, out))
+    got = M.label(w, Chunk([pages[i] for i in out]), [supports[i].get(t) for i in out for t, _, _ in pages[i]])
+    wrong = int((got != np.array([y for i in out for y in labels[i]], bool)).sum())
     print(f"held out: {wrong} of {sum(len(labels[i]) for i in out)} lines differ")
     np.savez_compressed(M.WEIGHTS, **{k: v.astype(np.float16) for k, v in w.items()})
 

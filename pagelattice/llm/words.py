@@ -20,3 +20,20 @@ FUNCTION_WORDS = frozenset(
     ).split()
 )
 
+# Telling function words, each of one language only.
+TELLS = {
+    "en": "the of and to is was that for it on with this which each every some their our",
+    "de": "der die das und den mit von ist für auf nicht ein eine nach bei aus im zum",
+    "fr": "le et à une qui dans pour pas sur avec ce mais au est du",
+    "es": "el los las y una por con se lo al del su pero",
+}
+LANGUAGES = ("", *TELLS)
+#: word -> number of its language in LANGUAGES
+TELLING = {w: i for i, lang in enumerate(LANGUAGES) if lang for w in TELLS[lang].split()}
+
+
+def words(text: str) -> list[str]:
+    """Maximal runs of letters and digits, lower-cased."""
+    if "İ" in text:  # the one letter whose lower case holds a mark that is no letter
+        return [w.lower() for w in WORD.findall(text)]
+    return WORD.findall(text.lower())
