@@ -2,14 +2,13 @@
 
 Every token is looked up once in a table of what is known of it alone: its
 word ids and hashes, whether it is a function word, which language it tells,
-whether a residue rule could look for it. A line is (text, path of open block
+whether a short residue message could have it. A line is (text, path of open block
 elements, characters inside links), as `functions.lines.blocks` gives it.
 """
 
 from __future__ import annotations
 
 import zlib
-from itertools import chain
 
 import numpy as np
 import xxhash
@@ -30,7 +29,7 @@ class _Table(dict):
         self.function: list[bool] = []
         self.foreign: list[bool] = []
         self.tells: list[int] = []
-        self.hint: list[bool] = []
+        self.short: list[bool] = []
         self.grams: list[int] = []
         self.latin: list[int] = []
         self.first: list[int] = []
@@ -48,7 +47,7 @@ class _Table(dict):
         self.function.append(low in FUNCTION_WORDS)
         self.foreign.append(any(w in residue_rules.FOREIGN for w in found))
         self.tells.append(TELLING.get(low, 0))
-        self.hint.append(residue_rules.hint(token))
+        self.short.append(residue_rules.short_word(low))
         self.grams.append(grams)
         self.latin.append(latin)
         self.first.append(len(self.hashes))
@@ -77,6 +76,14 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes - starts, sizes)
 
 
+def sort_parts(values: np.ndarray, sizes: np.ndarray) -> None:
+    """Sorts each of the consecutive parts of these sizes in place."""
+    start = 0
+    for end in np.cumsum(sizes).tolist():
+        values[start:end].sort()
+        start = end
+
+
 class Chunk:
     """Flat arrays over the lines and tokens of some pages."""
 
@@ -89,10 +96,10 @@ class Chunk:
         self.counts = np.fromiter(map(len, pages), np.int64, len(pages))
         self.page = np.repeat(np.arange(len(pages)), self.counts)
         self.texts = [t for p in pages for t, _, _ in p]
-        splits = list(map(str.split, self.texts))
-        self.n_tokens = np.fromiter(map(len, splits), np.int64, len(splits))
-        total = int(self.n_tokens.sum())
-        self.tokens = np.fromiter(map(_table.__getitem__, chain.from_iterable(splits)), np.int64, total)
+        tokens = "\n".join(self.texts).split()
+        # White space within a line is single spaces.
+        self.n_tokens = np.fromiter((t.count(" ") + 1 for t in self.texts), np.int64, len(self.texts))
+        self.tokens = np.fromiter(map(_table.__getitem__, tokens), np.int64, len(tokens))
         self.sizes = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
 
     def of_lines(self, column: str) -> np.ndarray:
@@ -110,7 +117,11 @@ class Chunk:
         """(page, token) of the distinct tokens, letter case aside, of each page's lines in mask."""
         n = max(1, len(self.table))
         low = self.table.column("lower")[self.tokens]
-        key = np.unique((np.repeat(self.page, self.n_tokens) * n + low)[np.repeat(mask, self.n_tokens)])
+        page = np.repeat(self.page, self.n_tokens)
+        kept = np.repeat(mask, self.n_tokens)
+        key = (page * n + low)[kept]
+        sort_parts(key, np.bincount(page[kept], minlength=len(self.pages)))
+        key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
         return key // n, key % n
 
     def word_hashes(self, line: np.ndarray) -> np.ndarray:

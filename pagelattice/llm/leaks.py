@@ -7,28 +7,35 @@ item's weights are divided by the least score that any of its own runs of RUN
 words gives, so a passage that holds such a run scores 1 or more: the search
 loses no leak. It visits only postings of essential terms (those without which
 no score of 1 can be reached), skips blocks of items whose block maxima stay
-below 1, and scores the rest in full. What is found is then verified word by word.
+below 1, and scores the rest in full. What is found is then verified: by the
+hashes of its runs, and a shared run by its words.
 
-The index is built from blocks of items of a bounded size and broadcast block
-by block; the documents are scanned once per block.
+Counts of terms, items and lengths are taken over all items, whatever part of
+the index an item lies in, so scores are comparable. The index is built in
+parts by tasks; as many parts as fit a broadcast are searched in one scan of
+the documents.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.llm.shingles import runs, word_hashes, words
+from pagelattice.session import BROADCAST_LIMIT, durable
 
 #: Words of a run that counts as a leak, of a term, of a passage; BM25's usual parameters.
 RUN, GRAM, PASSAGE, K1, B = 13, 3, 39, 1.2, 0.75
 STRIDE = PASSAGE - RUN + 1
-#: Items side by side in a block of the index; characters of item text in one broadcast index.
+#: Items side by side in a block of the index; characters of item text in one part of it, on average.
 BLOCK, INDEX_CHARS = 16, 1 << 20
 #: Documents searched together: bounds the worker's memory.
 CHUNK = 400
@@ -48,15 +55,39 @@ class Index(NamedTuple):
     block_max: np.ndarray
     run_size: np.ndarray  # [items] RUN, or the item's words if fewer
     item_runs: list[np.ndarray]  # [items] sorted run hashes
+    item_words: list[list[str]]  # [items] words, in order
 
 
 def _terms(h: np.ndarray, gram: int) -> np.ndarray:
     return runs(h, gram) + np.uint64(gram)
 
 
-def build(ids: list[int], texts: list[str]) -> Index:
-    """The index of some items; items without words never leak."""
-    parsed = [(i, word_hashes(w)) for i, t in zip(ids, texts) if (w := words(t or ""))]
+class Counts(NamedTuple):
+    """Of all items: how many have words, their mean number of terms, and of each term of interest the items with it."""
+
+    items: int
+    mean_terms: float
+    frequency: dict[int, int]
+
+
+def counts_of(texts: list[str]) -> Counts:
+    """The counts of a few items at hand."""
+    terms = [_terms_of(word_hashes(w)) for t in texts if (w := words(t or ""))]
+    frequency: dict[int, int] = {}
+    for x in terms:
+        for k in np.unique(x).tolist():
+            frequency[k] = frequency.get(k, 0) + 1
+    return Counts(len(terms), sum(map(len, terms)) / max(1, len(terms)), frequency)
+
+
+def _terms_of(h: np.ndarray) -> np.ndarray:
+    return _terms(h, min(GRAM, len(h)))
+
+
+def build(ids: list[int], texts: list[str], counts: Counts) -> Index:
+    """The index of some items under the counts of all; items without words never leak."""
+    split = [(i, w) for i, t in zip(ids, texts) if (w := words(t or ""))]
+    parsed = [(i, word_hashes(w)) for i, w in split]
     n = len(parsed)
     gram = [min(GRAM, len(h)) for _, h in parsed]
     coded = [_terms(h, g) for (_, h), g in zip(parsed, gram)]
@@ -64,10 +95,10 @@ def build(ids: list[int], texts: list[str]) -> Index:
     owner = np.repeat(np.arange(n), [len(c) for c in coded])
     pair, tf = np.unique(flat.astype(np.int64) * max(n, 1) + owner, return_counts=True)
     term, item = pair // max(n, 1), pair % max(n, 1)
-    df = np.bincount(term, minlength=len(keys))
+    df = np.array([counts.frequency[k] for k in keys.tolist()], np.float64)
     sizes = np.array([len(c) for c in coded] or [1], np.float64)
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / sizes.mean()))
+    idf = np.log(1 + (counts.items - df + 0.5) / (df + 0.5))
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / max(counts.mean_terms, 1)))
     size = np.array([min(RUN, len(h)) for _, h in parsed], np.int64)
     own = {int(p): w for p, w in zip(pair, weight)}
     at = 0
@@ -96,6 +127,7 @@ def build(ids: list[int], texts: list[str]) -> Index:
         np.maximum.reduceat(weight, first) if len(weight) else weight,
         size,
         [np.unique(runs(h, int(k))) for (_, h), k in zip(parsed, size)],
+        [w for _, w in split],
     )
 
 
@@ -182,40 +214,82 @@ def search(index: Index, texts: list[np.ndarray]) -> list[tuple[int, int, float]
     return [(d, i, s) for (d, i), s in out.items()]
 
 
-def _blocks_of_items(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
-    """Items streamed through the driver in blocks of at most INDEX_CHARS characters (one item at least)."""
-    ids: list[int] = []
-    texts: list[str] = []
-    chars = 0
-    for row in items.select("item_id", "text").where("text is not null").orderBy("item_id").toLocalIterator():
-        if ids and chars + len(row.text) > INDEX_CHARS:
-            yield ids, texts
-            ids, texts, chars = [], [], 0
-        ids.append(row.item_id)
-        texts.append(row.text)
-        chars += len(row.text)
-    if ids:
-        yield ids, texts
+def _same_words(text: list[str], item: list[str], size: int, hits: np.ndarray) -> bool:
+    """Whether a run whose hash both share is the same words in both."""
+    wanted = set(hits.tolist())
+    places = {int(h): i for i, h in enumerate(runs(word_hashes(item), size).tolist()) if h in wanted}
+    for i, h in enumerate(runs(word_hashes(text), size).tolist()):
+        if h in places and text[i : i + size] == item[places[h] : places[h] + size]:
+            return True
+    return False
+
+
+def index_parts(items: DataFrame) -> DataFrame:
+    """(part, index): the pickled parts of the index, each of about INDEX_CHARS characters of items; durable.
+
+    Item rows without words are left out, rows stored twice count once.
+    """
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, keys, sizes = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                if found := words(text):
+                    terms = _terms_of(word_hashes(found))
+                    kept.append(i)
+                    keys.append(np.unique(terms).view(np.int64))
+                    sizes.append(len(terms))
+            cols = [c.take(pa.array(kept, pa.int64())) for c in batch.columns]
+            yield pa.record_batch(
+                [*cols, pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
+                names=["item_id", "text", "keys", "size"],
+            )
+
+    parsed = durable(
+        items.where("text is not null")
+        .select(F.col("item_id").cast("bigint"), F.col("text").cast("string"))
+        .distinct()
+        .mapInArrow(parse, "item_id bigint, text string, keys array<bigint>, size bigint")
+    )
+    n, mean, chars = parsed.agg(F.count(F.lit(1)), F.avg("size"), F.sum(F.length("text"))).first()
+    n_parts = -(-(chars or 1) // INDEX_CHARS)
+    terms = parsed.select("item_id", "text", F.explode("keys").alias("key"))
+    frequency = terms.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    counted = (
+        terms.join(frequency, "key")
+        .groupBy("item_id", "text")
+        .agg(F.collect_list(F.struct("key", "df")).alias("x"))
+        .select("item_id", "text", F.col("x.key").alias("keys"), F.col("x.df").alias("dfs"))
+        .withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(n_parts)))
+    )
+
+    def built(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["item_id", "text"])
+        frequency = {k: d for ks, ds in zip(group["keys"], group.dfs) for k, d in zip(np.array(ks, np.int64).view(np.uint64).tolist(), ds)}
+        index = build(group.item_id.tolist(), group.text.tolist(), Counts(n, mean or 1.0, frequency))
+        return pd.DataFrame({"part": [group.part.iloc[0]], "index": [pickle.dumps(index, 5)]})
 
+    return durable(counted.groupBy("part").applyInPandas(built, "part bigint, index binary"))
 
-def _against(documents: DataFrame, index: Index) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(index)
 
+def _against(documents: DataFrame, shared: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        indexes = [pickle.loads(x) for x in shared.value]
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
             for at in range(0, len(ids), CHUNK):
-                found = [word_hashes(words(t)) for t in texts[at : at + CHUNK]]
+                split = [words(t) for t in texts[at : at + CHUNK]]
+                found = [word_hashes(w) for w in split]
                 cache: dict[tuple[int, int], np.ndarray] = {}
-                for d, i, score in search(index, found):
-                    k = int(index.run_size[i])
-                    if (d, k) not in cache:
-                        cache[d, k] = np.unique(runs(found[d], k))
-                    hit = np.intersect1d(cache[d, k], index.item_runs[i], assume_unique=True)
-                    if len(hit):
-                        rows.append((ids[at + d], int(index.ids[i]), score, len(hit) / len(index.item_runs[i])))
+                for index in indexes:
+                    for d, i, score in search(index, found):
+                        k = int(index.run_size[i])
+                        if (d, k) not in cache:
+                            cache[d, k] = np.unique(runs(found[d], k))
+                        hit = np.intersect1d(cache[d, k], index.item_runs[i], assume_unique=True)
+                        if len(hit) and _same_words(split[d], index.item_words[i], k, hit):
+                            rows.append((ids[at + d], int(index.ids[i]), score, len(hit) / len(index.item_runs[i])))
             cols = list(zip(*rows)) if rows else [()] * 4
             yield pa.record_batch(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))],
@@ -229,16 +303,34 @@ def _against(documents: DataFrame, index: Index) -> DataFrame:
     )
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """(doc_id, item_id, score, overlap): documents with RUN consecutive words of an item, or all words of a shorter one.
 
     overlap is the share of the item's distinct runs that the document holds.
     Null, blank and wordless texts, of documents or items, leak nothing.
-    Repeated documents and equal items each have their own rows.
+    Repeated documents and equal items of different ids each have their own
+    rows. The documents are scanned once per `limit` bytes of index.
     """
-    out = None
-    for ids, texts in _blocks_of_items(items):
-        part = _against(documents, build(ids, texts))
+    parts = index_parts(items)
+    out, held, size = None, [], 0
+    # The parts are listed by size first, so that no more than one broadcast's worth is fetched at a time.
+    sizes = parts.select("part", F.octet_length("index").alias("size")).orderBy("part").collect()
+    batches: list[list[int]] = []
+    for row in sizes:
+        if held and size + row.size > limit:
+            batches.append(held)
+            held, size = [], 0
+        held.append(row.part)
+        size += row.size
+    if held:
+        batches.append(held)
+    for wanted in batches:
+        fetched = [bytes(r[0]) for r in parts.where(F.col("part").isin(wanted)).orderBy("part").select("index").collect()]
+        shared = documents.sparkSession.sparkContext.broadcast(fetched)
+        part = _against(documents, shared)
+        if len(batches) > 1:  # one broadcast is held at a time
+            part = durable(part)
+            shared.destroy()
         out = part if out is None else out.unionAll(part)
     if out is None:
         empty = "cast(null as bigint) doc_id, cast(null as bigint) item_id, 0D score, 0D overlap"

@@ -122,8 +122,8 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, voca
     """Samples documents so that each source gives target_share of the total tokens, each at most max_repeats times.
 
     total is the size of the mix, by default the tokens of all documents of all
-    target sources. A source whose tokens times max_repeats stay below its
-    share is `short`: all its documents repeat max_repeats times. Every other
+    target sources. A source is `short` if the sample uses every one of its
+    documents max_repeats times and still stays below its share. Every other
     document is used a fixed number of times plus once more by chance; those
     chances are settled by the cube method, balanced on tokens and documents.
     Documents of other or null sources, null targets and rows without tokens
@@ -148,12 +148,10 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, voca
     if total is None:
         total = sums.agg(F.sum("tokens")).first()[0] or 0
     plan = durable(
-        plan.withColumn("wanted_tokens", F.col("target_share") * F.lit(total))
-        .withColumn("short", F.col("source_tokens") * F.col("max_repeats") < F.col("wanted_tokens"))
-        .withColumn(
+        plan.withColumn("wanted_tokens", F.col("target_share") * F.lit(total)).withColumn(
             "rate",
-            F.when(F.col("short"), F.col("max_repeats").cast("double")).otherwise(
-                F.coalesce(F.try_divide("wanted_tokens", "source_tokens"), F.lit(0.0))
+            F.least(
+                F.col("max_repeats").cast("double"), F.coalesce(F.try_divide("wanted_tokens", "source_tokens"), F.lit(0.0))
             ),
         )
     )
@@ -198,9 +196,13 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, voca
             F.sum(F.col("tokens") * F.col("repeats")).alias("used_tokens"),
             F.sum("repeats").alias("used_documents"),
             F.max("repeats").alias("most_repeats"),
+            F.min("repeats").alias("least_repeats"),
         )
     )
     mixed = used.agg(F.sum("used_tokens")).first()[0] or 0
+    # What the landing left: a source falls short if even all its documents at the most repeats do not fill its share.
+    full = F.coalesce(F.col("least_repeats") >= F.col("max_repeats"), F.lit(True))
+    short = full & (F.coalesce("used_tokens", F.lit(0)) < F.col("wanted_tokens"))
     report = plan.join(used, "source", "left").select(
         "source",
         "target_share",
@@ -211,6 +213,6 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, voca
         F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"),
         F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
         F.coalesce(F.try_divide(F.col("used_tokens"), F.lit(mixed)), F.lit(0.0)).alias("actual_share"),
-        "short",
+        short.alias("short"),
     )
     return Mix(report, sample)

@@ -6,7 +6,8 @@ class enters the forest, so a text copied over a third of all rows is one row.
 Each tree of the forest labels a page with DEPTH min-hashes of its own; the
 labels of a tree, sorted, are the paths of a prefix trie. All pages start at the
 full depth. In each round the pages that share a prefix in some tree meet and
-are verified on their exact sets; then every page that is still searching
+are verified on their exact sets, unless the counts of their runs in BINS bins
+prove that they cannot be similar; then every page that is still searching
 shortens its prefixes by one. How far is decided by the data: a page stops as
 soon as the recall estimated from its own verified partners reaches RECALL. A
 partner of similarity s is met at depth d with the chance 1 - (1 - s^d)^TREES,
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.llm import main_lines
-from pagelattice.llm.chunk import Chunk
+from pagelattice.llm.chunk import Chunk, sort_parts
 from pagelattice.llm.page_facts import Extra
 from pagelattice.llm.shingles import finish, jaccard, runs, shingle_set
 from pagelattice.session import durable, small_side
@@ -44,6 +45,8 @@ RUN, SIMILAR, LEAST_WORDS = 3, 0.7, 50
 TREES, DEPTH, RECALL = 26, 6, 0.999
 #: Bits of a min-hash below the root of a trie: unequal ones that agree only cost a verification.
 BITS = 8
+#: Bins in which the runs of a page are counted, for a bound on what two pages can share.
+BINS = 128
 
 
 def chance(similar: float, depth: int, trees: int = TREES) -> float:
@@ -99,10 +102,12 @@ class Classes(NamedTuple):
 
 
 def _labels(trees: int, depth: int, root: int) -> Extra:
-    """Makes class key, roots, tails and text of eligible pages from their main lines; nulls for others.
+    """Makes class key, roots, tails, run counts and text of eligible pages from their main lines; nulls for others.
 
     A root is the hash of a tree's number and its first `root` min-hashes; a tail
-    holds BITS bits of each further one, the nearest to the root highest.
+    holds BITS bits of each further one, the nearest to the root highest. Runs
+    are counted in BINS bins, a byte each; where a bin overflows there are no
+    counts, and nothing is ruled out.
     """
     tree = np.arange(1, trees + 1, dtype=np.uint64)
 
@@ -116,8 +121,7 @@ def _labels(trees: int, depth: int, root: int) -> Extra:
         whole = page_of == page[RUN - 1 :]  # a run never reaches into the next page
         whole &= (words >= LEAST_WORDS)[page_of]
         code, page_of = code[whole], page_of[whole]
-        order = np.lexsort((code, page_of))
-        code, page_of = code[order], page_of[order]
+        sort_parts(code, np.bincount(page_of, minlength=n))
         new = np.r_[True, (code[1:] != code[:-1]) | (page_of[1:] != page_of[:-1])][: len(code)]
         code, page_of = code[new], page_of[new]
         sig = signatures(code, page_of, n, trees * depth).reshape(n, trees, depth)
@@ -128,19 +132,43 @@ def _labels(trees: int, depth: int, root: int) -> Extra:
         for d in range(root, depth):
             tails = tails << BITS | (sig[:, :, d] >> np.uint64(64 - BITS)).astype(np.int64)
         ends = np.searchsorted(page_of, np.arange(n + 1)).tolist()
+        counts = np.bincount(page_of * BINS + (code & np.uint64(BINS - 1)).astype(np.int64), minlength=n * BINS).reshape(n, BINS)
+        fits = (counts < 256).all(1)
+        counts = counts.astype(np.uint8)
         texts = main_lines.main_of(chunk, main)
-        key, root_of, tail_of, text = ([None] * n for _ in range(4))
+        key, root_of, tail_of, bins, text = ([None] * n for _ in range(5))
         for i in np.flatnonzero(words >= LEAST_WORDS).tolist():
             key[i] = xxhash.xxh3_128_digest(code[ends[i] : ends[i + 1]].tobytes())
             root_of[i], tail_of[i], text[i] = roots[i].view(np.int64), tails[i], "\n".join(texts[i])
+            bins[i] = counts[i].tobytes() if fits[i] else None
         return [
             pa.array(key, pa.binary()),
             pa.array(root_of, pa.list_(pa.int64())),
             pa.array(tail_of, pa.list_(pa.int64())),
+            pa.array(bins, pa.binary()),
             pa.array(text, pa.string()),
         ]
 
-    return Extra("set_key binary, roots array<bigint>, tails array<bigint>, text string", make)
+    return Extra("set_key binary, roots array<bigint>, tails array<bigint>, bins binary, text string", make)
+
+
+def bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The most that the similarity of two sets can be, row by row, by their counts in bins."""
+    x, y = x.astype(np.int32), y.astype(np.int32)
+    shared = np.minimum(x, y).sum(1)
+    return shared / np.maximum(x.sum(1) + y.sum(1) - shared, 1)
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops candidates that cannot be similar; without counts a candidate stays."""
+    nothing = bytes(BINS)
+    for batch in batches:
+        known = np.asarray(batch.column(2).is_valid()) & np.asarray(batch.column(3).is_valid())
+        x, y = (
+            np.frombuffer(b"".join(v or nothing for v in batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3)
+        )
+        keep = pa.array(~known | (bound(x, y) >= SIMILAR))
+        yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +189,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Forest(NamedTuple):
-    """tested: (a, b, similarity, depth) of all pairs that met, and where; stops: (page_id, depth) where each page stopped."""
+    """tested: (a, b, similarity, depth) of all pairs that met and were verified, and where; stops: (page_id, depth) where each page stopped."""
 
     tested: DataFrame
     stops: DataFrame
@@ -170,8 +198,8 @@ class Forest(NamedTuple):
 def search(labels: DataFrame, texts: DataFrame, depth: int = DEPTH, trees: int = TREES, recall: float = RECALL) -> Forest:
     """Searches the forest of labels (page_id, root, tail) of a tree each, from the full depth on.
 
-    texts (page_id, text) holds every labelled page. Both should be durable. A
-    frequent prefix is split by the adaptive skew join.
+    texts (page_id, bins, text) holds every labelled page. Both should be
+    durable. A frequent prefix is split by the adaptive skew join.
     """
     root = root_depth(trees=trees, depth=depth, recall=recall)
     spark = labels.sparkSession
@@ -187,10 +215,16 @@ def search(labels: DataFrame, texts: DataFrame, depth: int = DEPTH, trees: int =
             .select(F.least("x.page_id", "y.page_id").alias("a"), F.greatest("x.page_id", "y.page_id").alias("b"))
             .distinct()
         )
+        possible = durable(
+            met.join(texts.select(F.col("page_id").alias("a"), F.col("bins").alias("x")), "a")
+            .join(texts.select(F.col("page_id").alias("b"), F.col("bins").alias("y")), "b")
+            .select("a", "b", "x", "y")
+            .mapInArrow(_possible, "a bigint, b bigint")
+        )
         if d < depth:
-            met = met.join(tested, ["a", "b"], "left_anti")
+            possible = possible.join(tested, ["a", "b"], "left_anti")
         verified = (
-            met.join(texts.select(F.col("page_id").alias("a"), F.col("text").alias("ta")), "a")
+            possible.join(texts.select(F.col("page_id").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("page_id").alias("b"), F.col("text").alias("tb")), "b")
             .select("a", "b", "ta", "tb")
             .mapInArrow(_verify, "a bigint, b bigint, similarity double")
@@ -248,7 +282,7 @@ def similar_classes(pages: DataFrame, links: DataFrame) -> Classes:
     crowded = durable(leaves.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"))
     labels = durable(leaves.join(small_side(crowded), "root", "left_semi").select("page_id", "root", "tail"))
     some = durable(labels.select("page_id").distinct())
-    texts = durable(signed.select("page_id", "text").join(small_side(some), "page_id", "left_semi"))
+    texts = durable(signed.select("page_id", "bins", "text").join(small_side(some), "page_id", "left_semi"))
     pairs = search(labels, texts).tested.where(F.col("similarity") >= SIMILAR).select("a", "b", "similarity")
     return Classes(members, pairs)
 

@@ -109,7 +109,8 @@ def facts_of(chunk: Chunk, known: np.ndarray) -> list[list]:
     own = ~known
     real, proper = _real(chunk)
     # Residue may stand on the site's lines too: a template that fails, fails on many pages.
-    may = (chunk.of_lines("hint") > 0) | (chunk.n_tokens < 2)
+    may = (chunk.n_tokens < 2) | ((chunk.n_tokens <= residue_rules.SHORT) & (chunk.of_lines("short") > 0))
+    may[list(residue_rules.with_needs(list(map(str.lower, chunk.texts))))] = True
     grams = chunk.of_lines("grams")
     may |= (grams > 0) & (chunk.of_lines("foreign") == 0) & residue_rules.is_latin(grams, chunk.of_lines("latin"))
     messages: list[dict[str, dict]] = [{} for _ in range(n)]

@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from functools import cache
+from itertools import accumulate
 
+from pagelattice.functions.wording import Wording
 from pagelattice.llm.words import FUNCTION_WORDS, WORD
 
+try:
+    import ahocorasick
+except ImportError:  # the strings are then looked for one by one
+    ahocorasick = None
+
 _ADDRESS = re.compile(r"https?://\S+|[\w.+-]+@[\w-]+\.\w+|\bwww\.\S+")
 _HEX = re.compile(r"\b(?=[0-9a-f-]*\d)[0-9a-f]{8,}(?:-[0-9a-f]{4,})*\b", re.I)
 _NUMBER = re.compile(r"\d+(?:[.,:/-]\d+)*")
@@ -22,50 +31,143 @@ def normalise(line: str) -> str:
 
 
 # Template syntax of common engines and printed values of missing data.
-_PLACEHOLDER = re.compile(
-    r"\{\{.*?\}\}|\$\{.*?\}|#\{.*?\}|<%.*?%>|\{%.*?%\}|%%\w[\w.]*%%|\[\[[\w. ]+\]\]|__[a-z][\w.]*__|\[object object\]"
-)
-_NO_VALUE = re.compile(
-    r"^(?:undefined|null|none|nan|n/a)(?: [a-z€$%]{1,4})?$|translation_key_not_found|missing translation"
-    r"|translation missing|has no value$|^%[sd]$"
-)
+PLACEHOLDER = [
+    r"\{\{.*?\}\}",
+    r"\$\{.*?\}",
+    r"#\{.*?\}",
+    r"<%.*?%>",
+    r"\{%.*?%\}",
+    r"%%\w[\w.]*%%",
+    r"\[\[[\w. ]+\]\]",
+    r"__[a-z][\w.]*__",
+    r"\[object object\]",
+]
+NO_VALUE = [
+    r"translation_key_not_found",
+    r"missing translation",
+    r"translation missing",
+    r"has no value$",
+]
+# Printed values of missing data that are a whole line.
+NO_VALUE_LINE = r"^(?:undefined|null|none|nan|n/a)(?: [a-z€$%]{1,4})?$|^%[sd]$"
 # Wording of drafts, in the four languages.
-_FILLER = re.compile(
-    r"lorem ipsum|^(?:todo|tbd|fixme|xxx|tba)\b|^(?:x{3,}\s*)+$|(?:sample|dummy|placeholder|example|filler) text\b"
-    r"|\bplaceholder$|insert (?:your )?(?:text|title|content)|(?:text|headline|title|content) goes here"
-    r"|write something about|describe your |replace before launch|^untitled(?: \w+)?$|coming soon\W*$|text here\b"
-    r"|texto? de ejemplo|sustituir\.?$|contenido (?:de )?ejemplo|próximamente|à (?:compléter|venir)\b|texte (?:d.exemple|ici)"
-    r"|(?:text|inhalt) folgt\b|hier (?:eingeben|einfügen)|platzhalter|beispieltext|mustertext|blindtext"
-)
+FILLER = [
+    r"lorem ipsum",
+    r"^(?:todo|tbd|fixme|xxx|tba)\b",
+    r"^(?:x{3,}\s*)+$",
+    r"(?:sample|dummy|placeholder|example|filler) text\b",
+    r"\bplaceholder$",
+    r"insert (?:your )?(?:text|title|content)",
+    r"(?:text|headline|title|content) goes here",
+    r"write something about",
+    r"describe your ",
+    r"replace before launch",
+    r"^untitled(?: \w+)?$",
+    r"coming soon\W*$",
+    r"text here\b",
+    r"texto? de ejemplo",
+    r"sustituir\.?$",
+    r"contenido (?:de )?ejemplo",
+    r"próximamente",
+    r"à (?:compléter|venir)\b",
+    r"texte (?:d.exemple|ici)",
+    r"(?:text|inhalt) folgt\b",
+    r"hier (?:eingeben|einfügen)",
+    r"platzhalter",
+    r"beispieltext",
+    r"mustertext",
+    r"blindtext",
+]
 # Wording of servers and error pages, in the four languages.
-_ERROR = re.compile(
-    r"access (?:is |was )?denied|request (?:was|has been) blocked|^forbidden\b|\bforbidden$|not authori[sz]ed"
-    r"|database connection|connection (?:was )?(?:refused|reset|timed out)|internal server error|unexpected condition"
-    r"|bad gateway|gateway time-?out|service (?:is )?(?:temporarily )?unavailable|no backend|upstream sent|invalid reply"
-    r"|too many requests|more requests than allowed|slow down: |fatal error|uncaught \w*error|stack trace|exception in "
-    r"|(?:page|file|address|site|url|item|document) (?:was |could )?not (?:be )?found|could not find (?:the|this|that|your) (?:page|address|file|item|url|link)"
-    r"|page (?:is )?(?:missing|gone)|nothing lives at this|no longer (?:available|exists?|this address|here)|there is no longer"
-    r"|does not exist|has (?:been )?moved|maintenance (?:work|mode|break)|(?:for|under|scheduled) maintenance"
-    r"|we (?:will|.ll) be (?:right )?back|be right back|try again later|something went wrong|an error (?:has )?occurred"
-    r"|(?:^|\b)(?:error|erreur|fehler|http) ?(?:code )?0\b|\b0 (?:bad gateway|service unavailable|internal server|not found|forbidden|gone\b|unauthorized)"
-    r"|page introuvable|introuvable$|n.existe (?:plus|pas)|a été (?:retiré|supprimé|déplacé)|accès refusé|en maintenance"
-    r"|contenu demandé|service indisponible|page demandée"
-    r"|ya no existe|no hay nada en|no (?:se )?(?:ha )?encontrad[oa]|página no (?:encontrada|existe|disponible)|acceso denegado|en mantenimiento|no disponible"
-    r"|gibt es nicht|nicht gefunden|leider nichts|nicht (?:mehr )?(?:verfügbar|erreichbar|vorhanden)|zugriff verweigert"
-    r"|wartungsarbeiten|seite fehlt|existiert nicht"
-)
+ERROR = [
+    r"access (?:is |was )?denied",
+    r"request (?:was|has been) blocked",
+    r"^forbidden\b",
+    r"\bforbidden$",
+    r"not authori[sz]ed",
+    r"database connection",
+    r"connection (?:was )?(?:refused|reset|timed out)",
+    r"internal server error",
+    r"unexpected condition",
+    r"bad gateway",
+    r"gateway time-?out",
+    r"service (?:is )?(?:temporarily )?unavailable",
+    r"no backend",
+    r"upstream sent",
+    r"invalid reply",
+    r"too many requests",
+    r"more requests than allowed",
+    r"slow down: ",
+    r"fatal error",
+    r"uncaught \w*error",
+    r"stack trace",
+    r"exception in ",
+    r"(?:page|file|address|site|url|item|document) (?:was |could )?not (?:be )?found",
+    r"could not find (?:the|this|that|your) (?:page|address|file|item|url|link)",
+    r"page (?:is )?(?:missing|gone)",
+    r"nothing lives at this",
+    r"no longer (?:available|exists?|this address|here)",
+    r"there is no longer",
+    r"does not exist",
+    r"has (?:been )?moved",
+    r"maintenance (?:work|mode|break)",
+    r"(?:for|under|scheduled) maintenance",
+    r"we (?:will|.ll) be (?:right )?back",
+    r"be right back",
+    r"try again later",
+    r"something went wrong",
+    r"an error (?:has )?occurred",
+    r"(?:^|\b)(?:error|erreur|fehler|http) ?(?:code )?0\b",
+    r"\b0 (?:bad gateway|service unavailable|internal server|not found|forbidden|gone\b|unauthorized)",
+    r"page introuvable",
+    r"introuvable$",
+    r"n.existe (?:plus|pas)",
+    r"a été (?:retiré|supprimé|déplacé)",
+    r"accès refusé",
+    r"en maintenance",
+    r"contenu demandé",
+    r"service indisponible",
+    r"page demandée",
+    r"ya no existe",
+    r"no hay nada en",
+    r"no (?:se )?(?:ha )?encontrad[oa]",
+    r"página no (?:encontrada|existe|disponible)",
+    r"acceso denegado",
+    r"en mantenimiento",
+    r"no disponible",
+    r"gibt es nicht",
+    r"nicht gefunden",
+    r"leider nichts",
+    r"nicht (?:mehr )?(?:verfügbar|erreichbar|vorhanden)",
+    r"zugriff verweigert",
+    r"wartungsarbeiten",
+    r"seite fehlt",
+    r"existiert nicht",
+]
 # Notices that scripts are required, or that something is still loading.
-_SCRIPTS = re.compile(
-    r"(?:enable|activate|allow|need|require|requires|turn on|switch on)\w* (?:\w+ ){0,3}(?:javascript|scripts?|scripting)"
-    r"|(?:javascript|scripts?|scripting) (?:is|are|was|has been) (?:\w+ )?(?:turned off|disabled|blocked|required|needed|off)"
-    r"|(?:blocks?|blocked|disabled?) (?:\w+ )?(?:javascript|scripts?|scripting)|scripting (?:is )?disabled|drawn by a script"
-    r"|(?:est|es|ist) (?:nécessaire|necesario|erforderlich|nötig)|activ(?:e|ez|er|ar) (?:le |el )?javascript"
-    r"|aktivieren sie (?:bitte )?javascript|sans javascript|sin javascript|ohne javascript|javascript (?:aktivieren|activé)"
-    r"|checking your browser|please wait while|(?:^|\b)loading(?:…|\.\.\.)|veuillez patienter|bitte warten|espere por favor"
-    r"|browser is too old"
-)
-# Words that say nothing alone; a message only where many sources have them.
-_WEAK = re.compile(
+SCRIPTS = [
+    r"(?:enable|activate|allow|need|require|requires|turn on|switch on)\w* (?:\w+ ){0,3}(?:javascript|scripts?|scripting)",
+    r"(?:javascript|scripts?|scripting) (?:is|are|was|has been) (?:\w+ )?(?:turned off|disabled|blocked|required|needed|off)",
+    r"(?:blocks?|blocked|disabled?) (?:\w+ )?(?:javascript|scripts?|scripting)",
+    r"scripting (?:is )?disabled",
+    r"drawn by a script",
+    r"(?:est|es|ist) (?:nécessaire|necesario|erforderlich|nötig)",
+    r"activ(?:e|ez|er|ar) (?:le |el )?javascript",
+    r"aktivieren sie (?:bitte )?javascript",
+    r"sans javascript",
+    r"sin javascript",
+    r"ohne javascript",
+    r"javascript (?:aktivieren|activé)",
+    r"checking your browser",
+    r"please wait while",
+    r"(?:^|\b)loading(?:…|\.\.\.)",
+    r"veuillez patienter",
+    r"bitte warten",
+    r"espere por favor",
+    r"browser is too old",
+]
+# Lines that say nothing alone; a message only where many sources have them.
+WEAK_LINE = (
     r"^(?:sorry|oops|vaya|hoppla|oups|dead end|new page|not available|not found|nothing here|page missing|loading"
     r"|this page has moved on|sin contenido|neue seite|nouvelle page|página nueva|please wait|ref 0|0)\W*$"
 )
@@ -109,21 +211,6 @@ def is_latin(grams: float, latin: float) -> bool:
     return latin + LATIN_USUAL * LATIN_WEIGHT >= LATIN_SHARE * (grams + LATIN_WEIGHT)
 
 
-# At least one of these words stands in every message that the wording rules know.
-_TRIGGERS = frozenset(
-    "access denied request blocked forbidden authorized authorised database connection internal unexpected bad gateway service"
-    " unavailable backend upstream invalid requests slow fatal uncaught trace exception found missing gone lives longer exist"
-    " moved maintenance back later wrong occurred error erreur fehler http introuvable existe retiré supprimé déplacé accès"
-    " demandé demandée indisponible nada encontrado encontrada acceso mantenimiento disponible gibt gefunden nichts verfügbar"
-    " erreichbar vorhanden zugriff wartungsarbeiten fehlt existiert unauthorized lorem todo tbd fixme xxx tba text placeholder"
-    " title content headline write describe replace untitled soon texto texte ejemplo sustituir contenido próximamente compléter"
-    " venir inhalt folgt eingeben einfügen platzhalter beispieltext mustertext blindtext insert javascript script scripts"
-    " scripting nécessaire necesario erforderlich nötig browser wait loading patienter warten espere sorry oops vaya hoppla oups"
-    " find error0 erreur0 fehler0 http0 errorcode erreurcode fehlercode httpcode exception platzhaltertext dead new available nothing sin neue nouvelle nueva ref undefined null none nan translation value"
-    " translation_key_not_found".split()
-)
-_SPECIAL = frozenset("{}[]%_#$<")
-
 #: A line is a message if this share of its sentences is.
 MESSAGE_PART = 0.5
 #: A placeholder among more other words is an example within a text.
@@ -133,26 +220,49 @@ _SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|\n+")
 REAL_CHARS = 40
 
 
-def hint(token: str) -> bool:
-    """Whether a line with this token may be a message by wording or by placeholder; lines of one token always may."""
-    if not _SPECIAL.isdisjoint(token):
-        return True
-    low = normalise(token)
-    return low.startswith(("xxx", "n/a")) or not _TRIGGERS.isdisjoint(WORD.findall(low))
+_PLACEHOLDER, _NO_VALUE, _FILLER, _ERROR, _SCRIPTS = (Wording(x, re.U) for x in (PLACEHOLDER, NO_VALUE, FILLER, ERROR, SCRIPTS))
+_IN_PLACE = re.compile("|".join(PLACEHOLDER))
+_NO_VALUE_LINE, _WEAK_LINE = re.compile(NO_VALUE_LINE), re.compile(WEAK_LINE)
+#: Every longer message holds one of these strings, in lower case.
+NEEDS = sorted({n for w in (_PLACEHOLDER, _NO_VALUE, _FILLER, _ERROR, _SCRIPTS) for n in w.needs})
+#: Messages that are a whole line have at most so many words, and one of these words unless they have one word in all.
+SHORT = 5
+SHORT_WORDS = frozenset(re.findall(r"[^\W\d_]{3,}|n/a", NO_VALUE_LINE + WEAK_LINE))
+
+
+def with_needs(texts: list[str]) -> set[int]:
+    """The places of the texts, in lower case, that hold a string of NEEDS; one pass over all letters."""
+    if ahocorasick is None:
+        return {i for i, t in enumerate(texts) if any(n in t for n in NEEDS)}
+    ends = list(accumulate(len(t) + 1 for t in texts))
+    return {bisect_right(ends, end) for end, _ in _automaton().iter("\n".join(texts))}
+
+
+@cache
+def _automaton():
+    made = ahocorasick.Automaton()
+    for n in NEEDS:
+        made.add_word(n, 1)
+    made.make_automaton()
+    return made
 
 
 def could_be(line: str) -> bool:
-    """A cheap test that every message of the rules passes; mock Latin is told by `is_latin`."""
-    tokens = line.split()
-    return len(tokens) < 2 or any(map(hint, tokens))
+    """Whether a line may be a message by its wording; mock Latin is told by `is_latin`."""
+    tokens = line.lower().split()
+    return len(tokens) < 2 or bool(with_needs([line.lower()])) or (len(tokens) <= SHORT and any(map(short_word, tokens)))
+
+
+def short_word(token: str) -> bool:
+    """Whether a lower-case token has a word of the messages that are a whole line."""
+    return token in SHORT_WORDS or not SHORT_WORDS.isdisjoint(WORD.findall(token))
 
 
 def classify(message: str) -> tuple[str, bool] | None:
     """(kind, strong) of a normalised message, or None. A weak one counts only if it recurs across sources."""
-    if not _SPECIAL.isdisjoint(message) and _PLACEHOLDER.search(message):
-        if len(WORD.findall(_PLACEHOLDER.sub(" ", message))) <= BESIDE:
-            return "placeholder", True
-    if _NO_VALUE.search(message):
+    if _PLACEHOLDER.any(message, message) and len(WORD.findall(_IN_PLACE.sub(" ", message))) <= BESIDE:
+        return "placeholder", True
+    if _NO_VALUE_LINE.search(message) or _NO_VALUE.any(message, message):
         return "placeholder", True
     found = WORD.findall(message)
     if len(found) >= LATIN_WORDS and FOREIGN.isdisjoint(found) and is_latin(*latin_grams(found)):
@@ -162,6 +272,8 @@ def classify(message: str) -> tuple[str, bool] | None:
 
 def _of_sentences(message: str) -> tuple[str, bool] | None:
     """The first kind of the sentences, if enough of them are residue by strong wording; weak wording must be alone."""
+    if not _WEAK_LINE.search(message) and not any(w.candidates(message) for w in (_FILLER, _ERROR, _SCRIPTS)):
+        return None
     parts = [x for x in _SENTENCE_END.split(message) if WORD.search(x)]
     got = [g for x in parts if (g := _worded(x))]
     strong = [g for g in got if g[1]]
@@ -171,13 +283,13 @@ def _of_sentences(message: str) -> tuple[str, bool] | None:
 
 
 def _worded(message: str) -> tuple[str, bool] | None:
-    if _FILLER.search(message):
+    if _FILLER.any(message, message):
         return "filler", True
-    if _ERROR.search(message):
+    if _ERROR.any(message, message):
         return "error", True
-    if _SCRIPTS.search(message):
+    if _SCRIPTS.any(message, message):
         return "scripts", True
-    if _WEAK.search(message):
+    if _WEAK_LINE.search(message):
         return "weak", False
     return None
 

@@ -178,30 +178,58 @@ def repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     )
 
 
+def occurrences(blocks: list[int | None]) -> list[tuple[int, int, int]]:
+    """(block, first line, line after the last) of each maximal run of lines of one block; None marks other lines."""
+    out = []
+    start = 0
+    for i in range(1, len(blocks) + 1):
+        if i == len(blocks) or blocks[i] != blocks[start]:
+            if blocks[start] is not None:
+                out.append((blocks[start], start, i))
+            start = i
+    return out
+
+
 def without_lines(pages: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(page_id, crawl_id, text, removed): each page's lines without the repeated ones of its crawl.
+    """(page_id, crawl_id, text, removed, occurrences): each page without the occurrences of its crawl's boilerplate blocks.
 
-    Pages without html give a null text; pages of unknown crawls keep all lines.
+    An occurrence is a run of consecutive lines of one block, down to a single
+    line of it. Pages without html give a null text; pages of unknown crawls
+    keep all lines.
     """
-    found = durable(repeated.groupBy("crawl_id").agg(F.collect_list("line_key").alias("keys")))
+    found = durable(
+        repeated.groupBy("crawl_id").agg(F.collect_list(F.struct("line_key", "block_id")).alias("x")).select(
+            "crawl_id", F.col("x.line_key").alias("keys"), F.col("x.block_id").alias("blocks")
+        )
+    )
     joined = (
         pages.select(F.col("id").alias("page_id"), F.col("crawl_id").cast("bigint").alias("crawl_id"), "html")
         .join(small_side(found), "crawl_id", "left")
-        .select("page_id", "crawl_id", "html", "keys")
+        .select("page_id", "crawl_id", "html", "keys", "blocks")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int | None, dict[int, int]] = {}
         for batch in batches:
-            texts, removed = [], []
-            for html, keys in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            texts, removed, runs = [], [], []
+            for i, (crawl, html) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if crawl not in tables:
+                    if len(tables) > 64:
+                        tables.clear()
+                    tables[crawl] = dict(zip(batch.column(3)[i].as_py() or (), batch.column(4)[i].as_py() or ()))
                 all_lines = lines(html)
-                gone = set(keys or ())
-                kept = [x for x in all_lines if line_hash(x) not in gone]
+                found = occurrences([tables[crawl].get(line_hash(x)) for x in all_lines])
+                kept, at = [], 0
+                for _, start, end in found:
+                    kept += all_lines[at:start]
+                    at = end
+                kept += all_lines[at:]
                 texts.append(None if html is None else "\n".join(kept))
                 removed.append(len(all_lines) - len(kept))
+                runs.append(len(found))
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(removed, pa.int64())],
-                names=["page_id", "crawl_id", "text", "removed"],
+                [*batch.columns[:2], pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
+                names=["page_id", "crawl_id", "text", "removed", "occurrences"],
             )
 
-    return joined.mapInArrow(run, "page_id bigint, crawl_id bigint, text string, removed bigint")
+    return joined.mapInArrow(run, "page_id bigint, crawl_id bigint, text string, removed bigint, occurrences bigint")

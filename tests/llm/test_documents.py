@@ -55,13 +55,22 @@ def test_leak_index_blocks(spark, monkeypatch):
     docs = [(i, "x y " + t) for i, t in items]
     frame = spark.createDataFrame([(d, t, "s", 1, "k") for d, t in docs], DOCUMENTS)
     table = spark.createDataFrame(items, "item_id bigint, text string")
+    whole = {(r.doc_id, r.item_id): r.score for r in leaks.leaks(frame, table).collect()}
     monkeypatch.setattr(leaks, "INDEX_CHARS", 500)
-    assert {(r.doc_id, r.item_id) for r in leaks.leaks(frame, table).collect()} == {(i, i) for i in range(30)}
+    assert leaks.index_parts(table).count() > 5
+    for limit in (1 << 20, 4000):  # one scan, and several
+        got = {(r.doc_id, r.item_id): r.score for r in leaks.leaks(frame, table.union(table), limit).collect()}
+        assert got == pytest.approx(whole) and set(got) == {(i, i) for i in range(30)}  # scores do not depend on the parts
+
+
+def test_shared_hashes_are_no_proof():
+    assert leaks._same_words("a b c d".split(), "x b c y".split(), 2, leaks.runs(word_hashes(["b", "c"]), 2))
+    assert not leaks._same_words("a b c d".split(), "x c b y".split(), 2, leaks.runs(word_hashes(["b", "c"]), 2))
 
 
 def test_search_scores_a_leak_at_one_or_more():
     items = [" ".join(f"t{(i * 7 + k) % 50}" for k in range(30)) for i in range(20)]
-    index = leaks.build(list(range(20)), items)
+    index = leaks.build(list(range(20)), items, leaks.counts_of(items))
     for i, t in enumerate(items):
         run = ["pad"] * 30 + words(t)[9:22] + ["pad"] * 30
         hits = {j: s for _, j, s in leaks.search(index, [word_hashes(run)])}
@@ -97,6 +106,10 @@ def test_mix(spark, monkeypatch):
         r = report[s]
         assert r.most_repeats <= r.max_repeats and abs(r.used_tokens - r.target_share * total) < 0.02 * total
     assert report["c"].used_tokens == 3 * report["c"].source_tokens and report["none"].used_tokens == 0
+    flown = mixing._fly  # the short sources are told from the sample: if the flight lost its documents, there would be others
+    monkeypatch.setattr(mixing, "_fly", lambda group, final: flown(group, final).iloc[:0])
+    assert {r.source for r in mixing.mix(docs, targets).report.where("short").collect()} == {"a", "b", "c", "none"}
+    monkeypatch.setattr(mixing, "_fly", flown)
     again = sorted((r.doc_id, r.repeats) for r in mixing.mix(docs.repartition(7), targets).sample.collect())
     assert again == sorted((r.doc_id, r.repeats) for r in sample)
     assert all(r.used_tokens == 0 for r in mixing.mix(docs.limit(0), targets).report.collect())
@@ -117,6 +130,8 @@ PROSE = "The kiln was cold and the glaze had not set. We waited for the next day
         ("\n".join(f"load time: {i}" for i in range(9)), True), ("kiln, mug, kiln, glaze, " * 20, True),
         ("\n".join(f"the odd kiln {i} and the rest." for i in range(9)), True),
         ("{}[]#@&%" * 20, True), ("1 22 333 4444\n5 6 7 8\n" * 5, True), ("<div><span>a</span></div>" * 20, True),
+        ("name      price   stock\nbig kiln  12 eur  3 left\nmug       4 eur   12 left\nslip      30 eur  none", True),
+        ("Soft clay\nSlow wheel\nWarm kiln\nGood mug", True), ("It was late.\nWe left.", False), ("Why not?", False),
         ("Home > Shop > News > Team > Press > Jobs > Help", True),
     ],
 )
@@ -124,6 +139,19 @@ def test_prose(text, bad):
     assert quality.measure(text, frozenset(("the", "was"))) [-1] is bad
 
 
+def test_alignment_looks_at_fields_and_columns():
+    padded = ["a b c      | d", "aa         | dd", "a, b, c, d | e", "q          | r"]
+    fields = ["a;b;c", "aaa;bbbb;c", "q;rr;sss", "t;u;v"]
+    assert quality._alignment(padded)[1] == 0.75 and quality._alignment(fields)[0] == 0.75 and quality._alignment(fields)[1] < 0.75
+    assert quality._alignment(["no separator here"]) == (0.0, 0.0)
+
+
+def test_periodic_lines():
+    zigzag = np.array([1.0, 9.0] * 8)
+    assert quality._autocorrelation(zigzag) > 0.8 and abs(quality._autocorrelation(np.random.default_rng(1).normal(size=200))) < 0.3
+    assert quality._autocorrelation(np.ones(10)) == 0.9 and quality._autocorrelation(np.ones(1)) == 0.0
+
+
 def test_statistics(spark):
     rows = [(1, PROSE, "s", 1, "k"), (2, None, "s", 1, "k"), (3, " \n ", "s", 1, "k"), (4, "x" * 200_000, "s", 1, "k"), (1, PROSE, "s", 1, "k")]
     common = spark.createDataFrame([("en", "The"), ("en", None), ("de", "the")], "lang string, word string")

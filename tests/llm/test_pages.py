@@ -74,10 +74,18 @@ def test_repeated_lines_against_counts(spark):
     assert by["Home"] == by["About us"] and by["Terms of use"] == by["Built here"] != by["Home"]
     clean = {r.page_id: r for r in site_lines.without_lines(df, found).where("crawl_id = 1").collect()}
     assert "Home" not in clean[0].text and "Title number 0" in clean[0].text and clean[0].removed == 4
+    assert clean[0].occurrences == 2 and clean[14].occurrences == 0  # the menu and the footer, each one block
+    apart = site_lines.without_lines(df, found.withColumn("block_id", F.col("line_key"))).where("page_id = 0 and crawl_id = 1").first()
+    assert apart.occurrences == 4 and apart.text == clean[0].text  # without components every line is its own
     assert clean[13].text is None and clean[14].text == ""
     assert site_lines.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_occurrences():
+    assert site_lines.occurrences([None, 1, 1, 2, None, 1]) == [(1, 1, 3), (2, 3, 4), (1, 5, 6)] and site_lines.occurrences([]) == []
+    assert site_lines.occurrences([3]) == [(3, 0, 1)] and site_lines.occurrences([None]) == []
+
+
 def test_small_batches_lose_no_text(spark):
     """A line's text must survive when batches hold a few pages of a crawl each."""
     df = frame(spark, [page(i) for i in range(40)]).repartition(20)
@@ -149,10 +157,12 @@ def examples(tree) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("rule", ["_NO_VALUE", "_FILLER", "_ERROR", "_SCRIPTS", "_WEAK"])
+@pytest.mark.parametrize("rule", ["NO_VALUE", "NO_VALUE_LINE", "FILLER", "ERROR", "SCRIPTS", "WEAK_LINE"])
 def test_the_shortcut_drops_no_message_of_the_rules(rule):
-    made = [x for x in examples(re._parser.parse(getattr(residue_rules, rule).pattern)) if getattr(residue_rules, rule).search(x)]
-    assert len(made) > 8 and [x for x in made if classify(x) is None or not residue_rules.could_be(x)] == []
+    listed = getattr(residue_rules, rule)
+    listed = [listed] if isinstance(listed, str) else listed
+    made = [x for r in listed for x in examples(re._parser.parse(r)) if re.search(r, x)]
+    assert len(made) > 3 and [x for x in made if classify(x) is None or not residue_rules.could_be(x)] == []
 
 
 CLIPPED = "vestib pellen sollic condim tincid ultric phare sagit portt maecen scel ullam".split()
@@ -260,7 +270,7 @@ def test_chunk_sums():
     assert chunk.of_lines("n_words").tolist() == [len(words.words(t)) for t in texts]
     assert chunk.word_hashes(np.arange(4)).tolist() == shingles.word_hashes([w for t in texts for w in words.words(t)]).tolist()
     assert chunk.per_page(chunk.n_tokens).tolist() == [7, 0, 2]
-    assert Chunk([]).of_lines("hint").tolist() == []
+    assert Chunk([]).of_lines("short").tolist() == []
 
 
 def test_labeller_reads_both_directions():
@@ -315,10 +325,11 @@ def variants(spark, groups: int, of: int, rate: float):
             rows.append((len(rows), " ".join(mine)))
     make = near_pages._labels(near_pages.TREES, near_pages.DEPTH, near_pages.root_depth()).make
     chunk = Chunk([[(t, "/body/p", 0)] for _, t in rows])
-    _, roots, tails, _ = make(chunk, np.ones(len(rows), bool))
+    _, roots, tails, bins, _ = make(chunk, np.ones(len(rows), bool))
     leaves = [(i, r, t) for i, (rs, ts) in enumerate(zip(roots.to_pylist(), tails.to_pylist())) for r, t in zip(rs, ts)]
     labels = durable(spark.createDataFrame(leaves, "page_id bigint, root bigint, tail bigint"))
-    return labels, durable(spark.createDataFrame(rows, "page_id bigint, text string")), [shingles.shingle_set(t, 3) for _, t in rows]
+    rows = [(i, b, t) for (i, t), b in zip(rows, bins.to_pylist())]
+    return labels, durable(spark.createDataFrame(rows, "page_id bigint, bins binary, text string")), [shingles.shingle_set(t, 3) for _, _, t in rows]
 
 
 def test_prefixes_shorten_by_the_data(spark):
@@ -334,6 +345,15 @@ def test_prefixes_shorten_by_the_data(spark):
     assert len(want) > 1000 and got <= want and len(got) >= 0.999 * len(want)
 
 
+def test_bins_bound_the_similarity():
+    rng = np.random.default_rng(8)
+    pool = np.unique(rng.integers(0, 1 << 62, 4000).astype(np.uint64))
+    sets = [np.sort(rng.choice(pool, int(rng.integers(1, 600)), replace=False)) for _ in range(40)] + [pool, pool[:3000]]
+    bins = np.stack([np.bincount((x & np.uint64(near_pages.BINS - 1)).astype(np.int64), minlength=near_pages.BINS) for x in sets])
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        assert near_pages.bound(bins[i : i + 1], bins[j : j + 1])[0] >= shingles.jaccard(sets[i], sets[j]) - 1e-12
+
+
 def test_recall_at_the_threshold(spark):
     """Pairs of all similarities down to the threshold, against all pairs."""
     labels, texts, sets = variants(spark, 60, 5, 0.08)
