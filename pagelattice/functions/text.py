@@ -7,12 +7,37 @@ from functools import lru_cache
 
 # Common words that carry no topic.
 STOP_WORDS = frozenset(
-    "a about above after again all also am an and any are as at be because been before being below between both but by can"
-    " could did do does doing down during each few for from further had has have having he her here him his how i if in into"
-    " is it its just me more most my no nor not now of off on once only or other our out over own same she should so some such"
-    " than that the their them then there these they this those through to too under until up very was we were what when where"
-    " which while who whom why will with would you your".split()
+    # articles and conjunctions
+    "a an the and or but nor so yet for"
+    # prepositions
+    " in on at to of with by from as into through during before after above below between under over out up down about against"
+    " among around"
+    # pronouns
+    " i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its"
+    " itself they them their theirs themselves what which who whom this that these those"
+    # verbs
+    " is are was were be been being have has had having do does did doing will would could should may might must can shall"
+    # others
+    " all each every both few more most other some such no not only own same than too very just also now here there when where"
+    " why how any if then because while although though once until unless however therefore"
+    # numbers and fillers
+    " one two three first second new get make like even still well back way much many".split()
 )
+# The least reading ease of each level, easiest first.
+READING_LEVELS = (
+    (90, "very easy"),
+    (80, "easy"),
+    (70, "fairly easy"),
+    (60, "standard"),
+    (50, "fairly difficult"),
+    (30, "difficult"),
+    (0, "very difficult"),
+)
+
+
+def reading_level(ease: float) -> str:
+    """The level of a reading ease."""
+    return next(name for least, name in READING_LEVELS if ease >= least)
 
 
 @lru_cache(100_000)

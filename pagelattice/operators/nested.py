@@ -4,7 +4,7 @@ Every node of a document (object, array, plain value) gets a pre-order and a
 post-order number by one depth-first walk. A node lies inside another exactly
 if its pre-order number is larger and its post-order number smaller, so a
 descendant query is a range comparison within one row and needs no path
-matching. Documents are independent: the walk is a map over rows, without a
+matching; the parent of a node is found the same way. Documents are independent: the walk is a map over rows, without a
 shuffle; only the links between node tables are joins, on (table, row).
 """
 
@@ -51,43 +51,64 @@ def _kind(value: Any) -> str:
 
 
 def walk(doc: Any) -> Iterator[tuple]:
-    """(pre, post, depth, kind, path, parent element's path, is array element, key, value) of every node.
+    """(pre, post, depth, kind, path, is array element, key, value) of every node.
 
     An explicit stack: nesting depth is bounded by the text, not by Python's
     recursion limit. Nodes come out in post-order, which is when their second
     number is known.
     """
     pre = post = 0
-    # node: value, path, nearest enclosing element's path, is element, key, depth, pre, children
-    stack = [[doc, "", "", False, None, 0, 0, None]]
+    # node: value, path, is element, key, depth, pre, children
+    stack = [[doc, "", False, None, 0, 0, None]]
     while stack:
         node = stack[-1]
-        value, path, inside, is_element, key, depth = node[:6]
-        if node[7] is None:
-            node[6] = pre
+        value, path, is_element, key, depth = node[:5]
+        if node[6] is None:
+            node[5] = pre
             pre += 1
-            below = path if is_element else inside
             if isinstance(value, dict):
-                node[7] = iter(
-                    [[v, f"{path}.{k}" if path else k, below, False, k, depth + 1, 0, None] for k, v in value.items()]
-                )
+                node[6] = iter([[v, f"{path}.{k}" if path else k, False, k, depth + 1, 0, None] for k, v in value.items()])
             elif isinstance(value, list):
-                node[7] = iter(
-                    [[v, f"{path}[{i}]", below, True, None, depth + 1, 0, None] for i, v in enumerate(value)]
-                )
+                node[6] = iter([[v, f"{path}[{i}]", True, None, depth + 1, 0, None] for i, v in enumerate(value)])
             else:
-                node[7] = iter(())
-        child = next(node[7], None)
+                node[6] = iter(())
+        child = next(node[6], None)
         if child is not None:
             stack.append(child)
             continue
         stack.pop()
         kind = _kind(value)
         plain = None if kind != "value" else value if isinstance(value, str) else json.dumps(value)
-        yield node[6], post, depth, kind, path, inside, is_element, key, plain
+        yield node[5], post, depth, kind, path, is_element, key, plain
         post += 1
 
 
+def enclosing(nodes: list[tuple[int, int, bool]]) -> list[int]:
+    """For nodes (pre, post, is element) in pre-order: the place of the nearest element around each, -1 without one.
+
+    A structural join by interval labels alone: an element holds a node that
+    comes later in pre-order and earlier in post-order. The elements open at a
+    node lie on a stack; those whose post-order number is smaller have ended.
+    """
+    out = []
+    open_: list[int] = []
+    for i, (_pre, post, is_element) in enumerate(nodes):
+        while open_ and nodes[open_[-1]][1] < post:
+            open_.pop()
+        out.append(open_[-1] if open_ else -1)
+        if is_element:
+            open_.append(i)
+    return out
+
+
+def labelled(doc: Any) -> Iterator[tuple]:
+    """The nodes of a document in pre-order, in NODES' columns from `pre` on: parent paths come from the intervals."""
+    nodes = sorted(walk(doc), key=lambda n: n[0])
+    around = enclosing([(pre, post, is_element) for pre, post, _, _, _, is_element, _, _ in nodes])
+    for (pre, post, depth, kind, path, is_element, key, plain), i in zip(nodes, around):
+        yield pre, post, depth, kind, path, nodes[i][4] if i >= 0 else "", is_element, key, plain
+
+
 def label_nodes(df: DataFrame, row_id: str, field: str, source_table: str) -> DataFrame:
     """One row per node of the field's documents, with its interval labels.
 
@@ -119,7 +140,7 @@ def label_nodes(df: DataFrame, row_id: str, field: str, source_table: str) -> Da
                 doc = load(text)
                 if doc is None:
                     continue
-                for node in walk(doc):
+                for node in labelled(doc):
                     ids.append(rid)
                     for c, v in zip(cols, node):
                         c.append(v)

@@ -221,9 +221,24 @@ def score_trend(audits: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
+# A number before a unit, and what stands for both.
+UNITS = [
+    (r"[0-9]+ chars?", "X chars"),
+    (r"[0-9]+ words?", "X words"),
+    (r"[0-9]+ images?", "X images"),
+    (r"[0-9]+ links?", "X links"),
+    (r"[0-9]+px", "Xpx"),
+    (r"[0-9]+ms", "Xms"),
+    (r"[0-9]+KB", "XKB"),
+    (r"[0-9]+\.[0-9]+s", "X.Xs"),
+]
+
+
 def mask_numbers(message: Column) -> Column:
-    """Numbers before units, and any others, replaced by N."""
-    return F.regexp_replace(message, r"[0-9]+(?:[.,][0-9]+)?", "N")
+    """Numbers before units masked, so that messages that differ in them alone are one."""
+    for pattern, mask in UNITS:
+        message = F.regexp_replace(message, pattern, mask)
+    return message
 
 
 def grouped_messages(results: DataFrame) -> DataFrame:

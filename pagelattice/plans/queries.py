@@ -27,6 +27,15 @@ def p4_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return _nodes(spark, folder)
 
 
+def _p4_table(kind: str, *more: str):
+    """One of the flat tables by type of node; every node keeps its owner row and its intervals."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return nested.node_tables(_nodes(spark, folder))[kind].select("source_table", "row_id", "node_path", *more)
+
+    return query
+
+
 def p4_descendants(spark: SparkSession, folder: str) -> DataFrame:
     """Values below each array element, counted through interval containment."""
     nodes = _nodes(spark, folder)
@@ -132,6 +141,9 @@ QUERIES = {
             *(audit_page_scores, cross_page, extracted_links),
         )
     },
+    "p4_objects": _p4_table("objects"),
+    "p4_arrays": _p4_table("arrays"),
+    "p4_values": _p4_table("values", "value"),
     "stored_latest_crawls": _stored(_latest_crawls, "crawls"),
     "stored_page_counts": _stored(stored.page_counts, "pages"),
     "stored_one_per_url": _stored(lambda p: stored.one_per_url(p).select("id", "crawl_id", "url_hash"), "pages"),
@@ -190,7 +202,31 @@ _ISSUES = """made as (select audit_id, rule_id, category_id, case status when 'f
   cast(round((case status when 'fail' then 100 else 50 end) * log10(count(distinct page_url) + 1)) as int) as priority_score
   from audit_results where status in ('fail', 'warn') group by audit_id, rule_id, category_id, rule_name, message, status)"""
 
+# Fields as documents: a string that holds JSON is read once more, what cannot be read gives nothing.
+_DOCS = """raw as (select 'audit_results' as source_table, id as row_id, details_json as j from audit_results
+    union all select 'issues', id, affected_pages_json from issues),
+  valid as (select source_table, row_id, j from raw where json_valid(j)),
+  docs as (select source_table, row_id, j from valid where json_type(j) <> 'VARCHAR'
+    union all select source_table, row_id, j ->> '$' from valid where json_type(j) = 'VARCHAR' and json_valid(j ->> '$')),
+  nodes as (select source_table, row_id, t.id, t.parent, t.type, t.key, t.atom, replace(regexp_replace(t.fullkey, '^[$][.]?', ''), '"', '') as node_path,
+    replace(regexp_replace(t.path, '^[$][.]?', ''), '"', '') as holder from docs, json_tree(docs.j) t)"""
+_KINDS = "case type when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then 'null' else 'value' end"
+
 ORACLE_SQL: dict[str, str] = {
+    "p4_found": f"""with {_DOCS} select n.source_table, n.row_id, n.node_path, regexp_extract(n.holder, '^.*[]]') as parent_path
+        from nodes n join nodes a on a.source_table = n.source_table and a.row_id = n.row_id and a.id = n.parent
+        where a.type = 'ARRAY' and n.type <> 'NULL'""",
+    "p4_descendants": f"""with recursive {_DOCS}, up as (
+          select source_table, row_id, id as leaf, parent from nodes where type not in ('OBJECT', 'ARRAY', 'NULL')
+          union all select u.source_table, u.row_id, u.leaf, n.parent from up u join nodes n on n.source_table = u.source_table and n.row_id = u.row_id and n.id = u.parent)
+        select e.source_table, e.row_id, e.node_path, count(*) as values_below from up u
+        join nodes e on e.source_table = u.source_table and e.row_id = u.row_id and e.id = u.parent
+        join nodes a on a.source_table = e.source_table and a.row_id = e.row_id and a.id = e.parent and a.type = 'ARRAY'
+        group by all""",
+    "p4_objects": f"with {_DOCS} select source_table, row_id, node_path from nodes where type = 'OBJECT'",
+    "p4_arrays": f"with {_DOCS} select source_table, row_id, node_path from nodes where type = 'ARRAY'",
+    "p4_values": f"""with {_DOCS} select source_table, row_id, node_path, case when type = 'VARCHAR' then atom ->> '$' else cast(atom as varchar) end as value
+        from nodes where type not in ('OBJECT', 'ARRAY', 'NULL')""",
     "rules_native": _native_sql(),
     "stored_latest_crawls": """select project_id, id as crawl, crawl_id, status from (select *, row_number() over
         (partition by project_id order by started_at desc nulls last, id desc) as k from crawls) where k = 1""",
@@ -236,7 +272,10 @@ ORACLE_SQL: dict[str, str] = {
         left join cat o on o.audit_id = p.previous_id and o.category_id = c.category_id""",
     "stored_score_trend": f"""with {_RANKED} select domain, id as audit_id, overall_score,
         overall_score - lag(overall_score) over (partition by domain order by k desc) as delta from ranked where k <= 10""",
-    "stored_grouped_messages": """select audit_id, category_id, rule_id, status, regexp_replace(message, '[0-9]+(?:[.,][0-9]+)?', 'N', 'g') as masked,
+    "stored_grouped_messages": r"""select audit_id, category_id, rule_id, status, 
+        regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(message,
+          '\d+ chars?', 'X chars', 'g'), '\d+ words?', 'X words', 'g'), '\d+ images?', 'X images', 'g'), '\d+ links?', 'X links', 'g'),
+          '\d+px', 'Xpx', 'g'), '\d+ms', 'Xms', 'g'), '\d+KB', 'XKB', 'g'), '\d+\.\d+s', 'X.Xs', 'g') as masked,
         count(distinct page_url) as n_pages from audit_results where status <> 'pass' group by all""",
     "text_measures": r"""with d as (select doc_id, coalesce(text, '') as t from documents), c as (select *, len(regexp_extract_all(t, '[A-Z]')) as capitals,
         len(regexp_extract_all(t, '[ .,:;!|]')) as thin from d)

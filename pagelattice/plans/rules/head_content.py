@@ -7,6 +7,7 @@ from collections import Counter
 
 from pagelattice.functions.text import STOP_WORDS, flesch, pixel_width, syllables
 from pagelattice.plans.rules.registry import dom
+from pagelattice.sources.select import have, matches
 from pagelattice.sources.dom import Page, missing, split_url, tidy
 
 NOINDEX = re.compile(r"\bnoindex\b|\bnone\b")
@@ -275,50 +276,76 @@ def _(p):
     return "F" if not og else "P" if _same(p.resolve(og), p.canonical_url) else "F"
 
 
-# Addresses of share buttons and of social profiles, by platform.
-_SHARE = {
-    "facebook": r"facebook\.com/sharer?",
-    "x": r"twitter\.com/(?:intent/tweet|share)|x\.com/intent/tweet",
-    "linkedin": r"linkedin\.com/share",
-    "pinterest": r"pinterest\.com/pin/create",
-    "reddit": r"reddit\.com/submit",
-    "whatsapp": r"wa\.me/|whatsapp\.com/send",
-    "telegram": r"(?:t|telegram)\.me/share",
-    "email": r"mailto:\?.*subject=",
-}
-_PROFILE = {
-    "facebook": r"^https?://(?:www\.)?facebook\.com/(?!sharer|share)[\w.-]+/?$",
-    "x": r"^https?://(?:www\.)?(?:twitter|x)\.com/(?!intent|share)\w+/?$",
-    "instagram": r"^https?://(?:www\.)?instagram\.com/[\w.]+/?$",
-    "linkedin": r"^https?://(?:www\.)?linkedin\.com/(?:company|in)/[\w-]+/?$",
-    "youtube": r"^https?://(?:www\.)?youtube\.com/(?:@\w+|channel/[\w-]+|c/[\w-]+|user/[\w-]+)/?$",
-    "tiktok": r"^https?://(?:www\.)?tiktok\.com/@[\w.]+/?$",
-    "pinterest": r"^https?://(?:www\.)?pinterest\.com/\w+/?$",
-    "github": r"^https?://(?:www\.)?github\.com/[\w-]+/?$",
-    "threads": r"^https?://(?:www\.)?threads\.net/@[\w.]+/?$",
-    "bluesky": r"^https?://bsky\.app/profile/[\w.-]+/?$",
-    "mastodon": r"^https?://[\w.-]+/@\w+/?$",
-}
+# Addresses of share buttons, by platform, and their marks in the markup.
+SHARE = [
+    ("Facebook", r"facebook\.com/share"),
+    ("Facebook", r"facebook\.com/sharer"),
+    ("Twitter/X", r"twitter\.com/intent/tweet"),
+    ("Twitter/X", r"twitter\.com/share"),
+    ("Twitter/X", r"x\.com/intent/tweet"),
+    ("LinkedIn", r"linkedin\.com/share"),
+    ("LinkedIn", r"linkedin\.com/shareArticle"),
+    ("Pinterest", r"pinterest\.com/pin/create"),
+    ("Reddit", r"reddit\.com/submit"),
+    ("WhatsApp", r"wa\.me/"),
+    ("WhatsApp", r"whatsapp\.com/send"),
+    ("WhatsApp", r"api\.whatsapp\.com/send"),
+    ("Telegram", r"t\.me/share"),
+    ("Telegram", r"telegram\.me/share"),
+    ("Email", r"mailto:\?.*subject="),
+]
+SHARE_MARKS = [
+    '[class*="share"]', '[class*="social-share"]', '[class*="sharing"]', '[id*="share"]', ".addthis_toolbox", ".addtoany_share",
+    ".sharethis-inline", '[class*="sharethis"]', '[class*="addtoany"]', '[aria-label*="share"]', '[aria-label*="Share"]',
+    "[data-share]", "[data-social-share]",
+]
+SHARE_SCRIPTS = r"addthis|sharethis|addtoany|socialshare"
+# Addresses of social profiles, by platform, and where they stand.
+PROFILES = [
+    ("Facebook", r"^https?://(www\.)?facebook\.com/(?!sharer|share)[\w.-]+/?$"),
+    ("Twitter/X", r"^https?://(www\.)?(twitter|x)\.com/(?!intent|share)[\w]+/?$"),
+    ("Instagram", r"^https?://(www\.)?instagram\.com/[\w.]+/?$"),
+    ("LinkedIn", r"^https?://(www\.)?linkedin\.com/(company|in)/[\w-]+/?$"),
+    ("YouTube", r"^https?://(www\.)?youtube\.com/(@[\w]+|channel/[\w-]+|c/[\w-]+|user/[\w-]+)/?$"),
+    ("TikTok", r"^https?://(www\.)?tiktok\.com/@[\w.]+/?$"),
+    ("Pinterest", r"^https?://(www\.)?pinterest\.com/[\w]+/?$"),
+    ("GitHub", r"^https?://(www\.)?github\.com/[\w-]+/?$"),
+    ("Threads", r"^https?://(www\.)?threads\.net/@[\w.]+/?$"),
+    ("Bluesky", r"^https?://bsky\.app/profile/[\w.-]+/?$"),
+    ("Mastodon", r"^https?://[\w.-]+/@[\w]+/?$"),
+]
+PROFILE_PLACES = ["header", "footer", "nav", '[class*="social"]', '[class*="follow"]', '[id*="social"]', '[aria-label*="social"]']
+
+_SHARE = [(k, re.compile(v, re.I | re.A)) for k, v in SHARE]
+_SHARE_SCRIPTS = re.compile(SHARE_SCRIPTS, re.I)
+_PROFILES = [(k, re.compile(v, re.I | re.A)) for k, v in PROFILES]
 
 
 @dom("social-share-buttons")
 def _(p):
-    hrefs = [e.get("href") or "" for e in p.q("a")]
-    if sum(any(re.search(x, h, re.I) for h in hrefs) for x in _SHARE.values()) >= 2:
+    if len({k for _, href, _, _ in p.anchors for k, r in _SHARE if r.search(href)}) >= 2 or have(p, SHARE_MARKS):
         return "P"
-    marks = re.compile(r"share|sharing|addthis|addtoany", re.I)
-    return "P" if any(marks.search(e.classes) or marks.search(e.get("id") or "") or e.get("data-share") for e in p.all) else "W"
+    return "P" if any(_SHARE_SCRIPTS.search(e.get("src") or "") for e in p.q("script")) else "W"
+
+
+def _profile(address: str) -> str | None:
+    """The platform of a profile's address; the first that fits."""
+    return next((k for k, r in _PROFILES if r.search(address)), None)
 
 
 @dom("social-profiles")
 def _(p):
-    same = []
-    for _, x in p.items:
-        s = x.get("sameAs")
-        same += [v for v in (s if isinstance(s, list) else [s]) if isinstance(v, str)]
-    hrefs = same + [(e.get("href") or "").strip() for e in p.q("a")]
-    found = sum(any(re.search(x, h, re.I) for h in hrefs) for x in _PROFILE.values())
-    return "P" if found >= 3 else "W"
+    found = set()
+    for d in p.ld:
+        for x in d if isinstance(d, list) else [d]:
+            same = x.get("sameAs") if isinstance(x, dict) else None
+            found |= {_profile(v) for v in (same if isinstance(same, list) else [same]) if isinstance(v, str)}
+    platforms = [(e, k) for e, href, _, _ in p.anchors if (k := _profile(href))]
+    if platforms:
+        found |= {k for e, k in platforms if any(matches(n, s) for n in e.up() for s in PROFILE_PLACES)}
+        found.discard(None)
+        found = found or {k for _, k in platforms}
+    return "P" if len(found - {None}) >= 3 else "W"
 
 
 # htmlval

@@ -26,13 +26,16 @@ dom("links-internal-present")(
 # Where users' own links are expected; words of paid links; link texts that say nothing.
 _UGC = "/comment /comments /forum /forums /discussion /user /users /profile /profiles /review /reviews".split()
 _PAID = re.compile(r"sponsor|advertis|partner|paid", re.I)
-_VAGUE = re.compile(
-    r"(?:click here|click|here|read more|more|learn more|info|link|this|page|website|site|go|continue|details)(?:\.\.\.)?"
-)
-_GENERIC = re.compile(
-    r"(?:click\s*here|here|(?:read|learn|see|view)\s*more|more|details|link|this(?:\s*link)?|go|continue|info(?:rmation)?|download|pdf)",
-    re.I,
-)
+VAGUE = [
+    "click here", "click", "here", "read more", "more", "learn more", "info", "link", "this", "page", "website", "site", "go",
+    "continue", "details",
+]
+GENERIC = [
+    "click here", "here", "read more", "more", "learn more", "see more", "view more", "details", "link", "this", "this link", "go",
+    "continue", "info", "information", "download", "pdf",
+]
+_VAGUE = {x + dots for x in VAGUE for dots in ("", "...")}
+_GENERIC = re.compile("|".join(x.replace(" ", r"\s*") for x in GENERIC), re.I)
 
 
 @dom("links-nofollow-appropriate")
@@ -46,7 +49,7 @@ def _(p):
 
 
 dom("links-anchor-text")(
-    lambda p: "W" if any(len(t := l["text"].strip().lower()) < 2 or _VAGUE.fullmatch(t) for l in p.links) else "P"
+    lambda p: "W" if any(len(t := l["text"].strip().lower()) < 2 or t in _VAGUE for l in p.links) else "P"
 )
 dom("links-dead-end-pages")(
     lambda p: "P" if any(l["internal"] and _place(l["href"]) != _place(p.url) for l in p.links) else "W"

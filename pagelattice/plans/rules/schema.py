@@ -1,4 +1,4 @@
-"""DOM rules: structured data and E-E-A-T."""
+"""DOM rules on structured data."""
 
 from __future__ import annotations
 
@@ -9,28 +9,25 @@ from pagelattice.sources.dom import Page, missing, split_url
 
 # Required | recommended fields by type.
 FIELDS = {
-    line.split(":")[0]: tuple(part.split() for part in line.split(":")[1].split("|"))
-    for line in """
-Article: headline author datePublished | image publisher dateModified description
-NewsArticle: headline author datePublished | image publisher dateModified description
-BlogPosting: headline author datePublished | image publisher dateModified description
-Product: name | image description offers aggregateRating brand
-Organization: name | url logo contactPoint sameAs address
-LocalBusiness: name address | telephone openingHours priceRange image geo
-Person: name | image jobTitle sameAs url
-WebSite: name url | potentialAction publisher
-WebPage: name | description breadcrumb mainEntity
-BreadcrumbList: itemListElement |
-FAQPage: mainEntity |
-HowTo: name step | image totalTime estimatedCost supply tool
-Recipe: name recipeIngredient recipeInstructions | image author prepTime cookTime nutrition
-Event: name startDate location | endDate image description offers performer
-Review: itemReviewed reviewRating author | reviewBody datePublished
-VideoObject: name thumbnailUrl uploadDate | description contentUrl duration embedUrl
-Course: name provider | description offers
-JobPosting: title description datePosted hiringOrganization | validThrough employmentType jobLocation baseSalary
-SoftwareApplication: name | offers aggregateRating operatingSystem applicationCategory
-""".strip().splitlines()
+    "Article": ("headline author datePublished", "image publisher dateModified description"),
+    "NewsArticle": ("headline author datePublished", "image publisher dateModified description"),
+    "BlogPosting": ("headline author datePublished", "image publisher dateModified description"),
+    "Product": ("name", "image description offers aggregateRating brand"),
+    "Organization": ("name", "url logo contactPoint sameAs address"),
+    "LocalBusiness": ("name address", "telephone openingHours priceRange image geo"),
+    "Person": ("name", "image jobTitle sameAs url"),
+    "WebSite": ("name url", "potentialAction publisher"),
+    "WebPage": ("name", "description breadcrumb mainEntity"),
+    "BreadcrumbList": ("itemListElement", ""),
+    "FAQPage": ("mainEntity", ""),
+    "HowTo": ("name step", "image totalTime estimatedCost supply tool"),
+    "Recipe": ("name recipeIngredient recipeInstructions", "image author prepTime cookTime nutrition"),
+    "Event": ("name startDate location", "endDate image description offers performer"),
+    "Review": ("itemReviewed reviewRating author", "reviewBody datePublished"),
+    "VideoObject": ("name thumbnailUrl uploadDate", "description contentUrl duration embedUrl"),
+    "Course": ("name provider", "description offers"),
+    "JobPosting": ("title description datePosted hiringOrganization", "validThrough employmentType jobLocation baseSalary"),
+    "SoftwareApplication": ("name", "offers aggregateRating operatingSystem applicationCategory"),
 }
 _ARTICLES = {"Article", "NewsArticle", "BlogPosting", "TechArticle", "ScholarlyArticle"}
 _LOCALS = set(
@@ -213,192 +210,3 @@ def _(p):
         if missing(x, ("name", "url")) or action is None or missing(action, ["target"]) or missing(action, ["query-input"]):
             return "W"
     return "P"
-
-
-# E-E-A-T: wording and addresses of the pages a trustworthy site has (fixed values).
-def _any(*patterns: str) -> re.Pattern:
-    return re.compile("|".join(patterns), re.I)
-
-
-_ABOUT = _any(r"^about(?:\s*us)?$", r"^about\s+the\s+(?:company|team|author)", r"^who\s+we\s+are$", r"^our\s+(?:story|mission|team|company)$", r"^meet\s+the\s+team$", r"^über\s*uns$", r"^qui\s+sommes[-\s]nous$", r"^sobre\s+nosotros$", r"^chi\s+siamo$")
-_ABOUT_PATH = _any(r"/about(?:[-_]?us)?/?$", r"/company/?$", r"/who[-_]?we[-_]?are/?$", r"/our[-_]?(?:story|team|mission)/?$", r"/meet[-_]?the[-_]?team/?$")
-_CONTACT = _any(r"^contact(?:\s*us)?$", r"^get\s+in\s+touch$", r"^reach\s+(?:out|us)$", r"^support$", r"^help$", r"^kontakt$", r"^contactez[-\s]nous$", r"^contacto$", r"^contatti$")
-_CONTACT_PATH = _any(r"/contact(?:[-_]?us)?/?$", r"/get[-_]?in[-_]?touch/?$", r"/reach[-_]?us/?$", r"/support/?$", r"/help/?$")
-_PRIVACY = _any(r"privacy\s*(?:policy|notice|statement)", r"data\s*protection", r"datenschutz", r"politique\s*de\s*confidentialit", r"politica\s*de\s*privacidad", r"informativa\s*privacy")
-_PRIVACY_PATH = _any(r"privacy", r"/data[-_]?protection", r"/datenschutz")
-_TERMS = _any(r"terms\s*(?:of\s*)?(?:service|use)", r"terms\s*(?:&|and)\s*conditions", r"(?:user|service)\s*agreement", r"legal\s*terms", r"nutzungsbedingungen", r"conditions\s*d'utilisation", r"t[eé]rminos\s*(?:y\s*condiciones|de\s*servicio)", r"termini\s*(?:di\s*servizio|e\s*condizioni)")
-_TERMS_PATH = _any(r"/terms", r"/tos\b", r"/(?:user|service)[-_]?agreement")
-_EDITORIAL = _any(r"^(?:editorial|content)\s*(?:policy|guidelines|standards)$", r"^fact[-\s]?check(?:ing)?\s*(?:policy|process)?$", r"^how\s+we\s+(?:write|review|research)", r"^our\s+(?:editorial|content)\s+(?:process|standards)", r"^review\s+(?:process|guidelines)$", r"^ethics\s*(?:policy)?$", r"^corrections?\s*(?:policy)?$")
-_EDITORIAL_PATH = _any(r"/(?:editorial|content)[-_]?(?:policy|guidelines|standards)", r"/fact[-_]?check", r"/how[-_]?we[-_]?(?:write|review|work)", r"/review[-_]?(?:process|guidelines)", r"/ethics", r"/corrections", r"/about/editorial")
-_EDITORIAL_SIGNALS = [
-    _any(r"fact[-\s]?check(?:ed|ing)?", r"verified\s+by", r"(?:medically\s+|expert\s+)?reviewed\s+by"),
-    _any(r"corrections?\s*:", r"update\s*:", r"editor'?s?\s+note", r"this\s+(?:article|post)\s+(?:has\s+been\s+)?(?:updated|corrected)"),
-    _any(r"our\s+editorial\s+(?:team|staff|board)", r"editorial\s+review\s+process", r"independently\s+researched", r"our\s+research\s+(?:process|methodology)"),
-]
-
-
-def _linked(p: Page, text: re.Pattern, path: re.Pattern) -> bool:
-    for l in p.links:
-        if text.search(l["text"]) or path.search(split_url(l["href"])[2]):
-            return True
-    return False
-
-
-dom("eeat-about-page", 8)(lambda p: "P" if _linked(p, _ABOUT, _ABOUT_PATH) else "W")
-
-
-@dom("eeat-contact-page", 8)
-def _(p):
-    if _linked(p, _CONTACT, _CONTACT_PATH):
-        return "P"
-    text = p.body_text
-    n = (
-        bool(re.search(r"[\w.%+-]+@[\w.-]+\.[a-zA-Z]{2,}", text)) or any(k == "mailto" for k, _, _ in p.special_links),
-        bool(re.search(r"(?:\+?1?[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}", text)) or any(k == "tel" for k, _, _ in p.special_links),
-        any("contact" in ((f.get("action") or "") + (f.get("id") or "") + f.classes) or any(k.tag == "textarea" for k in f.below()) for f in p.q("form")),
-        any("PostalAddress" in (e.get("itemtype") or "") or e.get("itemprop") == "address" for e in p.all),
-        any(re.search(r"chat|intercom|zendesk|crisp|drift", e.classes + (e.get("id") or ""), re.I) for e in p.all),
-    )
-    return "P" if sum(n) >= 2 else ("W", 70) if sum(n) == 1 else "W"
-
-
-def _privacy(p: Page) -> str:
-    return "P" if _linked(p, _PRIVACY, _PRIVACY_PATH) else "W"
-
-
-def _terms(p: Page) -> str:
-    if _linked(p, _TERMS, _TERMS_PATH):
-        return "P"
-    sells = _any(r"add\s+to\s+cart", r"checkout", r"sign\s*up", r"subscribe", r"pricing", r"create\s+(?:an\s+)?account", r"post\s+a\s+comment")
-    return "W" if sells.search(p.body_text) else "P"
-
-
-dom("eeat-privacy-policy", 8)(_privacy)
-dom("eeat-terms-of-service", 6)(_terms)
-dom("legal-privacy-policy", 20, registered=False)(_privacy)
-dom("legal-terms-of-service", 15, registered=False)(_terms)
-
-_CREDENTIALS = [
-    re.compile(r"\b(?:M\.?D\.?|Ph\.?D\.?|R\.?N\.?)\b"),
-    _any(r"\b(?:board[-\s]?certified|licensed\s+\w+|registered\s+\w+|certified\s+\w+|accredited\s+\w+)"),
-    _any(r"\b(?:attorney|lawyer|esq\.)"),
-    _any(r"\b\d+\+?\s*years?\s*(?:of\s+)?experience\b"),
-    _any(r"\b(?:professor|doctorate|mba)\b"),
-]
-
-
-@dom("eeat-author-expertise", 8)
-def _(p):
-    box = " ".join(e.text for e in p.all if re.search(r"author|bio|byline", e.classes, re.I))
-    expert = any(c.search(box) for c in _CREDENTIALS)
-    schema = any(isinstance(x.get("author"), dict) and not missing(x["author"], ["jobTitle"]) for _, x in p.items)
-    social = any(re.search(r"linkedin\.com/in/|scholar\.google\.|orcid\.org/|github\.com/", l["href"]) for l in p.links)
-    n = expert + schema + social + bool(box)
-    if n >= 3 or (expert and n >= 2):
-        return "P"
-    return ("P", 80) if n else "W"
-
-
-_AUTHORITY = _any(
-    r"\.(?:gov|mil|edu|org)$", r"\.(?:gov|edu|ac)\.[a-z]{2}$", r"who\.int$", r"webmd\.com$", r"healthline\.com$", r"pubmed",
-    r"scholar\.google", r"jstor\.org", r"sciencedirect\.com", r"nature\.com", r"springer\.com", r"wiley\.com",
-    r"researchgate\.net", r"arxiv\.org", r"doi\.org", r"reuters\.com$", r"apnews\.com$", r"bbc\.(?:com|co\.uk)$",
-    r"(?:nytimes|washingtonpost|theguardian|wsj|economist)\.com$",
-)
-
-
-@dom("eeat-citations", 6)
-def _(p):
-    hosts = [split_url(l["href"])[1] for l in p.links if not l["internal"]]
-    n = sum(bool(_AUTHORITY.search(h)) for h in hosts)
-    return "P" if n >= 3 else ("P", 80) if n else ("W", 60) if hosts else "P"
-
-
-@dom("eeat-editorial-policy", 4)
-def _(p):
-    if _linked(p, _EDITORIAL, _EDITORIAL_PATH):
-        return "P"
-    n = sum(bool(s.search(p.body_text)) for s in _EDITORIAL_SIGNALS)
-    if n:
-        return "P", 80 if n >= 2 else 90
-    article = p.have("article") or any(t in _ARTICLES for t, _ in p.items)
-    return "W" if article and len(p.words) > 300 else "P"
-
-
-_AFFILIATE = _any(r"[?&](?:ref|affiliate|aff|partner|tracking|tag|aid|pid|clickid)=", r"utm_source=(?:affiliate|partner)", r"shareasale\.com", r"commission[-_]?junction|\bcj\.com", r"rakuten", r"awin\d*\.com", r"impact\.com", r"partnerize\.com", r"flexoffers\.com", r"clickbank\.", r"avantlink\.com", r"pepperjam\.com", r"linksynergy", r"viglink|sovrn", r"skimlinks")
-_DISCLOSED = _any(r"affiliate\s*(?:link|disclosure|commission)", r"we\s*(?:may\s+)?(?:earn|receive)\s*(?:a\s+)?commission", r"paid\s*(?:partnership|promotion|sponsorship)", r"sponsored\s*(?:content|post|by)", r"commission\s+at\s+no\s+(?:extra|additional)\s+cost", r"advertising\s*disclosure", r"material\s+connection")
-
-
-@dom("eeat-affiliate-disclosure", 5)
-def _(p):
-    paid = any(
-        not l["internal"] and (_AFFILIATE.search(l["href"]) or "sponsored" in (l["el"].get("rel") or "")) for l in p.links
-    )
-    if not paid:
-        return "P"
-    if not _DISCLOSED.search(p.body_text):
-        return "W", 40
-    return "P" if re.search(r"ftc|federal\s*trade\s*commission", p.body_text, re.I) else ("P", 90)
-
-
-_TRUST = [
-    _any(r"ssl\s*(?:secured?|certificate)", r"secure\s*(?:checkout|payment|site)", r"pci\s*(?:dss|compliant)", r"norton\s*secured?", r"verisign|digicert"),
-    _any(r"better\s*business\s*bureau|\bbbb\b", r"chamber\s*of\s*commerce", r"accredited\s*business", r"certified\s*(?:by|partner)", r"iso\s*\d{4,5}", r"soc\s*2"),
-    _any(r"trustpilot", r"google\s*reviews?", r"\d+(?:\.\d)?\s*(?:out\s*of\s*5|stars?)", r"\d+\+?\s*reviews?", r"testimonials?"),
-    _any(r"as\s*(?:seen|featured)\s*(?:in|on)", r"featured\s*(?:in|on|by)", r"press\s*(?:coverage|mentions)", r"trusted\s*by", r"\d+\+?\s*customers?"),
-    _any(r"money[-\s]?back\s*guarantee", r"\d+[-\s]?day\s*(?:refund|return|guarantee)", r"free\s*(?:returns?|shipping)", r"satisfaction\s*guarantee"),
-    _any(r"member\s*of", r"affiliated\s*with", r"board[-\s]?certified", r"award[-\s]?winning", r"best\s*of\s*\d{4}"),
-]
-dom("eeat-trust-signals", 6)(
-    lambda p: "P" if (n := sum(bool(t.search(p.body_text)) for t in _TRUST)) >= 3 or n == 0 else ("P", 90 if n == 2 else 80)
-)
-
-# Words of topics that can do harm, with the number of matches from which a page is about one.
-YMYL = {
-    "health": (5, _any(r"\b(?:symptom|diagnos|treatment|medication|dosage|prescription|disease|illness|surgery|medical|health|doctor|physician|nurse|hospital|clinic|patient|therapy|vaccine|infection|cancer|diabetes|depression|anxiety|pregnancy|nutrition|diet|vitamin)")),
-    "financial": (4, _any(r"\b(?:invest|stock|bond|retirement|pension|mortgage|loan|debt|credit|interest\s*rate|portfolio|dividend|tax|accountant|insurance|bankruptcy|bank|savings|cryptocurrency|bitcoin|forex|broker)")),
-    "legal": (4, _any(r"\b(?:attorney|lawyer|lawsuit|litigation|court|judge|jury|verdict|settlement|liability|negligence|divorce|custody|probate|felony|bail|parole|immigration|asylum)")),
-    "safety": (3, _any(r"\b(?:emergency|evacuation|disaster|earthquake|hurricane|flood|first\s*aid|poison|toxic|hazard|fraud|scam|phishing|cybersecurity)")),
-    "news": (3, _any(r"\b(?:breaking\s*news|election|government|legislation|congress|senate|president|prime\s*minister|pandemic|outbreak)")),
-}
-_DISCLAIM = {
-    "health": _any(r"not\s+(?:a\s+)?substitute\s+for", r"consult\s+(?:your\s+)?(?:doctor|physician|healthcare)", r"not\s+.{0,20}medical\s+advice", r"for\s+informational\s+purposes\s+only"),
-    "financial": _any(r"not\s+(?:a\s+)?financial\s+advi", r"consult\s+(?:a\s+)?(?:financial\s+advisor|accountant)", r"past\s+performance", r"not\s+investment\s+advice", r"for\s+(?:educational|informational)\s+purposes"),
-    "legal": _any(r"not\s+(?:a\s+)?legal\s+advice", r"consult\s+(?:an?\s+)?(?:attorney|lawyer)", r"for\s+informational\s+purposes\s+only"),
-}
-
-
-def ymyl(p: Page) -> list[str]:
-    text = f"{p.title} {p.description or ''} {p.main_text or p.body_text}"
-    return [k for k, (least, pattern) in YMYL.items() if len(pattern.findall(text)) >= least]
-
-
-dom("eeat-ymyl-detection", 5)(lambda p: "P")
-
-
-@dom("eeat-disclaimers", 4)
-def _(p):
-    needed = [k for k in ymyl(p) if k in _DISCLAIM]
-    if not needed:
-        return "P"
-    n = sum(bool(_DISCLAIM[k].search(p.body_text)) for k in needed)
-    return "P" if n == len(needed) else ("P", 80) if n or "disclaimer" in p.body_text.lower() else "W"
-
-
-_STREET = re.compile(
-    r"\d+\s+[\w\s]{3,30}(?:street|st|avenue|ave|road|rd|drive|dr|lane|ln|boulevard|blvd|way|plaza|square|park)[\s,]+\w|p\.?o\.?\s*box\s*\d+", re.I
-)
-
-
-@dom("eeat-physical-address", 6)
-def _(p):
-    if any(t == "PostalAddress" or not missing(x, ["address"]) for t, x in p.items) or p.have("address"):
-        return "P"
-    for e in p.all:
-        if "PostalAddress" in (e.get("itemtype") or "") or e.get("itemprop") == "address":
-            return "P"
-    if any(re.search(r"google\.[a-z.]+/maps|maps\.google", e.get("src") or e.get("href") or "") for e in p.q("iframe", "a")):
-        return "P"
-    if _STREET.search(" ".join(e.text for e in p.q("footer")) or p.body_text):
-        return "P"
-    return "W" if re.search(r"add\s+to\s+cart|our\s+(?:store|office|location)|visit\s+us", p.body_text, re.I) else "P"

@@ -128,6 +128,7 @@ class Page:
         self.pieces: list[str] = []
         self.all: list[El] = []
         self.tags: dict[str, list[El]] = {}
+        self._values: dict[str, set[str]] | None = None
         self._build()
 
     def _add(self, tag: str, attrs: dict, parent: El | None, in_head: bool) -> El:
@@ -282,6 +283,33 @@ class Page:
     def body_text(self) -> str:
         return tidy(self.body.raw)
 
+    @cached_property
+    def low_text(self) -> str:
+        return self.body_text.lower()
+
+    @cached_property
+    def anchors(self) -> list[tuple[El, str, str, str]]:
+        """(element, href as written, href in lower case, text) of every anchor with an href."""
+        return [(e, h, h.lower(), e.text) for e in self.q("a") if (h := e.get("href")) is not None]
+
+    @cached_property
+    def class_names(self) -> set[str]:
+        return {name for v in self.values("class") for name in v.split()}
+
+    def values(self, attr: str) -> set[str]:
+        """The values of an attribute anywhere on the page."""
+        if self._values is None:
+            self._values = {}
+            for e in self.all:
+                for k, v in e.attrs.items():
+                    self._values.setdefault(k, set()).add(v)
+        return self._values.get(attr, set())
+
+    @cached_property
+    def ld_texts(self) -> list[str]:
+        """The JSON-LD scripts as written."""
+        return [e.raw for e in self.q("script") if e.get("type") == "application/ld+json"]
+
     @cached_property
     def main_text(self) -> str:
         """Body text without scripts, navigation, header, footer, asides and hidden parts."""

@@ -15,10 +15,10 @@ from pagelattice.session import durable
 
 # Query parameters dropped by default, by prefix; file types that are no pages.
 DROP_PREFIXES = ("utm_", "gclid", "fbclid", "mc_", "_ga")
-NO_PAGE = re.compile(
-    r"\.(?:jpe?g|png|gif|svg|webp|ico|css|js|json|xml|pdf|zip|gz|tar|rar|mp[34]|avi|mov|wmv|docx?|xlsx?|pptx?|woff2?|ttf|eot)$",
-    re.I,
-)
+NO_PAGE = (
+    ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".rar", ".tar", ".gz", ".jpg", ".jpeg", ".png", ".gif",
+    ".svg", ".webp", ".ico", ".mp3", ".mp4", ".avi", ".mov", ".wmv", ".css", ".js", ".json", ".xml",
+)
 
 
 def glob_pattern(glob: str) -> str:
@@ -80,7 +80,7 @@ def crawl(links: DataFrame, start: list[str], max_pages: int = 100, rule: UrlFil
     spark = links.sparkSession
 
     def good(url: str) -> bool:
-        return rule.should_crawl(url) and not NO_PAGE.search(urlsplit(url).path)
+        return rule.should_crawl(url) and not urlsplit(url).path.lower().endswith(NO_PAGE)
 
     def edges_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

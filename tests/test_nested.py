@@ -28,7 +28,7 @@ def brute(x, path="", inside="", element=False):
 @settings(max_examples=150, deadline=None)
 @given(DOC)
 def test_walk_against_recursion(doc):
-    nodes = list(nested.walk(doc))
+    nodes = list(nested.labelled(doc))
     assert sorted((n[4], n[5]) for n in nodes if n[6] and n[3] != "null") == sorted(brute(doc))
     assert sorted(n[0] for n in nodes) == sorted(n[1] for n in nodes) == list(range(len(nodes)))
     for a in nodes:  # interval containment is descent
@@ -61,3 +61,11 @@ def test_load_and_shapes(spark):
     below = nested.inside(nodes.where("row_id = 6 and node_path = '[0]'"), nodes.where("kind = 'value'"))
     assert below.count() == 2
     assert nested.elements(nested.label_nodes(df.limit(0), "id", "details", "t")).count() == 0
+
+
+def test_parents_come_from_the_intervals(monkeypatch):
+    doc = {"a": [{"b": [1, [2]]}]}
+    right = [(n[4], n[5]) for n in nested.labelled(doc)]
+    assert ("a[0].b[1][0]", "a[0].b[1]") in right and ("a[0].b[1]", "a[0]") in right
+    monkeypatch.setattr(nested, "enclosing", lambda nodes: [-1] * len(nodes))
+    assert [(n[4], n[5]) for n in nested.labelled(doc)] != right
