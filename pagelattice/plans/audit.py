@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelattice.plans.messages import with_messages
 from pagelattice.plans.rules import CATEGORIES, NAMES, SCORES, Rule, head_content, native, selected, site
 from pagelattice.session import durable
 from pagelattice.sources.dom import Page, split_url, tidy
@@ -276,6 +277,39 @@ class Auditor:
         )
 
 
+#: Rules over one measured value: the page column that holds it, given as their detail.
+MEASURED = {
+    "cwv-lcp": "lcp", "cwv-cls": "cls", "cwv-inp": "inp", "cwv-fcp": "fcp", "cwv-ttfb": "ttfb", "technical-timeout": "ms", "perf-response-time": "ms",
+    "technical-server-error": "status", "technical-4xx-non-404": "status", "redirect-type": "status",
+}
+
+
+def as_stored(frames: AuditFrames, pages: DataFrame) -> DataFrame:
+    """The results in the columns of the stored table: names, messages, page urls, statuses in words, and details.
+
+    details_json holds the measured value where a rule looks at one, and the
+    page facts behind rules on titles, descriptions and texts; else it is null.
+    """
+    measured = pages.select("audit_id", "page_id", "url", F.to_json(F.struct(*sorted(set(MEASURED.values())))).alias("measures"))
+    facts = frames.parsed.select(
+        "audit_id", "page_id",
+        F.to_json(F.struct("facts.description_chars", "facts.text_chars", "facts.canonical", F.size("facts.links").alias("links"))).alias("facts"),
+    )
+    column = F.element_at(F.create_map(*(F.lit(x) for kv in MEASURED.items() for x in kv)), F.col("rule_id"))
+    about = F.col("category_id").isin("core", "content", "links")
+    value = F.call_function("get_json_object", F.col("measures"), F.concat(F.lit("$."), column))
+    details = F.when(value.isNotNull(), F.to_json(F.struct(value.alias("value")))).when(about, F.col("facts"))
+    return (
+        with_messages(frames.results)
+        .join(measured, ["audit_id", "page_id"])
+        .join(facts, ["audit_id", "page_id"])
+        .select(
+            "audit_id", "category_id", "rule_id", "rule_name", F.col("url").alias("page_url"),
+            status_name(F.col("status")).alias("status"), "score", "message", details.alias("details_json"),
+        )
+    )
+
+
 def status_name(status: Column) -> Column:
     """pass, warn or fail."""
     return F.element_at(F.create_map(*(F.lit(x) for kv in NAMES.items() for x in kv)), status)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.operators import nested, stored
-from pagelattice.plans import audit
-from pagelattice.plans.rules import CATEGORIES, native, selected
+from pagelattice.operators import catalog, nested, stored
+from pagelattice.plans import audit, twins
+from pagelattice.plans.rules import CATEGORIES, native, selected, site
+from pagelattice.session import durable
+from pagelattice.sources import probes
 from pagelattice.sources.tables import table
 
 FLAGSHIP = "stored_overall_scores"
@@ -55,8 +57,19 @@ def rules_native(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("page_id", "rule_id", "status", "score")
 
 
+def rules_dom(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's status by those rules of the page pass that SQL can decide from the html."""
+    rules = [r for r in selected() if r.id in twins.RULES]
+    parsed = audit.page_pass(audit.prepare(table(spark, folder, "pages")), rules, near=False)
+    return audit.dom_results(parsed, rules).select("page_id", "rule_id", "status")
+
+
 def _audit(spark: SparkSession, folder: str, *categories: str) -> audit.AuditFrames:
-    return audit.Auditor(spark, categories=categories).audit(audit.prepare(table(spark, folder, "pages")))
+    """The audit of all pages with every table that the stored crawls can fill."""
+    pages, links = table(spark, folder, "pages"), table(spark, folder, "links")
+    return audit.Auditor(spark, categories=categories).audit(
+        audit.prepare(pages), durable(probes.site_table(pages)), durable(probes.probe_table(pages, links)), durable(probes.redirect_table(pages))
+    )
 
 
 def rules_all(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,6 +77,46 @@ def rules_all(spark: SparkSession, folder: str) -> DataFrame:
     return _audit(spark, folder).results.groupBy("audit_id", "category_id", "rule_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def probe_statuses(spark: SparkSession, folder: str) -> DataFrame:
+    """The best known status of every address."""
+    return probes.probe_table(table(spark, folder, "pages"), table(spark, folder, "links")).select("url", "status_code")
+
+
+def site_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """What the stored pages tell of each origin."""
+    return probes.site_table(table(spark, folder, "pages")).select("origin", "robots_status", "sitemap_status", "www_status", "bare_status", "http_status")
+
+
+def link_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Broken internal and external links, broken images and redirect chains of every page."""
+    pages = table(spark, folder, "pages")
+    parsed = durable(audit.page_pass(audit.prepare(pages), [], near=False))
+    found = site.link_rules(parsed, probes.probe_table(pages, table(spark, folder, "links")), probes.redirect_table(pages))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionAll(part)
+    return out.select("page_id", "rule_id", "status")
+
+
+def first_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles, descriptions and texts that an earlier page of the crawl has."""
+    parsed = durable(audit.page_pass(audit.prepare(table(spark, folder, "pages")), [], near=False))
+    out = site.first_seen(parsed)
+    return out[0].unionAll(out[1]).unionAll(out[2]).select("page_id", "rule_id", "status")
+
+
+def near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages nearly the same as an earlier page of the crawl."""
+    parsed = durable(audit.page_pass(audit.prepare(table(spark, folder, "pages")), []))
+    return site.near_duplicates(parsed).select("page_id", "rule_id", "status")
+
+
+def audit_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """Issues of the audit of all pages, made from its results as those of a stored audit are."""
+    pages = audit.prepare(table(spark, folder, "pages"))
+    return stored.make_issues(audit.as_stored(_audit(spark, folder), pages))
+
+
 def audit_categories(spark: SparkSession, folder: str) -> DataFrame:
     return _audit(spark, folder).categories
 
@@ -78,9 +131,6 @@ def audit_page_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def cross_page(spark: SparkSession, folder: str) -> DataFrame:
     """Duplicate titles, descriptions, texts and near copies."""
-    from pagelattice.plans.rules import site
-    from pagelattice.session import durable
-
     parsed = durable(audit.page_pass(audit.prepare(table(spark, folder, "pages")), []))
     out = site.near_duplicates(parsed)
     for part in site.first_seen(parsed):
@@ -125,6 +175,13 @@ def _issue_counts(issues: DataFrame) -> DataFrame:
     )
 
 
+def _link_cache(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """The cache that the stored crawls fill, at the end of their last day."""
+    cache = durable(catalog.cached(probes.probe_table(pages, links.where("false")), probes.probe_table(pages, links)))
+    now = cache.agg(F.max("checked_at")).first()[0]
+    return catalog.cache_stats(cache, F.lit(now).cast("timestamp"))
+
+
 def _audit_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("audit_id").agg(
         F.count(F.lit(1)).alias("total"),
@@ -137,8 +194,8 @@ QUERIES = {
     **{
         q.__name__: q
         for q in (
-            *(p4_found, p4_nodes, p4_descendants, rules_native, rules_all, audit_categories, audit_overall),
-            *(audit_page_scores, cross_page, extracted_links),
+            *(p4_found, p4_nodes, p4_descendants, rules_native, rules_dom, rules_all, audit_categories, audit_overall),
+            *(audit_page_scores, audit_issues, cross_page, extracted_links, probe_statuses, site_variants, link_checks, first_copies, near_copies),
         )
     },
     "p4_objects": _p4_table("objects"),
@@ -164,6 +221,29 @@ QUERIES = {
     "stored_category_deltas": _stored(_deltas, "audits", "audit_results"),
     "stored_score_trend": _stored(stored.score_trend, "audits"),
     "stored_grouped_messages": _stored(stored.grouped_messages, "audit_results"),
+    "stored_failed_results": _stored(
+        lambda r: catalog.results_of(r, limit=None, status=["fail", "warn"]).select("id", "audit_id", "rule_id", "status", "score"), "audit_results"
+    ),
+    "stored_audit_list": _stored(
+        lambda a: catalog.listed(a, catalog.newest(), status="completed").select("id", "audit_id", "domain", "overall_score"), "audits"
+    ),
+    "stored_audit_domains": _stored(
+        lambda a: catalog.audit_domains(a).withColumn("last_started_at", F.unix_micros("last_started_at")), "audits"
+    ),
+    "stored_crawl_list": _stored(catalog.crawl_list, "crawls", "projects"),
+    "stored_weighed_categories": _stored(lambda r: catalog.weighed_categories(stored.category_scores(r)), "audit_results"),
+    "stored_html_storage": _stored(catalog.html_storage, "pages"),
+    "stored_internal_links": _stored(lambda l: catalog.links_of(l, internal=True).select("id", "page_id", "href"), "links"),
+    "stored_table_counts": lambda spark, folder: catalog.table_counts(
+        **{n: table(spark, folder, n) for n in ("projects", "crawls", "pages", "links", "audits", "audit_results", "issues")}
+    ),
+    "stored_link_statuses": _stored(
+        lambda l, p: catalog.link_statuses(l, probes.probe_table(p, l)).select("id", "target_status_code"), "links", "pages"
+    ),
+    "stored_link_cache": _stored(_link_cache, "pages", "links"),
+    "stored_images": _stored(catalog.images, "pages"),
+    "stored_image_stats": _stored(lambda p: catalog.image_stats(catalog.images(p)), "pages"),
+    "stored_image_formats": _stored(lambda p: catalog.image_formats(catalog.images(p)), "pages"),
     "text_measures": _stored(stored.text_measures, "documents"),
     "text_exact_copies": _stored(stored.exact_copies, "documents"),
 }
@@ -228,6 +308,12 @@ ORACLE_SQL: dict[str, str] = {
     "p4_values": f"""with {_DOCS} select source_table, row_id, node_path, case when type = 'VARCHAR' then atom ->> '$' else cast(atom as varchar) end as value
         from nodes where type not in ('OBJECT', 'ARRAY', 'NULL')""",
     "rules_native": _native_sql(),
+    "rules_dom": twins.dom_sql(),
+    "extracted_links": twins.links_sql(),
+    "probe_statuses": f"with {twins.PROBES} select url, status_code from probes",
+    "link_checks": twins.link_checks_sql(),
+    "first_copies": twins.first_copies_sql(),
+    "near_copies": twins.near_copies_sql(),
     "stored_latest_crawls": """select project_id, id as crawl, crawl_id, status from (select *, row_number() over
         (partition by project_id order by started_at desc nulls last, id desc) as k from crawls) where k = 1""",
     "stored_page_counts": """select crawl_id, count(*) as n_pages,
@@ -272,6 +358,25 @@ ORACLE_SQL: dict[str, str] = {
         left join cat o on o.audit_id = p.previous_id and o.category_id = c.category_id""",
     "stored_score_trend": f"""with {_RANKED} select domain, id as audit_id, overall_score,
         overall_score - lag(overall_score) over (partition by domain order by k desc) as delta from ranked where k <= 10""",
+    "stored_failed_results": "select id, audit_id, rule_id, status, score from audit_results where status in ('fail', 'warn')",
+    "stored_audit_list": "select id, audit_id, domain, overall_score from audits where status = 'completed'",
+    "stored_audit_domains": """select domain, count(*) as audits, count(*) filter (status = 'completed') as completed, max(overall_score) as best_score,
+        epoch_us(max(started_at)) as last_started_at from audits group by domain""",
+    "stored_crawl_list": """select c.id, crawl_id, project_id, domain, status, cast(row_number() over (partition by project_id order by started_at desc nulls last, c.id desc) as int) as place
+        from crawls c left join projects p on p.id = c.project_id""",
+    "stored_weighed_categories": f"""with {_CATEGORY}, {_WEIGHTS} select audit_id, category_id, score, coalesce(weight, 0) as weight,
+        cast(row_number() over (partition by audit_id order by coalesce(weight, 0) desc, category_id) as int) as place from cat left join w using (category_id)""",
+    "stored_html_storage": """select crawl_id, count(*) as pages, cast(coalesce(sum(html_size), 0) as bigint) as html_bytes, cast(sum(length(html)) as bigint) as stored_chars,
+        count(*) filter (html_compressed = 1) as compressed from pages where html is not null group by crawl_id""",
+    "stored_internal_links": "select id, page_id, href from links where is_internal = 1",
+    "stored_table_counts": " union all ".join(
+        f"select '{n}' as name, count(*) as rows from {n}" for n in ("projects", "crawls", "pages", "links", "audits", "audit_results", "issues")
+    ),
+    "stored_link_statuses": f"""with {twins.PROBES} select l.id, case when target_status_code is null and target_error is null then q.status_code else target_status_code end as target_status_code
+        from links l left join probes q on q.url = l.href""",
+    "stored_link_cache": f"""with {twins.PROBES.replace("select url, status_code from (select", "select url, status_code, seen_at from (select")}
+        select count(*) as entries, count(*) filter (seen_at >= m - interval 7 day) as fresh, count(*) filter (seen_at < m - interval 7 day) as stale,
+        count(*) filter (status_code >= 400 or status_code = 0) as failed from probes, (select max(seen_at) as m from probes)""",
     "stored_grouped_messages": r"""select audit_id, category_id, rule_id, status, 
         regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(message,
           '\d+ chars?', 'X chars', 'g'), '\d+ words?', 'X words', 'g'), '\d+ images?', 'X images', 'g'), '\d+ links?', 'X links', 'g'),

@@ -1,8 +1,8 @@
 """Report sinks: JSON, Markdown, HTML, XML and console text of an audit, and parquet tables.
 
-A report is a summary: category scores and issues, a row per category and per
-(rule, message). Pages are counted, and `examples` of them named; the full
-lists stay in tables. Only these summary rows come to the driver.
+A report is a summary: category scores, and an issue per rule and status, with
+its pages counted and one of them named; the full lists stay in tables. Only
+these rows come to the driver: two per rule at most.
 """
 
 from __future__ import annotations
@@ -15,34 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.plans.audit import AuditFrames
-from pagelattice.plans.rules import CATEGORIES, RULES
-
-#: Most issues in one report, and pages named with each.
-ISSUES, EXAMPLES = 500, 5
-# Our own wording: what to do about an issue, by category.
-FIXES = {
-    "core": "Review titles, descriptions, headings and canonical links of the page template.",
-    "perf": "Reduce what the page loads before it can be shown.",
-    "links": "Correct or remove the link.",
-    "images": "Give images text, size and a suitable format.",
-    "security": "Set the missing security header or use https.",
-    "technical": "Correct the server's answer for this address.",
-    "crawl": "Let crawlers reach what should be found, and nothing else.",
-    "schema": "Complete the structured data.",
-    "js": "Render the content on the server.",
-    "content": "Improve or merge the text.",
-    "a11y": "Make the element usable without sight or mouse.",
-    "social": "Add the tags that previews need.",
-    "eeat": "Show who is responsible and how to reach them.",
-    "url": "Use short, readable addresses.",
-    "redirect": "Link to the final address.",
-    "mobile": "Fit the layout to small screens.",
-    "i18n": "Align the language annotations of all versions.",
-    "htmlval": "Correct the markup.",
-    "geo": "Mark up the structure of the content.",
-    "legal": "Add the notice that the law asks for.",
-}
-
+from pagelattice.plans.messages import advice_for, message
+from pagelattice.plans.rules import CATEGORIES
 
 def grade(score: int, scale: str = "console") -> str:
     """A letter for a score: D begins at 50 on the console, at 60 in the XML report."""
@@ -51,7 +25,7 @@ def grade(score: int, scale: str = "console") -> str:
 
 
 def issues(frames: AuditFrames) -> DataFrame:
-    """(audit_id, category_id, rule_id, status, pages, examples), failures first, then by pages."""
+    """(audit_id, category_id, rule_id, status, pages, example) of what did not pass."""
     bad = frames.results.where("status <> 'P'").join(frames.parsed.select("audit_id", "page_id", "url"), ["audit_id", "page_id"])
     return bad.groupBy("audit_id", "category_id", "rule_id", "status").agg(
         F.count_distinct("page_id").alias("pages"), F.min("url").alias("example")
@@ -62,7 +36,8 @@ def summary(frames: AuditFrames, audit_id: int) -> dict[str, Any]:
     """The report's rows of one audit."""
     this = F.col("audit_id") == audit_id
     categories = frames.categories.where(this).collect()  # a row per category
-    found = issues(frames).where(this).orderBy("status", F.col("pages").desc(), "rule_id").limit(ISSUES).collect()
+    found = issues(frames).where(this).orderBy("status", F.col("pages").desc(), "rule_id").collect()
+    clean = frames.results.where(this).groupBy("rule_id").agg(F.bool_and(F.col("status") == "P").alias("clean")).where("clean").collect()
     overall = frames.overall.where(this).collect()
     order = list(CATEGORIES)
     return {
@@ -84,12 +59,14 @@ def summary(frames: AuditFrames, audit_id: int) -> dict[str, Any]:
                 "rule": i.rule_id,
                 "category": i.category_id,
                 "severity": "critical" if i.status == "F" else "warning",
+                "message": message(i.rule_id, i.status),
                 "pages": i.pages,
                 "example": i.example,
-                "fix": FIXES[i.category_id],
+                "fix": advice_for(i.rule_id),
             }
             for i in found
         ],
+        "passed": sorted(r.rule_id for r in clean),
     }
 
 
@@ -102,7 +79,7 @@ def to_markdown(s: dict) -> str:
     out += ["| Category | Score | Passed | Warnings | Failed |", "|---|---|---|---|---|"]
     out += [f"| {c['name']} | {c['score']} | {c['passed']} | {c['warnings']} | {c['failed']} |" for c in s["categories"]]
     out += ["", "## Issues", ""]
-    out += [f"- **{i['severity']}** `{i['rule']}` on {i['pages']} page(s), such as {i['example']}. {i['fix']}" for i in s["issues"]]
+    out += [f"- **{i['severity']}** `{i['rule']}`: {i['message']} on {i['pages']} page(s), such as {i['example']}. {i['fix']}" for i in s["issues"]]
     return "\n".join(out) + "\n"
 
 
@@ -112,7 +89,7 @@ def to_html(s: dict) -> str:
         for c in s["categories"]
     )
     items = "".join(
-        f"<li class='{i['severity']}'><code>{escape(i['rule'])}</code> on {i['pages']} page(s): {escape(i['example'] or '')}<p>{escape(i['fix'])}</p></li>"
+        f"<li class='{i['severity']}'><code>{escape(i['rule'])}</code> {escape(i['message'])} on {i['pages']} page(s): {escape(i['example'] or '')}<p>{escape(i['fix'])}</p></li>"
         for i in s["issues"]
     )
     return (
@@ -129,16 +106,13 @@ def _short(text: str | None, size: int) -> str:
 
 def to_xml(s: dict) -> str:
     """The compact report for language models: critical issues first, then the rules that passed everywhere."""
-    bad = {i["rule"] for i in s["issues"]}
     out = [f'<audit score="{s["overall_score"]}" grade="{grade(s["overall_score"], "xml")}">']
     out += [f'<category id="{c["id"]}" score="{c["score"]}"/>' for c in s["categories"]]
     for i in sorted(s["issues"], key=lambda i: i["severity"] != "critical"):
         out.append(
-            f'<issue rule="{i["rule"]}" severity="{i["severity"]}" pages="{i["pages"]}" example="{_short(i["example"], 200)}">{_short(i["fix"], 200)}</issue>'
+            f'<issue rule="{i["rule"]}" severity="{i["severity"]}" pages="{i["pages"]}" message="{_short(i["message"], 200)}" example="{_short(i["example"], 200)}">{_short(i["fix"], 200)}</issue>'
         )
-    present = {c["id"] for c in s["categories"]}
-    passed = [r for r, rule in RULES.items() if rule.registered and rule.category in present and r not in bad]
-    out.append(f"<passed>{' '.join(passed)}</passed></audit>")
+    out.append(f"<passed>{' '.join(s['passed'])}</passed></audit>")
     return "\n".join(out)
 
 
@@ -150,7 +124,7 @@ def to_console(s: dict) -> str:
     order = sorted(by, key=lambda k: (-sum(i["severity"] == "critical" for i in by[k]), -len(by[k])))
     for k in order:
         out.append(f"\n{CATEGORIES[k][0]}")
-        out += [f"  {'x' if i['severity'] == 'critical' else '!'} {i['rule']}: {i['pages']} page(s)" for i in by[k]]
+        out += [f"  {'x' if i['severity'] == 'critical' else '!'} {i['rule']}: {i['message']}, {i['pages']} page(s)" for i in by[k]]
     return "\n".join(out)
 
 

@@ -12,11 +12,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelattice.plans.rules.registry import define
+from pagelattice.session import durable, small_side
 from pagelattice.sources import robots as R
 from pagelattice.sources.dom import split_url
 
@@ -78,43 +82,102 @@ def first_seen(parsed: DataFrame) -> list[DataFrame]:
     ]
 
 
+#: A trigram on so many pages and this share of an audit's pages in some batch is frequent and comes last in the order.
+OFTEN_PAGES, OFTEN_SHARE = 3, 0.02
+
+
+def frequent_trigrams(sets: DataFrame) -> DataFrame:
+    """(audit_id, often): trigrams that many pages of an audit share, told batch by batch; durable.
+
+    A trigram with the share overall has it in at least one batch, so none is
+    missed; a batch's chance finds do no harm, as any set serves that is the
+    same for all pages. At most (trigrams of a page) / OFTEN_SHARE for a batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            audit = batch.column(0).to_numpy(zero_copy_only=False)
+            lists = batch.column(1)
+            gram, owner = lists.flatten().to_numpy(), np.repeat(audit, np.diff(lists.offsets.to_numpy()))
+            if not len(gram):
+                continue
+            order = np.lexsort((gram, owner))
+            gram, owner = gram[order], owner[order]
+            at = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])])
+            n = np.diff(np.r_[at, len(gram)])
+            audits, sizes = np.unique(audit, return_counts=True)
+            least = np.maximum(OFTEN_PAGES, OFTEN_SHARE * sizes[np.searchsorted(audits, owner[at])])
+            at = at[n >= least]
+            yield pa.record_batch([pa.array(owner[at]), pa.array(gram[at])], names=["audit_id", "g"])
+
+    found = sets.where("audit_id is not null").select("audit_id", "grams").mapInArrow(run, "audit_id bigint, g bigint")
+    return durable(found.distinct().groupBy("audit_id").agg(F.collect_list("g").alias("often")))
+
+
+def _prefixes(sets: DataFrame, low: float) -> DataFrame:
+    """(audit_id, page_id, ord, n, g): the first n - ceil(low n) + 1 trigrams of each set, frequent ones last, else by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often: dict[int | None, np.ndarray] = {}
+        for batch in batches:
+            rows, grams = [], []
+            for i, audit in enumerate(batch.column(0).to_pylist()):
+                if audit not in often:
+                    if len(often) > 64:
+                        often.clear()
+                    held = batch.column(4)[i]
+                    often[audit] = np.sort(held.values.to_numpy()) if held.is_valid else np.zeros(0, np.int64)
+                g = batch.column(3)[i].values.to_numpy()
+                last = np.isin(g, often[audit])
+                k = len(g) - int(np.ceil(low * len(g))) + 1
+                first = np.sort(g[~last])[:k]
+                if len(first) < k:
+                    first = np.r_[first, np.sort(g[last])[: k - len(first)]]
+                rows.append(np.full(len(first), i))
+                grams.append(first)
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                n = pc.list_value_length(batch.column(3))
+                cols = [*(c.take(at) for c in batch.columns[:3]), n.take(at), pa.array(np.concatenate(grams))]
+                yield pa.record_batch(cols, names=["audit_id", "page_id", "ord", "n", "g"])
+
+    often = frequent_trigrams(sets)
+    joined = sets.join(small_side(often), "audit_id", "left").select("audit_id", "page_id", "ord", "grams", "often")
+    return joined.mapInArrow(run, "audit_id bigint, page_id bigint, ord bigint, n int, g bigint")
+
+
 def near_duplicates(parsed: DataFrame, low: float = 0.6, high: float = 0.8) -> DataFrame:
     """The largest word-trigram Jaccard similarity to an earlier page of the audit: over 0.8 fails, over 0.6 warns.
 
-    Exact, by prefix filtering: sets are ordered by rarity within the audit, and
-    two sets of similarity t share an element among the first n - ceil(t n) + 1
-    of each, so only those rare trigrams are joined; frequent ones never meet.
-    Pages with equal trigram sets are one class, represented by its first page.
+    Exact, by prefix filtering: with the trigrams in any one order, two sets of
+    similarity t share one among the first n - ceil(t n) + 1 of each, so only
+    these are joined. In the order used, trigrams that many pages of the audit
+    share come last and hardly ever meet. Pages with equal sets are one class,
+    represented by its first page. One exchange by (audit, trigram) serves the
+    count and the join.
     """
     p = parsed.select("audit_id", "page_id", "ord", F.col("facts.trigrams").alias("grams"), F.col("facts.text_chars").alias("chars"))
-    has = p.where(F.size("grams") > 0).withColumn("set_key", F.sha2(F.concat_ws(",", "grams"), 256))
-    ranked = _first(has, "audit_id", "set_key")
-    heads = ranked.where("first")
-    grams = heads.select("audit_id", "page_id", "ord", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    frequency = grams.groupBy("audit_id", "g").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("audit_id", "page_id").orderBy("df", "g")
-    prefix = (
-        grams.join(frequency, ["audit_id", "g"])
-        .where("df > 1 or n > 0")
-        .withColumn("at", F.row_number().over(w))
-        .where(F.col("at") <= F.col("n") - F.ceil(low * F.col("n")) + 1)
-        .where("df > 1")
-    )
-    later = prefix.select("audit_id", "g", F.col("page_id").alias("q"), F.col("ord").alias("oq"), F.col("n").alias("nq"))
-    earlier = prefix.select("audit_id", "g", F.col("page_id").alias("e"), F.col("ord").alias("oe"), F.col("n").alias("ne"))
+    has = p.where((F.size("grams") > 0) & F.col("audit_id").isNotNull()).withColumn("set_key", F.sha2(F.concat_ws(",", "grams"), 256))
+    ranked = durable(_first(has, "audit_id", "set_key"))
+    sets = ranked.where("first").select("audit_id", "page_id", "ord", "grams")
+    prefix = _prefixes(sets, low).repartition("audit_id", "g")
+    shared = prefix.groupBy("audit_id", "g").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("audit_id", "g")
+    met = durable(prefix.join(shared, ["audit_id", "g"]))
+    later = met.select("audit_id", "g", F.col("page_id").alias("q"), F.col("ord").alias("oq"), F.col("n").alias("nq"))
+    earlier = met.select("audit_id", "g", F.col("page_id").alias("e"), F.col("ord").alias("oe"), F.col("n").alias("ne"))
     pairs = (
         later.join(earlier, ["audit_id", "g"])
-        .where("(oe < oq or (oe = oq and e < q)) and ne >= 0.6 * nq and nq >= 0.6 * ne")
+        .where(f"(oe < oq or (oe = oq and e < q)) and ne >= {low} * nq and nq >= {low} * ne")
         .select("audit_id", "q", "e")
         .distinct()
     )
-    sets = heads.select("audit_id", "page_id", "grams")
-    both = pairs.join(sets.select("audit_id", F.col("page_id").alias("q"), F.col("grams").alias("gq")), ["audit_id", "q"]).join(
-        sets.select("audit_id", F.col("page_id").alias("e"), F.col("grams").alias("ge")), ["audit_id", "e"]
+    grams = sets.select("audit_id", "page_id", "grams")
+    both = pairs.join(grams.select("audit_id", F.col("page_id").alias("q"), F.col("grams").alias("gq")), ["audit_id", "q"]).join(
+        grams.select("audit_id", F.col("page_id").alias("e"), F.col("grams").alias("ge")), ["audit_id", "e"]
     )
-    shared = F.size(F.array_intersect("gq", "ge"))
+    in_both = F.size(F.array_intersect("gq", "ge"))
     best = (
-        both.select("audit_id", F.col("q").alias("page_id"), (shared / (F.size("gq") + F.size("ge") - shared)).alias("j"))
+        both.select("audit_id", F.col("q").alias("page_id"), (in_both / (F.size("gq") + F.size("ge") - in_both)).alias("j"))
         .groupBy("audit_id", "page_id")
         .agg(F.max("j").alias("j"))
     )
@@ -123,12 +186,15 @@ def near_duplicates(parsed: DataFrame, low: float = 0.6, high: float = 0.8) -> D
     judged = head.join(best, ["audit_id", "page_id"], "left").withColumn("s", similarity)
     exempt = (F.coalesce("chars", F.lit(0)) < 100) | (F.col("n") < 5)
     status = F.when(exempt, "P").when(F.col("s") > high, "F").when(F.col("s") > low, "W").otherwise("P")
-    none = p.where(F.size("grams") <= 0).select(*_row("content-duplicate-near", F.lit("P")))
+    none = p.where((F.size("grams") <= 0) | F.col("audit_id").isNull()).select(*_row("content-duplicate-near", F.lit("P")))
     return judged.select(*_row("content-duplicate-near", status)).unionAll(none)
 
 
 def link_rules(parsed: DataFrame, probe: DataFrame, redirects: DataFrame) -> list[DataFrame]:
-    """Links, images and canonicals against probed statuses and redirects."""
+    """Links, images and canonicals against probed statuses and redirects.
+
+    A status of 0 is a failure; an address without a row was not probed and is not held against a page.
+    """
     status = probe.groupBy("url").agg(F.max_by("status_code", "checked_at").alias("code"))
     hops = redirect_hops(redirects)
     page = parsed.select("audit_id", "page_id")
@@ -138,7 +204,7 @@ def link_rules(parsed: DataFrame, probe: DataFrame, redirects: DataFrame) -> lis
     first20 = Window.partitionBy("audit_id", "page_id").orderBy("at")
 
     def judged(found: DataFrame, rule_id: str, bad, worst: str) -> DataFrame:
-        hit = found.join(status, "url", "left").withColumn("code", F.coalesce("code", F.lit(0))).groupBy("audit_id", "page_id").agg(F.max(bad).alias("bad"))
+        hit = found.join(status, "url").groupBy("audit_id", "page_id").agg(F.max(bad).alias("bad"))
         s = F.when(F.coalesce("bad", F.lit(False)), worst).otherwise("P")
         return page.join(hit, ["audit_id", "page_id"], "left").select(*_row(rule_id, s))
 
@@ -160,7 +226,7 @@ def link_rules(parsed: DataFrame, probe: DataFrame, redirects: DataFrame) -> lis
         .when(F.coalesce("hops", F.lit(0)) > 2, "F")
         .when(F.coalesce("code", F.lit(0)) >= 400, "F")
         .when(F.coalesce("hops", F.lit(0)) > 0, "W")
-        .when(F.coalesce("code", F.lit(0)) == 0, "W")
+        .when(F.col("code") == 0, "W")
         .otherwise("P")
     )
     return [
@@ -288,24 +354,26 @@ def site_rules(parsed: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def robots_page_rules(parsed: DataFrame, sites: DataFrame) -> DataFrame:
-    """Pages and their scripts against the site's robots rules."""
+    """Pages and their scripts against the site's robots rules; sites without rules block nothing and need no Python."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for r in part.itertuples():
-                text = r.robots if isinstance(r.robots, str) else ""
-                u = split_url(r.url or "")
+            for a, page, text, url, scripts in zip(part.audit_id, part.page_id, part.robots, part.url, part.scripts):
+                u = split_url(url or "")
                 path = (u[2] + ("?" + u[3] if u[3] else "")) if u else "/"
                 shut = R.blocked(text, path, {"*", "googlebot"})
-                rows.append((r.audit_id, r.page_id, "crawl-indexability-conflict", "W" if shut else "P"))
-                js = any(R.blocked(text, x, {"*"}) for x in (r.scripts if r.scripts is not None else ()))
-                rows.append((r.audit_id, r.page_id, "js-blocked-resources", "W" if js else "P"))
+                js = any(R.blocked(text, x, {"*"}) for x in (scripts if scripts is not None else ()))
+                rows += [(a, page, "crawl-indexability-conflict", "W" if shut else "P"), (a, page, "js-blocked-resources", "W" if js else "P")]
             out = pd.DataFrame(rows, columns=["audit_id", "page_id", "rule_id", "status"])
             yield out.assign(score=out.status.map({"P": 100, "W": 50}).astype("int32"))
 
+    ruled = sites.where("robots is not null and trim(robots) <> ''").select("origin", "robots")
     pages = parsed.select("audit_id", "page_id", "url", F.col("facts.origin").alias("origin"), F.col("facts.scripts").alias("scripts"))
-    return pages.join(sites.select("origin", "robots"), "origin", "left").mapInPandas(run, OUT)
-
-
-
+    free = pages.join(ruled, "origin", "left_anti")
+    return (
+        pages.join(ruled, "origin")
+        .mapInPandas(run, OUT)
+        .unionByName(free.select(*_row("crawl-indexability-conflict", F.lit("P"))))
+        .unionByName(free.select(*_row("js-blocked-resources", F.lit("P"))))
+    )

@@ -41,9 +41,14 @@ def path_pattern(rule: str) -> re.Pattern:
     return re.compile(("" if rule.endswith("$") else "^") + body + ("$" if rule.endswith("$") else ""))
 
 
+@lru_cache(256)
+def _rules(text: str, agents: frozenset[str]) -> list[tuple[str, str]]:
+    return list(rules_for(text, set(agents)))
+
+
 def blocked(text: str, path: str, agents: set[str]) -> bool:
     """Disallowed by a rule that no Allow rule of at least its length overrides."""
-    rules = rules_for(text, agents)
+    rules = _rules(text, frozenset(agents))
     longest = {"allow": -1, "disallow": -1}
     for kind, rule in rules:
         if kind in longest and rule and path_pattern(rule).search(path):
