@@ -7,6 +7,7 @@ lower-cased once, lacks them, the pattern is not run.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable
 
 
@@ -75,5 +76,29 @@ class Wording:
         """Matches of all patterns together."""
         return sum(sum(1 for _ in p.finditer(text)) for p in self.candidates(text.lower() if low is None else low))
 
-    def at_least(self, least: int, text: str, low: str) -> bool:
-        return self.count(text, low) >= least
+
+_LISTED = re.compile(r"\\b\((.*)\)\\b")
+
+
+class Terms:
+    """Patterns of the form \\b(term|term)\\b, counted by looking words up.
+
+    A pattern is run only where a term of several words, or of other signs than
+    letters and digits, may stand in the text: such terms take their words from
+    others, so that looking up would count too much.
+    """
+
+    def __init__(self, patterns: Iterable[str]) -> None:
+        self._lists = []
+        for p in patterns:
+            terms = _LISTED.fullmatch(p)[1].split("|")
+            plain = [t for t in terms if re.fullmatch(r"[a-z0-9]+", t)]
+            other = [t for t in terms if t not in plain]
+            self._lists.append((plain, Wording(other), re.compile(p, re.I | re.A)))
+
+    def count(self, text: str, low: str, words: Counter[str]) -> int:
+        """words: how often each ASCII word stands in low."""
+        return sum(
+            sum(1 for _ in whole.finditer(text)) if other.any(text, low) else sum(words[t] for t in plain if t in words)
+            for plain, other, whole in self._lists
+        )

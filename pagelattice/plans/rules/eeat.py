@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
-from pagelattice.functions.wording import Wording
+from pagelattice.functions.wording import Terms, Wording
 from pagelattice.plans.rules import eeat_values as V
 from pagelattice.plans.rules.registry import dom
 from pagelattice.sources.dom import Page, split_url
@@ -197,7 +198,8 @@ def _(p):
     return "P" if n >= 3 or n == 0 else ("P", 90 if n == 2 else 80)
 
 
-_YMYL = {k: (least, Wording(words)) for k, (least, words) in V.YMYL.items()}
+_YMYL = {k: (least, Terms(words)) for k, (least, words) in V.YMYL.items()}
+_ASCII_WORD = re.compile(r"\w+", re.A)
 _DISCLAIMERS = {k: Wording(words) for k, words in V.DISCLAIMERS.items()}
 
 
@@ -207,7 +209,8 @@ def ymyl(p: Page) -> list[str]:
     first = min((e for _, e in find(p, V.YMYL_PLACES)), key=lambda e: e.start, default=None)
     text = f"{p.title} {p.description or ''} {(first.text if first else '') or p.body_text}"
     low = text.lower()
-    return [k for k, (least, words) in _YMYL.items() if words.at_least(least, text, low)]
+    words = Counter(_ASCII_WORD.findall(low))
+    return [k for k, (least, terms) in _YMYL.items() if terms.count(text, low, words) >= least]
 
 
 dom("eeat-ymyl-detection", 5)(lambda p: "P")

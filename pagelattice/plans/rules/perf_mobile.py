@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pagelattice.functions.wording import Wording
 from pagelattice.plans.rules.head_content import noindex
 from pagelattice.plans.rules.registry import dom
 from pagelattice.sources.dom import Page, split_url
@@ -225,12 +226,19 @@ def _(p):
 
 
 # Patterns by the tokens' public formats.
-_SECRETS = re.compile(
-    r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}\b|\bsk_live_[A-Za-z0-9]{16,}|\bxox[baprs]-[A-Za-z0-9-]{10,}"
-    r"|\bAIza[0-9A-Za-z_-]{35}\b|-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----"
-    r"|\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis)://[^\s:/@]+:[^\s@]+@"
+_SECRETS = Wording(
+    [
+        r"\bAKIA[0-9A-Z]{16}\b",
+        r"\bgh[pousr]_[A-Za-z0-9]{36,}\b",
+        r"\bsk_live_[A-Za-z0-9]{16,}",
+        r"\bxox[baprs]-[A-Za-z0-9-]{10,}",
+        r"\bAIza[0-9A-Za-z_-]{35}\b",
+        r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----",
+        r"\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis)://[^\s:/@]+:[^\s@]+@",
+    ],
+    re.A,
 )
-dom("security-leaked-secrets", 10)(lambda p: "F" if _SECRETS.search(p.html) else "P")
+dom("security-leaked-secrets", 10)(lambda p: "F" if _SECRETS.any(p.html) else "P")
 dom("security-password-http", 10)(
     lambda p: "F" if p.at[0] == "http" and any((e.get("type") or "").lower() == "password" for e in p.q("input")) else "P"
 )

@@ -45,7 +45,19 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pl-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.durable_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of durable tables that nothing reads any more, such as those of past rounds of an iteration."""
+    for df in tables:
+        path = getattr(df, "durable_path", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def row_bytes(schema: StructType) -> Column:
