@@ -37,7 +37,7 @@ from pagelattice.llm import main_lines
 from pagelattice.llm.chunk import Chunk, sort_parts
 from pagelattice.llm.page_facts import Extra
 from pagelattice.llm.shingles import finish, jaccard, runs, shingle_set
-from pagelattice.session import durable, small_side
+from pagelattice.session import discard, durable, small_side
 
 #: Runs of so many words, the least similarity, and the least words of a page that takes part.
 RUN, SIMILAR, LEAST_WORDS = 3, 0.7, 50
@@ -215,7 +215,7 @@ def search(labels: DataFrame, texts: DataFrame, depth: int = DEPTH, trees: int =
             .select(F.least("x.page_id", "y.page_id").alias("a"), F.greatest("x.page_id", "y.page_id").alias("b"))
             .distinct()
         )
-        possible = durable(
+        candidates = possible = durable(
             met.join(texts.select(F.col("page_id").alias("a"), F.col("bins").alias("x")), "a")
             .join(texts.select(F.col("page_id").alias("b"), F.col("bins").alias("y")), "b")
             .select("a", "b", "x", "y")
@@ -230,6 +230,7 @@ def search(labels: DataFrame, texts: DataFrame, depth: int = DEPTH, trees: int =
             .mapInArrow(_verify, "a bigint, b bigint, similarity double")
         )
         now = durable(verified.withColumn("depth", F.lit(d)))
+        discard(candidates)
         tested = now if d == depth else tested.unionAll(now)
         if d == root:
             stops.append(active.withColumn("depth", F.lit(d)))
@@ -315,7 +316,7 @@ def groups(found: Classes) -> DataFrame:
         found.pairs.select("a", "b").unionAll(found.pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     )
     degree = edges.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
-    label = durable(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("g")))
+    held = label = durable(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("g")))
     while True:
         near = (
             edges.join(label.select(F.col("a").alias("b"), F.col("g").alias("gb")), "b")
@@ -325,7 +326,8 @@ def groups(found: Classes) -> DataFrame:
         nxt = label.join(near, "a").select("a", F.least("g", "gb").alias("h"), "g")
         up = label.select(F.col("a").alias("h"), F.col("g").alias("gh"))
         moved = durable(nxt.join(up, "h", "left").select("a", F.coalesce(F.least("h", "gh"), "h").alias("n"), "g"))
-        label = moved.select("a", F.col("n").alias("g"))
+        discard(held)
+        held, label = moved, moved.select("a", F.col("n").alias("g"))
         if moved.where("n <> g").isEmpty():
             break
     tags = label.join(degree, "a").withColumnRenamed("a", "class_id")

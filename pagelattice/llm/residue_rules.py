@@ -103,7 +103,7 @@ ERROR = [
     r"stack trace",
     r"exception in ",
     r"(?:page|file|address|site|url|item|document) (?:was |could )?not (?:be )?found",
-    r"could not find (?:the|this|that|your) (?:page|address|file|item|url|link)",
+    r"could not find (?:the|this|that|your) (?:page|address|file|item|url|link|article|document|post|product|entry)",
     r"page (?:is )?(?:missing|gone)",
     r"nothing lives at this",
     r"no longer (?:available|exists?|this address|here)",

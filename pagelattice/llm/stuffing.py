@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 #: Compressed size against the expected one, below which the redundancy is extreme; and the most sentences beside it.
 EXTREME, EXTREME_PROPER = 0.72, 0.6
-#: Milder redundancy, where hardly any words stand in sentences and words repeat.
-MILD, MILD_PROPER, MILD_DISTINCT, MILD_WORDS = 0.95, 0.25, 0.5, 40
-#: Link lists: so many links whose anchors hold this share of the words.
-LINKS, LINK_PART = 25, 0.5
+#: Milder redundancy counts where next to no words stand in sentences, or few do and the words repeat.
+MILD, MILD_PROPER, MILD_DISTINCT, BARE_PROPER = 0.85, 0.25, 0.5, 0.1
 #: Words in sentences from which a page serves to learn what compression is usual.
 USUAL_PROPER = 0.5
 
@@ -68,37 +66,25 @@ def measured(facts: DataFrame) -> DataFrame:
 def stuffed_pages(facts: DataFrame, links: DataFrame, residue: DataFrame) -> DataFrame:
     """(page_id, words, proper_share, distinct_share, redundancy, anchor_share): pages of keywords, link lists or tags.
 
-    facts should be durable. residue holds the page_id of residue pages: mock
-    Latin is as redundant as spam and has its own operator. Pages without html or words of their own are no
-    cases. Null or blank anchors count as links without words; links of unknown
-    pages are ignored; repeated rows count.
+    Every such page is more redundant than its length and language explain, and
+    has few words in sentences. anchor_share is the part of its words that stand
+    in its links' anchors. facts should be durable. residue holds the page_id of
+    residue pages: mock Latin is as redundant as spam and has its own operator.
+    Pages without html or words of their own are no cases. Null or blank anchors
+    count as links without words; links of unknown pages are ignored; repeated
+    rows count.
     """
-    few = measured(facts).where(
-        (F.col("proper_share") < EXTREME_PROPER) & ((F.col("redundancy") < MILD) | (F.col("proper_share") < MILD_PROPER))
-    )
-    anchors = links.groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("n_links"),
-        F.sum(F.coalesce(F.size(F.regexp_extract_all(F.col("anchor_text"), F.lit(r"[\p{L}\p{N}]+"), 0)), F.lit(0))).alias(
-            "anchor_words"
-        ),
-    )
-    share = F.coalesce(F.try_divide("anchor_words", "words"), F.lit(0.0))
-    extreme = F.col("redundancy") < EXTREME
-    mild = (
-        (F.col("redundancy") < MILD)
-        & (F.col("proper_share") < MILD_PROPER)
-        & (F.col("distinct_share") < MILD_DISTINCT)
-        & (F.col("words") >= MILD_WORDS)
-    )
-    link_list = (
-        (F.col("n_links") >= LINKS)
-        & (share >= LINK_PART)
-        & (F.col("proper_share") < MILD_PROPER)
-        & (F.col("distinct_share") < MILD_DISTINCT)
-    )
-    return (
-        few.join(residue.select("page_id"), "page_id", "left_anti")
-        .join(anchors, "page_id", "left")
-        .where(extreme | mild | link_list)
-        .select("page_id", "words", "proper_share", "distinct_share", "redundancy", share.alias("anchor_share"))
+    proper, redundancy = F.col("proper_share"), F.col("redundancy")
+    extreme = (redundancy < EXTREME) & (proper < EXTREME_PROPER)
+    bare = (proper < BARE_PROPER) | ((proper < MILD_PROPER) & (F.col("distinct_share") < MILD_DISTINCT))
+    stuffed = measured(facts).where(extreme | ((redundancy < MILD) & bare)).join(residue.select("page_id"), "page_id", "left_anti")
+    words = F.coalesce(F.size(F.regexp_extract_all(F.col("anchor_text"), F.lit(r"[\p{L}\p{N}]+"), 0)), F.lit(0))
+    anchors = links.groupBy("page_id").agg(F.sum(words).alias("anchor_words"))
+    return stuffed.join(anchors, "page_id", "left").select(
+        "page_id",
+        "words",
+        "proper_share",
+        "distinct_share",
+        "redundancy",
+        F.coalesce(F.try_divide("anchor_words", "words"), F.lit(0.0)).alias("anchor_share"),
     )
