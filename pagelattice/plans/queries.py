@@ -9,7 +9,7 @@ from pagelattice.operators import catalog, nested, stored
 from pagelattice.plans import audit, twins
 from pagelattice.plans.rules import CATEGORIES, native, selected, site
 from pagelattice.session import durable
-from pagelattice.sources import probes
+from pagelattice.sources import frontier, probes
 from pagelattice.sources.tables import table
 
 FLAGSHIP = "stored_overall_scores"
@@ -111,6 +111,15 @@ def near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return site.near_duplicates(parsed).select("page_id", "rule_id", "status")
 
 
+def crawl_frontier(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages reached breadth first over the stored links, from the start of every crawl; the budget is all addresses there are."""
+    pages, links, crawls = (table(spark, folder, n) for n in ("pages", "links", "crawls"))
+    hops = links.where("is_internal = 1").select("page_id", "href", F.col("id").alias("pos"))
+    edges = hops.join(pages.select(F.col("id").alias("page_id"), "url"), "page_id").select("url", "href", "pos")
+    start = [r[0] for r in crawls.where("start_url is not null").select("start_url").distinct().orderBy("start_url").collect()]  # a row per crawl
+    return frontier.crawl(edges, start, max_pages=edges.select("href").distinct().count() + len(start)).select("url", "depth")
+
+
 def audit_issues(spark: SparkSession, folder: str) -> DataFrame:
     """Issues of the audit of all pages, made from its results as those of a stored audit are."""
     pages = audit.prepare(table(spark, folder, "pages"))
@@ -195,7 +204,7 @@ QUERIES = {
         q.__name__: q
         for q in (
             *(p4_found, p4_nodes, p4_descendants, rules_native, rules_dom, rules_all, audit_categories, audit_overall),
-            *(audit_page_scores, audit_issues, cross_page, extracted_links, probe_statuses, site_variants, link_checks, first_copies, near_copies),
+            *(audit_page_scores, audit_issues, crawl_frontier, cross_page, extracted_links, probe_statuses, site_variants, link_checks, first_copies, near_copies),
         )
     },
     "p4_objects": _p4_table("objects"),

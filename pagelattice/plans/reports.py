@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.plans.audit import AuditFrames
+from pagelattice.plans.audit import AuditFrames, as_stored
 from pagelattice.plans.messages import advice_for, message
 from pagelattice.plans.rules import CATEGORIES
 
@@ -24,6 +24,15 @@ def grade(score: int, scale: str = "console") -> str:
     return next((g for least, g in steps if score >= least), "F")
 
 
+# The least score of each label, with its colour.
+BANDS = ((90, "Excellent", "green"), (70, "Good", "yellow"), (50, "Needs Work", "orange"), (0, "Poor", "red"))
+
+
+def band(score: int) -> tuple[str, str]:
+    """(label, colour) of a score."""
+    return next((label, colour) for least, label, colour in BANDS if score >= least)
+
+
 def issues(frames: AuditFrames) -> DataFrame:
     """(audit_id, category_id, rule_id, status, pages, example) of what did not pass."""
     bad = frames.results.where("status <> 'P'").join(frames.parsed.select("audit_id", "page_id", "url"), ["audit_id", "page_id"])
@@ -74,28 +83,64 @@ def to_json(s: dict) -> str:
     return json.dumps(s, indent=2, ensure_ascii=False)
 
 
+def _by_category(s: dict) -> list[tuple[dict, list[dict]]]:
+    """Categories in report order, each with its issues, failures first."""
+    return [
+        (c, sorted((i for i in s["issues"] if i["category"] == c["id"]), key=lambda i: (i["severity"] != "critical", -i["pages"], i["rule"])))
+        for c in s["categories"]
+    ]
+
+
 def to_markdown(s: dict) -> str:
-    out = [f"# Site audit {s['audit_id']}", "", f"Overall score: **{s['overall_score']}** ({grade(s['overall_score'])})", ""]
+    label, _ = band(s["overall_score"])
+    out = [f"# Site audit {s['audit_id']}", "", f"Overall score: **{s['overall_score']}** ({grade(s['overall_score'])}, {label})", ""]
     out += ["| Category | Score | Passed | Warnings | Failed |", "|---|---|---|---|---|"]
     out += [f"| {c['name']} | {c['score']} | {c['passed']} | {c['warnings']} | {c['failed']} |" for c in s["categories"]]
-    out += ["", "## Issues", ""]
-    out += [f"- **{i['severity']}** `{i['rule']}`: {i['message']} on {i['pages']} page(s), such as {i['example']}. {i['fix']}" for i in s["issues"]]
+    for c, found in _by_category(s):
+        if found:
+            out += ["", f"## {c['name']}", ""]
+        out += [
+            f"- **{i['severity']}** `{i['rule']}`: {i['message']} on {i['pages']} page(s), such as {i['example']}. {i['fix']}" for i in found
+        ]
+    out += ["", f"{len(s['passed'])} rules passed on every page."]
     return "\n".join(out) + "\n"
 
 
+_STYLE = """body{font-family:sans-serif;max-width:70rem;margin:2rem auto;padding:0 1rem;color:#222}
+.score{font-size:3rem;font-weight:bold}.green{color:#1a7f37}.yellow{color:#9a6700}.orange{color:#bc4c00}.red{color:#cf222e}
+table{border-collapse:collapse;width:100%}td,th{padding:.3rem .8rem;border-bottom:1px solid #ddd;text-align:left}
+.bar{background:#eee;width:10rem;height:.6rem}.bar div{background:currentColor;height:.6rem}
+details{margin:.4rem 0}.critical summary{color:#cf222e}.warning summary{color:#9a6700}"""
+
+
 def to_html(s: dict) -> str:
-    rows = "".join(
-        f"<tr><td>{escape(c['name'])}</td><td>{c['score']}</td><td>{c['passed']}</td><td>{c['warnings']}</td><td>{c['failed']}</td></tr>"
-        for c in s["categories"]
-    )
-    items = "".join(
-        f"<li class='{i['severity']}'><code>{escape(i['rule'])}</code> {escape(i['message'])} on {i['pages']} page(s): {escape(i['example'] or '')}<p>{escape(i['fix'])}</p></li>"
-        for i in s["issues"]
+    label, colour = band(s["overall_score"])
+
+    def row(c: dict) -> str:
+        tint = band(c["score"])[1]
+        return (
+            f"<tr><td><a href='#{c['id']}'>{escape(c['name'])}</a></td><td class='{tint}'>{c['score']}</td>"
+            f"<td class='{tint}'><div class='bar'><div style='width:{c['score']}%'></div></div></td>"
+            f"<td>{c['passed']}</td><td>{c['warnings']}</td><td>{c['failed']}</td></tr>"
+        )
+
+    def issue(i: dict) -> str:
+        return (
+            f"<details class='{i['severity']}'><summary><code>{escape(i['rule'])}</code> {escape(i['message'])} on {i['pages']} page(s)</summary>"
+            f"<p>Such as <a href='{escape(i['example'] or '', quote=True)}'>{escape(i['example'] or '')}</a></p><p>{escape(i['fix'])}</p></details>"
+        )
+
+    parts = "".join(
+        f"<section id='{c['id']}'><h2>{escape(c['name'])}</h2>{''.join(map(issue, found)) or '<p>Nothing to report.</p>'}</section>"
+        for c, found in _by_category(s)
     )
     return (
-        "<!doctype html><html lang='en'><head><meta charset='utf-8'><title>Site audit</title>"
-        "<style>body{font-family:sans-serif;max-width:60rem;margin:auto}td{padding:.2rem .8rem}.critical{color:#900}</style></head>"
-        f"<body><h1>Overall score {s['overall_score']}</h1><table>{rows}</table><ul>{items}</ul></body></html>"
+        "<!doctype html><html lang='en'><head><meta charset='utf-8'><meta name='viewport' content='width=device-width'><title>Site audit</title>"
+        f"<style>{_STYLE}</style></head><body><h1>Site audit {s['audit_id']}</h1>"
+        f"<p class='score {colour}'>{s['overall_score']} <small>{grade(s['overall_score'])}, {label}</small></p>"
+        "<table><thead><tr><th>Category</th><th>Score</th><th></th><th>Passed</th><th>Warnings</th><th>Failed</th></tr></thead>"
+        f"<tbody>{''.join(map(row, s['categories']))}</tbody></table>{parts}"
+        f"<h2>Passed on every page</h2><p>{escape(', '.join(s['passed']))}</p></body></html>"
     )
 
 
@@ -136,9 +181,10 @@ def exit_code(score: int | None) -> int:
     return 2 if score is None else 0 if score >= 70 else 1
 
 
-def save(frames: AuditFrames, folder: str) -> None:
-    """The audit's tables as parquet, results by audit."""
-    frames.results.write.mode("overwrite").partitionBy("audit_id").parquet(f"{folder}/audit_results")
+def save(frames: AuditFrames, folder: str, pages: DataFrame | None = None) -> None:
+    """The audit's tables as parquet, results by audit; with the audited pages, in the columns of stored results."""
+    results = frames.results if pages is None else as_stored(frames, pages)
+    results.write.mode("overwrite").partitionBy("audit_id").parquet(f"{folder}/audit_results")
     frames.categories.write.mode("overwrite").parquet(f"{folder}/audit_categories")
     frames.overall.write.mode("overwrite").parquet(f"{folder}/audits")
     issues(frames).write.mode("overwrite").parquet(f"{folder}/issues")

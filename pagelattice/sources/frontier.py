@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from urllib.parse import urlsplit, urlunsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelattice.session import durable
+from pagelattice.session import discard, durable
 
 # Query parameters dropped by default, by prefix; file types that are no pages.
 DROP_PREFIXES = ("utm_", "gclid", "fbclid", "mc_", "_ga")
@@ -94,7 +94,7 @@ def crawl(links: DataFrame, start: list[str], max_pages: int = 100, rule: UrlFil
     first = list(dict.fromkeys(map(rule.normalise, start)))[:max_pages]
     seen = spark.createDataFrame([(u, 0, i) for i, u in enumerate(first)], "url string, depth int, ord bigint")
     frontier, n, depth = seen, len(first), 0
-    parts = [seen]
+    parts = [frontier]
     while n < max_pages and not frontier.isEmpty():
         depth += 1
         found = (
@@ -103,13 +103,18 @@ def crawl(links: DataFrame, start: list[str], max_pages: int = 100, rule: UrlFil
             .agg(F.min(F.struct("ord", "pos")).alias("at"))
             .join(seen.select(F.col("url").alias("dst")), "dst", "left_anti")
             .orderBy("at.ord", "at.pos", "dst")
-            .limit(max_pages - n)  # the crawl's page budget
+            .limit(max_pages - n)  # the crawl's page budget bounds what is numbered in one task
+        )
+        place = F.row_number().over(Window.orderBy("at.ord", "at.pos", "dst"))
+        frontier = durable(
+            found.select(
+                F.col("dst").alias("url"), F.lit(depth).alias("depth"), (place + F.lit(n - 1)).cast("bigint").alias("ord")
+            )
         )
-        rows = [(r.dst, depth, n + i) for i, r in enumerate(found.select("dst").collect())]  # max_pages bounds them
-        frontier = spark.createDataFrame(rows, "url string, depth int, ord bigint")
         parts.append(frontier)
-        seen = durable(seen.unionAll(frontier))
-        n += len(rows)
+        last, seen = seen, durable(seen.unionAll(frontier))
+        discard(last)
+        n += frontier.count()
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)

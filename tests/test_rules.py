@@ -1,5 +1,6 @@
 import pytest
 
+from pagelattice.operators import stored
 from pagelattice.plans import audit, reports
 from pagelattice.plans.rules import CATEGORIES, RULES, matches, selected
 from pagelattice.plans.rules.registry import define
@@ -159,6 +160,17 @@ def test_audit_and_reports(spark, tmp_path):
     assert len(s["categories"]) >= 18 and s["issues"]
     for name, make in reports.FORMATS.items():
         assert str(s["overall_score"]) in make(s), name
+    clean = {r for _, r in got if all(v == "P" for (_, x), v in got.items() if x == r)}
+    assert set(s["passed"]) == clean and not clean & {i["rule"] for i in s["issues"]}
+    assert len(s["issues"]) == len({(r, v) for (_, r), v in got.items() if v != "P"}) and all(i["message"] and i["fix"] for i in s["issues"])
+    rows_ = audit.as_stored(frames, df)
+    assert rows_.count() == len(got) and rows_.where("message is null or rule_name is null or page_url is null").count() == 0
+    assert rows_.where("rule_id = 'technical-4xx-non-404'").first().details_json == '{"value":"200"}'
+    made = stored.make_issues(rows_).where("rule_id = 'core-title-unique'").collect()
+    assert {(r.severity, r.affected_pages) for r in made} == {("warning", 1), ("critical", 2)}
+    reports.save(frames, str(tmp_path / "stored"), df)
+    assert "details_json" in spark.read.parquet(f"{tmp_path}/stored/audit_results").columns
+    assert reports.band(70) == ("Good", "yellow") and reports.band(0)[0] == "Poor"
     reports.save(frames, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/audit_results").count() == frames.results.count()
     assert reports.exit_code(70) == 0 and reports.exit_code(69) == 1 and reports.exit_code(None) == 2
