@@ -27,7 +27,7 @@ CHUNK = 256
 FACTS = (
     "facts struct<origin string, title_key string, description_key string, description_chars int, text_key string,"
     " text_chars int, canonical string, noindex boolean, links array<struct<href string, internal boolean>>,"
-    " images array<string>, scripts array<string>, trigrams array<bigint>>"
+    " images array<string>, scripts array<string>, words string>"
 )
 _FACTS_TYPE = pa.struct(
     [
@@ -40,16 +40,14 @@ _FACTS_TYPE = pa.struct(
         ("links", pa.list_(pa.struct([("href", pa.string()), ("internal", pa.bool_())]))),
         ("images", pa.list_(pa.string())),
         ("scripts", pa.list_(pa.string())),
-        ("trigrams", pa.list_(pa.int64())),
+        ("words", pa.string()),
     ]
 )
 
 
-def trigrams(text: str) -> list[int]:
-    """Sorted hashes of the distinct word trigrams of the whole text, ASCII letters and digits only."""
-    words = re.sub(r"[^a-z0-9\s]", "", text.lower()).split()
-    found = {" ".join(words[i : i + 3]) for i in range(len(words) - 2)}
-    return sorted(int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little", signed=True) for g in found)
+def words(text: str) -> str:
+    """The words of the whole text, ASCII letters and digits only, parted by one blank: what near copies are told by."""
+    return " ".join(re.sub(r"[^a-z0-9\s]", "", text.lower()).split())
 
 
 def _facts(p: Page, near: bool) -> dict:
@@ -67,7 +65,7 @@ def _facts(p: Page, near: bool) -> dict:
         "links": [{"href": l["href"], "internal": l["internal"]} for l in p.links],
         "images": [i["src"] for i in p.images],
         "scripts": [u[2] for u in scripts],
-        "trigrams": trigrams(text) if near else [],
+        "words": words(text) if near else None,
     }
 
 
@@ -253,7 +251,7 @@ class Auditor:
         """Rules whose tables are not given are not evaluated. The parsed pages are written to the shared folder once."""
         ids = {r.id for r in self.rules}
         near = "content-duplicate-near" in ids
-        parsed = durable(page_pass(pages, self.rules, near))
+        parsed = durable(page_pass(pages, self.rules, near), "zstd")
         parts = [dom_results(parsed, self.rules), native_results(pages, self.rules)]
         across = site.first_seen(parsed)
         if near:

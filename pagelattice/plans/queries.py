@@ -107,7 +107,7 @@ def first_copies(spark: SparkSession, folder: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Pages nearly the same as an earlier page of the crawl."""
-    parsed = durable(audit.page_pass(audit.prepare(table(spark, folder, "pages")), []))
+    parsed = durable(audit.page_pass(audit.prepare(table(spark, folder, "pages")), []), "zstd")
     return site.near_duplicates(parsed).select("page_id", "rule_id", "status")
 
 
@@ -140,7 +140,7 @@ def audit_page_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def cross_page(spark: SparkSession, folder: str) -> DataFrame:
     """Duplicate titles, descriptions, texts and near copies."""
-    parsed = durable(audit.page_pass(audit.prepare(table(spark, folder, "pages")), []))
+    parsed = durable(audit.page_pass(audit.prepare(table(spark, folder, "pages")), []), "zstd")
     out = site.near_duplicates(parsed)
     for part in site.first_seen(parsed):
         out = out.unionAll(part)

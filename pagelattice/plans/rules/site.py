@@ -15,12 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelattice.plans.rules import near_sets
 from pagelattice.plans.rules.registry import define
-from pagelattice.session import durable, small_side
 from pagelattice.sources import robots as R
 from pagelattice.sources.dom import split_url
 
@@ -82,111 +81,85 @@ def first_seen(parsed: DataFrame) -> list[DataFrame]:
     ]
 
 
-#: A trigram on so many pages and this share of an audit's pages in some batch is frequent and comes last in the order.
-OFTEN_PAGES, OFTEN_SHARE = 3, 0.02
+#: Bytes of text up to which an audit's pages are compared in one task, and of a block where they are not.
+WHOLE, BLOCK = 24 << 20, 12 << 20
+#: Bytes of pages that are packed together.
+PACK = 32 << 20
 
 
-def frequent_trigrams(sets: DataFrame) -> DataFrame:
-    """(audit_id, often): trigrams that many pages of an audit share, told batch by batch; durable.
+def _packed(pages: DataFrame, whole: int, block: int) -> DataFrame:
+    """(audit_id, a, b, side, pages, texts, bytes): pages of an audit, compressed together, for each pair of blocks a <= b that holds them.
 
-    A trigram with the share overall has it in at least one batch, so none is
-    missed; a batch's chance finds do no harm, as any set serves that is the
-    same for all pages. At most (trigrams of a page) / OFTEN_SHARE for a batch.
+    The texts of a site have much in common and shrink to a sixth or less; single ones do not.
     """
+    sizes = pages.groupBy("audit_id").agg(F.sum(F.octet_length("words")).alias("n")).where(F.col("n") > whole)
+    blocks = {r.audit_id: -(-r.n // block) for r in sizes.collect()}  # a row per audit of more than `whole` bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            audit = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(1)
-            gram, owner = lists.flatten().to_numpy(), np.repeat(audit, np.diff(lists.offsets.to_numpy()))
-            if not len(gram):
-                continue
-            order = np.lexsort((gram, owner))
-            gram, owner = gram[order], owner[order]
-            at = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])])
-            n = np.diff(np.r_[at, len(gram)])
-            audits, sizes = np.unique(audit, return_counts=True)
-            least = np.maximum(OFTEN_PAGES, OFTEN_SHARE * sizes[np.searchsorted(audits, owner[at])])
-            at = at[n >= least]
-            yield pa.record_batch([pa.array(owner[at]), pa.array(gram[at])], names=["audit_id", "g"])
-
-    found = sets.where("audit_id is not null").select("audit_id", "grams").mapInArrow(run, "audit_id bigint, g bigint")
-    return durable(found.distinct().groupBy("audit_id").agg(F.collect_list("g").alias("often")))
-
-
-def _prefixes(sets: DataFrame, low: float) -> DataFrame:
-    """(audit_id, page_id, ord, n, g): the first n - ceil(low n) + 1 trigrams of each set, frequent ones last, else by hash."""
+        codec, held, size = pa.Codec("zstd", 3), [], 0
+
+        def packed() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            audit, page = t["audit_id"].to_numpy(), t["page_id"].to_numpy()
+            parts = np.array([blocks.get(x, 1) for x in audit.tolist()], np.uint64)
+            at = (near_sets.mix(page.astype(np.uint64)) % parts).astype(np.int64)
+            order = np.lexsort((page, at, audit))
+            t, audit, at = t.take(pa.array(order)), audit[order], at[order]
+            ends = np.flatnonzero(np.r_[(np.diff(audit) != 0) | (np.diff(at) != 0), True]) + 1
+            rows = []
+            for i, j in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+                part = t.slice(i, j - i)
+                x, own = int(audit[i]), int(at[i])
+                numbers = np.concatenate([part[c].to_numpy() for c in ("page_id", "ord", "chars")]).astype(np.int64).tobytes()
+                text = "\n".join(part["words"].to_pylist()).encode()
+                number_blob, text_blob = codec.compress(numbers, asbytes=True), codec.compress(text, asbytes=True)
+                for b in range(blocks.get(x, 1)):
+                    rows.append((x, min(own, b), max(own, b), int(own > b), j - i, number_blob, text_blob, len(text)))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["audit_id", "a", "b", "side", "n", "pages", "texts", "bytes"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often: dict[int | None, np.ndarray] = {}
         for batch in batches:
-            rows, grams = [], []
-            for i, audit in enumerate(batch.column(0).to_pylist()):
-                if audit not in often:
-                    if len(often) > 64:
-                        often.clear()
-                    held = batch.column(4)[i]
-                    often[audit] = np.sort(held.values.to_numpy()) if held.is_valid else np.zeros(0, np.int64)
-                g = batch.column(3)[i].values.to_numpy()
-                last = np.isin(g, often[audit])
-                k = len(g) - int(np.ceil(low * len(g))) + 1
-                first = np.sort(g[~last])[:k]
-                if len(first) < k:
-                    first = np.r_[first, np.sort(g[last])[: k - len(first)]]
-                rows.append(np.full(len(first), i))
-                grams.append(first)
-            if rows:
-                at = pa.array(np.concatenate(rows))
-                n = pc.list_value_length(batch.column(3))
-                cols = [*(c.take(at) for c in batch.columns[:3]), n.take(at), pa.array(np.concatenate(grams))]
-                yield pa.record_batch(cols, names=["audit_id", "page_id", "ord", "n", "g"])
-
-    often = frequent_trigrams(sets)
-    joined = sets.join(small_side(often), "audit_id", "left").select("audit_id", "page_id", "ord", "grams", "often")
-    return joined.mapInArrow(run, "audit_id bigint, page_id bigint, ord bigint, n int, g bigint")
-
-
-def near_duplicates(parsed: DataFrame, low: float = 0.6, high: float = 0.8) -> DataFrame:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size > PACK:
+                yield packed()
+                held, size = [], 0
+        if held:
+            yield packed()
+
+    return pages.mapInArrow(run, "audit_id bigint, a int, b int, side int, n int, pages binary, texts binary, bytes bigint")
+
+
+def near_duplicates(parsed: DataFrame, low: float = 0.6, high: float = 0.8, whole: int = WHOLE, block: int = BLOCK) -> DataFrame:
     """The largest word-trigram Jaccard similarity to an earlier page of the audit: over 0.8 fails, over 0.6 warns.
 
-    Exact, by prefix filtering: with the trigrams in any one order, two sets of
-    similarity t share one among the first n - ceil(t n) + 1 of each, so only
-    these are joined. In the order used, trigrams that many pages of the audit
-    share come last and hardly ever meet. Pages with equal sets are one class,
-    represented by its first page. One exchange by (audit, trigram) serves the
-    count and the join.
+    Exact. The pages of an audit meet in one task, those of a large audit block by block in pairs of blocks; what
+    travels is packed text, not trigrams, and neither candidates nor pairs leave their task (`near_sets`). An audit
+    of k blocks is sent k times.
     """
-    p = parsed.select("audit_id", "page_id", "ord", F.col("facts.trigrams").alias("grams"), F.col("facts.text_chars").alias("chars"))
-    has = p.where((F.size("grams") > 0) & F.col("audit_id").isNotNull()).withColumn("set_key", F.sha2(F.concat_ws(",", "grams"), 256))
-    ranked = durable(_first(has, "audit_id", "set_key"))
-    sets = ranked.where("first").select("audit_id", "page_id", "ord", "grams")
-    prefix = _prefixes(sets, low).repartition("audit_id", "g")
-    shared = prefix.groupBy("audit_id", "g").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("audit_id", "g")
-    met = durable(prefix.join(shared, ["audit_id", "g"]))
-    later = met.select("audit_id", "g", F.col("page_id").alias("q"), F.col("ord").alias("oq"), F.col("n").alias("nq"))
-    earlier = met.select("audit_id", "g", F.col("page_id").alias("e"), F.col("ord").alias("oe"), F.col("n").alias("ne"))
-    pairs = (
-        later.join(earlier, ["audit_id", "g"])
-        .where(f"(oe < oq or (oe = oq and e < q)) and ne >= {low} * nq and nq >= {low} * ne")
-        .select("audit_id", "q", "e")
-        .distinct()
-    )
-    grams = sets.select("audit_id", "page_id", "grams")
-    both = pairs.join(grams.select("audit_id", F.col("page_id").alias("q"), F.col("grams").alias("gq")), ["audit_id", "q"]).join(
-        grams.select("audit_id", F.col("page_id").alias("e"), F.col("grams").alias("ge")), ["audit_id", "e"]
+    p = parsed.select("audit_id", "page_id", "ord", F.coalesce("facts.text_chars", F.lit(0)).alias("chars"), F.col("facts.words").alias("words"))
+    known = p.where("audit_id is not null").withColumns(
+        {"ord": F.coalesce("ord", F.lit(-(2**63))), "words": F.coalesce("words", F.lit(""))}
     )
-    in_both = F.size(F.array_intersect("gq", "ge"))
-    best = (
-        both.select("audit_id", F.col("q").alias("page_id"), (in_both / (F.size("gq") + F.size("ge") - in_both)).alias("j"))
-        .groupBy("audit_id", "page_id")
-        .agg(F.max("j").alias("j"))
-    )
-    head = ranked.select("audit_id", "page_id", "first", "chars", F.size("grams").alias("n"))
-    similarity = F.when(~F.col("first"), 1.0).otherwise(F.coalesce("j", F.lit(0.0)))
-    judged = head.join(best, ["audit_id", "page_id"], "left").withColumn("s", similarity)
-    exempt = (F.coalesce("chars", F.lit(0)) < 100) | (F.col("n") < 5)
-    status = F.when(exempt, "P").when(F.col("s") > high, "F").when(F.col("s") > low, "W").otherwise("P")
-    none = p.where((F.size("grams") <= 0) | F.col("audit_id").isNull()).select(*_row("content-duplicate-near", F.lit("P")))
+
+    def judge(cell: pa.Table) -> pa.Table:
+        codec, pages, texts = pa.Codec("zstd"), [], []
+        for n, number_blob, text_blob, size in zip(*(cell[c].to_pylist() for c in ("n", "pages", "texts", "bytes"))):
+            pages.append(np.frombuffer(codec.decompress(number_blob, n * 24, asbytes=True), np.int64).reshape(3, n))
+            texts.append(pa.array(codec.decompress(text_blob, size, asbytes=True).decode().split("\n"), pa.large_string()))
+        side = np.repeat(cell["side"].to_numpy(), [x.shape[1] for x in pages])
+        page, order, chars = np.concatenate(pages, axis=1)
+        place = np.empty(len(page), np.int64)
+        place[np.lexsort((page, order))] = np.arange(len(page))
+        level, size = near_sets.levels(place, side, pa.concat_arrays(texts), low, high)
+        level[(chars < 100) | (size < 5)] = 0
+        return pa.table({"audit_id": pa.array(np.repeat(cell["audit_id"][0].as_py(), len(page))), "page_id": pa.array(page), "level": pa.array(level, pa.int32())})
+
+    cells = _packed(known, whole, block).groupBy("audit_id", "a", "b")
+    judged = cells.applyInArrow(judge, "audit_id bigint, page_id bigint, level int").groupBy("audit_id", "page_id").agg(F.max("level").alias("level"))
+    status = F.when(F.col("level") == 2, "F").when(F.col("level") == 1, "W").otherwise("P")
+    none = p.where("audit_id is null").select(*_row("content-duplicate-near", F.lit("P")))
     return judged.select(*_row("content-duplicate-near", status)).unionAll(none)
 
 

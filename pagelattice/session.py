@@ -37,14 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Cuts the lineage: writes the rows to the shared folder and reads them back.
 
-    A lost executor loses nothing of it, and the reader gets true sizes.
+    A lost executor loses nothing of it, and the reader gets true sizes. `codec` packs tables that hold texts.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pl-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     back = spark.read.schema(df.schema).parquet(path)
     back.durable_path = path
     return back

@@ -1,9 +1,14 @@
+import random
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
 from pagelattice.operators import stored
 from pagelattice.plans import audit, reports
-from pagelattice.plans.rules import CATEGORIES, RULES, matches, selected
+from pagelattice.plans.rules import CATEGORIES, RULES, matches, selected, site
 from pagelattice.plans.rules.registry import define
+from pagelattice.session import durable
 from pagelattice.sources.dom import Page
 
 PAGE = (
@@ -206,3 +211,36 @@ def test_site_and_probe_rules(spark):
     }
     assert {k: got[k] for k in expected} == expected and len(got) == 251
     assert frames.results.where("page_id = 1 and rule_id = 'crawl-indexability-conflict'").first().status == "W"
+
+
+def test_near_copies_by_blocks_and_at_their_limits(spark):
+    rng = random.Random(5)
+    base = [[f"{c}{i}" for i in range(60)] for c in "abcde"]
+    pages = []
+    for k in range(90):
+        text = list(base[k % 5])
+        for _ in range(rng.choice((0, 1, 2, 3, 5, 9))):
+            text[rng.randrange(60)] = f"n{rng.randrange(40)}"
+        pages.append(" ".join(text[: rng.choice((60, 60, 50, 40))]))
+    pages += ["", "one two", "w1 w2 w3", "w1 w2 w3"]
+    df = rows(spark, *({"html": f"<p>{x}"} for x in pages))
+    parsed = durable(audit.page_pass(df, []))
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, pages)]
+    best = [max((len(a & b) / len(a | b) for b in sets[:i] if a and b), default=0) for i, a in enumerate(sets)]
+    want = {i: "P" if len(x) < 100 else "F" if s > 0.8 else "W" if s > 0.6 else "P" for i, (x, s) in enumerate(zip(pages, best))}
+    assert len(set(want.values())) == 3
+    for size in (site.WHOLE, 3000):  # one block, and about ten
+        got = {r.page_id: r.status for r in site.near_duplicates(parsed, whole=size, block=size).collect()}
+        assert got == want, size
+
+
+def test_near_copies_move_texts_not_trigrams(spark, tmp_path):
+    words = [f"{i:x}{i * i:x}" for i in range(3000)]
+    rng = random.Random(7)
+    blocks = [" ".join(rng.sample(words, 80)) for _ in range(40)]
+    df = rows(spark, *({"html": "<p>" + " ".join(rng.sample(blocks, 8))} for _ in range(300)))
+    parsed = durable(audit.page_pass(df, []), "zstd")
+    held = sum(f.stat().st_size for f in Path(parsed.durable_path).glob("*.parquet"))
+    assert held < 300 * 640 * 8 / 4  # a trigram takes eight bytes
+    moved = site._packed(parsed.select("audit_id", "page_id", "ord", F.lit(0).alias("chars"), "facts.words"), site.WHOLE, site.BLOCK)
+    assert moved.agg(F.sum(F.length("texts") + F.length("pages"))).first()[0] < 300 * 640 * 8 / 4
