@@ -131,6 +131,11 @@ def make_issues(results: DataFrame) -> DataFrame:
     grouped = per_page.groupBy("audit_id", "rule_id", "category_id", "rule_name", "message", "status").agg(
         F.count("page_url").alias("affected_pages")
     )
+    return issue_rows(grouped)
+
+
+def issue_rows(grouped: DataFrame) -> DataFrame:
+    """Counted groups of results (rule, names, status and affected_pages) in the columns of issues."""
     severity = F.when(F.col("status") == "fail", "critical").otherwise("warning")
     return grouped.select(
         "audit_id",

@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelattice.operators import stored
 from pagelattice.plans.messages import with_messages
 from pagelattice.plans.rules import CATEGORIES, NAMES, SCORES, Rule, head_content, native, selected, site
-from pagelattice.session import durable
+from pagelattice.session import durable, small_side
 from pagelattice.sources.dom import Page, split_url, tidy
 
 #: Pages handled together in a task: bounds the worker's memory.
@@ -308,6 +309,26 @@ def as_stored(frames: AuditFrames, pages: DataFrame) -> DataFrame:
     )
 
 
+def made_issues(frames: AuditFrames, pages: DataFrame) -> DataFrame:
+    """Issues of live results, as make_issues(as_stored(frames, pages)) gives them.
+
+    A rule's verdicts are counted where they arise; only pages whose address an earlier page of the audit has,
+    or that have none, take part with their address, so results do not move.
+    """
+    at = pages.where("audit_id is not null").select("audit_id", "page_id", "url")
+    again = at.groupBy("audit_id", "url").agg(F.min("page_id").alias("same"), F.count(F.lit(1)).alias("n")).where("n > 1 and url is not null")
+    special = at.join(again, ["audit_id", "url"]).select("audit_id", "page_id", "same").unionAll(
+        at.where("url is null").select("audit_id", "page_id", F.lit(None).cast("bigint"))
+    )
+    special = durable(special.withColumn("shared", F.lit(True)))
+    bad = frames.results.where("audit_id is not null and status in ('F', 'W')").join(small_side(special), ["audit_id", "page_id"], "left")
+    by = ["audit_id", "rule_id", "category_id", "status"]
+    per_page = bad.groupBy(*by, "shared", "same").agg(F.count(F.lit(1)).alias("n"))
+    affected = F.when(F.col("shared").isNull(), F.col("n")).when(F.col("same").isNotNull(), 1).otherwise(0)
+    grouped = with_messages(per_page.groupBy(*by).agg(F.sum(affected).alias("affected_pages")))
+    return stored.issue_rows(grouped.withColumn("status", status_name(F.col("status"))))
+
+
 def status_name(status: Column) -> Column:
     """pass, warn or fail."""
     return F.element_at(F.create_map(*(F.lit(x) for kv in NAMES.items() for x in kv)), status)

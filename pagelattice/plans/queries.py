@@ -123,7 +123,7 @@ def crawl_frontier(spark: SparkSession, folder: str) -> DataFrame:
 def audit_issues(spark: SparkSession, folder: str) -> DataFrame:
     """Issues of the audit of all pages, made from its results as those of a stored audit are."""
     pages = audit.prepare(table(spark, folder, "pages"))
-    return stored.make_issues(audit.as_stored(_audit(spark, folder), pages))
+    return audit.made_issues(_audit(spark, folder), pages)
 
 
 def audit_categories(spark: SparkSession, folder: str) -> DataFrame:

@@ -244,3 +244,15 @@ def test_near_copies_move_texts_not_trigrams(spark, tmp_path):
     assert held < 300 * 640 * 8 / 4  # a trigram takes eight bytes
     moved = site._packed(parsed.select("audit_id", "page_id", "ord", F.lit(0).alias("chars"), "facts.words"), site.WHOLE, site.BLOCK)
     assert moved.agg(F.sum(F.length("texts") + F.length("pages"))).first()[0] < 300 * 640 * 8 / 4
+
+
+def test_live_issues_count_addresses_without_moving_results(spark):
+    html = ["<title>One", "<p>x", "<title>One", "<p>x", "<p>y", "<title>Two<p>z"]
+    urls = ["https://e.com/a", "https://e.com/a", "https://e.com/a?x=1", "https://e.com/b", "https://e.com/b", None]
+    df = rows(spark, *({"html": h, "url": u} for h, u in zip(html, urls)))
+    frames = audit.Auditor(spark, categories=("core", "url", "content")).audit(df)
+    made = audit.made_issues(frames, df)
+    want = stored.make_issues(audit.as_stored(frames, df))
+    assert made.columns == want.columns and made.count() and made.exceptAll(want).count() == want.exceptAll(made).count() == 0
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and "page_url" not in plan
