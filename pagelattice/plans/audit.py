@@ -145,21 +145,26 @@ def _score(status: Column) -> Column:
     return F.when(status == "P", 100).when(status == "W", 50).otherwise(0).cast("int")
 
 
-def dom_results(parsed: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The page pass' letters as rows."""
-    ids = [r.id for r in rules if r.kind == "dom"]
-    if not ids:
-        return parsed.sparkSession.createDataFrame([], site.OUT)
+def dom_results(parsed: DataFrame, rules: list[Rule], categories: bool = False) -> DataFrame:
+    """The page pass' letters as rows, with category_id if asked for."""
+    todo = [r for r in rules if r.kind == "dom"]
+    if not todo:
+        return parsed.sparkSession.createDataFrame([], site.OUT + ", category_id string" * categories)
     named = parsed.select(
         "audit_id", "page_id", "scores", F.posexplode(F.split("codes", "")).alias("i", "status")
     ).where("status <> ''")
     score = F.coalesce(F.get("scores", F.col("i")), _score(F.col("status")))
+
+    def of(values: list[str]) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), F.col("i") + 1)
+
     return named.select(
         "audit_id",
         "page_id",
-        F.element_at(F.array(*map(F.lit, ids)), F.col("i") + 1).alias("rule_id"),
+        of([r.id for r in todo]).alias("rule_id"),
         "status",
         score.cast("int").alias("score"),
+        *[of([r.category for r in todo]).alias("category_id")] * categories,
     )
 
 
@@ -170,24 +175,28 @@ def with_parts(pages: DataFrame) -> DataFrame:
     )
 
 
-def native_results(pages: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Rules as Catalyst expressions in one projection, unpivoted."""
+def native_results(pages: DataFrame, rules: list[Rule], categories: bool = False) -> DataFrame:
+    """Rules as Catalyst expressions in one projection, unpivoted; with category_id if asked for."""
     todo = [r for r in rules if r.kind == "native"]
     if not todo:
-        return pages.sparkSession.createDataFrame([], site.OUT)
+        return pages.sparkSession.createDataFrame([], site.OUT + ", category_id string" * categories)
     made = with_parts(pages).select(
         "audit_id",
         "page_id",
         F.explode(
             F.array(
                 *(
-                    F.struct(F.lit(r.id).alias("rule_id"), F.expr(native.render(r.run, native.SPARK)).alias("status"))
+                    F.struct(
+                        F.lit(r.id).alias("rule_id"),
+                        F.expr(native.render(r.run, native.SPARK)).alias("status"),
+                        *[F.lit(r.category).alias("category_id")] * categories,
+                    )
                     for r in todo
                 )
             )
         ).alias("x"),
     )
-    return made.select("audit_id", "page_id", "x.rule_id", "x.status", _score(F.col("x.status")).alias("score"))
+    return made.select("audit_id", "page_id", "x.rule_id", "x.status", _score(F.col("x.status")).alias("score"), *["x.category_id"] * categories)
 
 
 def category_column(rules: list[Rule]) -> Column:
@@ -253,7 +262,7 @@ class Auditor:
         ids = {r.id for r in self.rules}
         near = "content-duplicate-near" in ids
         parsed = durable(page_pass(pages, self.rules, near), "zstd")
-        parts = [dom_results(parsed, self.rules), native_results(pages, self.rules)]
+        parts = [dom_results(parsed, self.rules, True), native_results(pages, self.rules, True)]
         across = site.first_seen(parsed)
         if near:
             across.append(site.near_duplicates(parsed))
@@ -261,11 +270,11 @@ class Auditor:
             across += [site.site_rules(parsed, sites), site.robots_page_rules(parsed, sites), *site.sitemap_rules(parsed, sites)]
         if probe is not None and redirects is not None:
             across += site.link_rules(parsed, probe, redirects)
-        parts += [x.where(F.col("rule_id").isin(*ids)) for x in across]
-        out = parts[0]
+        # A map is searched entry by entry: only the few rules over pages together are looked up in one.
+        parts += [x.where(F.col("rule_id").isin(*ids)).withColumn("category_id", category_column(self.rules)) for x in across]
+        results = parts[0]
         for part in parts[1:]:
-            out = out.unionByName(part)
-        results = out.withColumn("category_id", category_column(self.rules))
+            results = results.unionByName(part)
         categories = category_scores(results, "audit_id")
         return AuditFrames(
             results,

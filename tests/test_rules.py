@@ -256,3 +256,42 @@ def test_live_issues_count_addresses_without_moving_results(spark):
     assert made.columns == want.columns and made.count() and made.exceptAll(want).count() == want.exceptAll(made).count() == 0
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "get_json_object" not in plan and "page_url" not in plan
+
+
+def test_addresses_stay_with_their_pages_and_limits_hold(spark, monkeypatch):
+    def linked(*urls):
+        return {"html": "".join(f"<a href={u}>x</a>" for u in urls), "url": "https://e.com/"}
+
+    df = rows(
+        spark,
+        linked(*["https://x.org/ok"] * 20, "https://x.org/bad"),  # the 21st external link is not looked at
+        linked(*["/ok"] * 30, "/moved"),  # but a second internal address is
+        linked(*(f"/{i}" for i in range(20)), "/moved", "/gone"),
+        {"html": "".join(f"<img src=/{i}.png>" for i in range(20)) + "<img src=/gone>", "url": "https://e.com/"},
+    )
+    parsed = durable(audit.page_pass(df, []))
+    probe = spark.createDataFrame([("https://x.org/bad", 500, 1), ("https://e.com/gone", 404, 1), ("https://e.com/ok", 200, 1)], "url string, status_code int, checked_at int")
+    moved = spark.createDataFrame([("https://e.com/moved", "https://e.com/ok", 301)], "src string, dst string, status_code int")
+    monkeypatch.setattr(site, "small_side", site.small_side)
+    for side in (site.small_side, lambda x: x):
+        site.small_side = side
+        found = site.link_rules(parsed, probe, moved)
+        got = {(r.page_id, r.rule_id): r.status for f in found for r in f.collect()}
+        assert len(got) == 20 and {k for k, v in got.items() if v != "P" and k[1] != "crawl-canonical-redirect"} == {(1, "links-redirect-chains"), (2, "links-broken-internal")}
+    monkeypatch.undo()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [f._jdf.queryExecution().executedPlan().toString() for f in site.link_rules(parsed, probe, moved)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert not any("hashpartitioning(url" in p for p in plans)
+
+
+def test_categories_of_page_rules_come_with_the_rule(spark):
+    df = rows(spark, {"html": "<title>t", "url": "https://e.com/"})
+    results = audit.Auditor(spark).audit(df).results
+    assert {(r.rule_id, r.category_id) for r in results.collect()} <= {(r.id, r.category) for r in selected()}
+    pages, dom = audit.native_results(df, selected(), True), audit.dom_results(durable(audit.page_pass(df, selected())), selected(), True)
+    for part in (pages, dom):
+        assert "category_id" in part.columns and "map(" not in part.select("category_id")._jdf.queryExecution().optimizedPlan().toString()
