@@ -269,7 +269,7 @@ class Auditor:
         if sites is not None:
             across += [site.site_rules(parsed, sites), site.robots_page_rules(parsed, sites), *site.sitemap_rules(parsed, sites)]
         if probe is not None and redirects is not None:
-            across += site.link_rules(parsed, probe, redirects)
+            across += site.link_rules(parsed, probe, redirects, most=None)
         # A map is searched entry by entry: only the few rules over pages together are looked up in one.
         parts += [x.where(F.col("rule_id").isin(*ids)).withColumn("category_id", category_column(self.rules)) for x in across]
         results = parts[0]

@@ -287,6 +287,24 @@ def test_addresses_stay_with_their_pages_and_limits_hold(spark, monkeypatch):
         assert len(got) == 20 and {k for k, v in got.items() if v != "P" and k[1] != "crawl-canonical-redirect"} == {(1, "links-redirect-chains"), (2, "links-broken-internal")}
 
 
+def test_audits_look_at_every_address_of_a_page(spark, monkeypatch):
+    def many(tag, last=""):
+        return {"html": "".join(tag.format(i) for i in range(45)) + tag.format(last) * bool(last), "url": "https://e.com/"}
+
+    own, out, image = "<a href=/{0}>x</a>", "<a href=https://x.org/{0}>x</a>", "<img src=/{0}>"
+    df = rows(spark, many(out, "bad"), many(own, "once"), many(own, "thrice"), many(image, "gone"), many(own + out + image))
+    probe = spark.createDataFrame([("https://x.org/bad", 500, 1), ("https://e.com/gone", 404, 1)], "url string, status_code int, checked_at int")
+    hops = [("once", "0"), ("thrice", "b"), ("b", "c"), ("c", "0")]
+    moved = spark.createDataFrame([(f"https://e.com/{a}", f"https://e.com/{b}", 301) for a, b in hops], "src string, dst string, status_code int")
+    rules = ("links-external-valid", "links-redirect-chains", "images-broken")
+    for side in (site.small_side, lambda x: x):
+        monkeypatch.setattr(site, "small_side", side)
+        frames = audit.Auditor(spark, enable=rules).audit(df, None, probe, moved)
+        got = {(r.page_id, r.category_id): (r.passed, r.warned, r.failed) for r in frames.page_categories.collect()}
+        wrong = {k: v for k, v in got.items() if v[1] or v[2]}
+        assert len(got) == 10 and wrong == {(0, "links"): (1, 1, 0), (1, "links"): (1, 1, 0), (2, "links"): (1, 0, 1), (3, "images"): (0, 0, 1)}
+
+
 def test_categories_of_page_rules_come_with_the_rule(spark):
     df = rows(spark, {"html": "<title>t", "url": "https://e.com/"})
     results = audit.Auditor(spark).audit(df).results
